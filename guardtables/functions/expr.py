@@ -1,12 +1,29 @@
 """Small building blocks over columns: bindings, prefix sums, regex spans, masking."""
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _BLOCK = 128
+_built: dict = {}
+
+
+def built_once(make: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the column a function builds from plain values; large expressions take a while to build."""
+
+    @functools.wraps(make)
+    def cached(*args):
+        context = SparkContext._active_spark_context
+        key = (id(context), make.__module__, make.__qualname__, args)
+        if key not in _built:
+            _built[key] = (context, make(*args))
+        return _built[key][1]
+
+    return cached
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -102,11 +119,11 @@ def find_all(text: Column, pattern: str, tail_group: int | None = None) -> Colum
     return F.when(F.rlike(text, regex), let(pieces, spans)).otherwise(empty(SPAN))
 
 
-def first_match(text: Column, pattern: str) -> Column:
+def first_match(text: Column, pattern: Column) -> Column:
     """struct(start, value) of the first match; the caller has checked that there is one."""
     return F.struct(
         F.length(F.get(F.split(text, pattern, 2), F.lit(0))).alias("start"),
-        F.regexp_extract(text, pattern, 0).alias("value"),
+        F.get(F.regexp_extract_all(text, pattern, F.lit(0)), F.lit(0)).alias("value"),
     )
 
 

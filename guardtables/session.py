@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Lower-casing of whole texts is several times faster without ICU.
+    "spark.sql.icu.caseMappings.enabled": "false",
 }
 
 
