@@ -42,7 +42,10 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table; timestamps without a zone are read as UTC."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    zoneless = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
+    return df.withColumns({c: df[c].cast("timestamp") for c in zoneless}) if zoneless else df
 
 
 def cut(df: DataFrame) -> DataFrame:
