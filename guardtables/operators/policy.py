@@ -103,15 +103,14 @@ def apply_history(events: DataFrame) -> DataFrame:
     return events.withColumn("version", F.sum((F.col("status") == "applied").cast("int")).over(by_policy))
 
 
-def active_controls(controls: DataFrame, names: DataFrame, toggles: DataFrame | None = None) -> DataFrame:
+def active_controls(controls: DataFrame, toggles: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:
     """Every control of every policy with its state; a missing section is off and toggles win."""
-    latest = None
-    if toggles is not None:
-        latest = toggles.groupBy("control").agg(F.max_by("enabled", "ts").alias("_toggle"))
-    every = controls.select("policy_id").distinct().join(F.broadcast(names.select("control")), F.lit(True))
+    wanted = F.array(*[F.lit(n) for n in names or [c for c, _, _ in CONTROLS]])
+    every = controls.select("policy_id").distinct().withColumn("control", F.explode(wanted))
     joined = every.join(controls, ["policy_id", "control"], "left")
-    if latest is None:
+    if toggles is None:
         return joined.withColumn("enabled", F.coalesce("enabled", F.lit(False)))
+    latest = toggles.groupBy("control").agg(F.max_by("enabled", "ts").alias("_toggle"))
     joined = joined.join(latest, "control", "left")
     # A toggle changes a section that is there; it cannot add one.
     state = F.when(F.col("enabled").isNull(), False).otherwise(F.coalesce("_toggle", "enabled"))
@@ -182,14 +181,18 @@ def posture(controls: DataFrame, health: DataFrame | None = None) -> DataFrame:
 
 def coverage(controls: DataFrame) -> DataFrame:
     """Covered, partial or gap per policy and OWASP category."""
-    spark = controls.sparkSession
-    categories = spark.createDataFrame(
-        [(i, title, names or [None], part) for i, title, names, part in OWASP],
-        "id string, title string, names array<string>, partial_only boolean",
-    ).select("id", "title", "partial_only", F.explode("names").alias("control"))
+    categories = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("id"), F.lit(title).alias("title"), F.lit(part).alias("partial_only"),
+                F.lit(name).cast("string").alias("control"),
+            )
+            for i, title, names, part in OWASP
+            for name in names or [None]
+        ]
+    )
     added = contributions(controls).select("policy_id", "control", "contribution", "weight")
-    # Ten categories by policy.
-    wanted = controls.select("policy_id").distinct().join(F.broadcast(categories), F.lit(True))
+    wanted = controls.select("policy_id").distinct().select("policy_id", F.inline(categories))
     rated = wanted.join(added, ["policy_id", "control"], "left").groupBy("policy_id", "id", "title").agg(
         F.max(F.coalesce("contribution", F.lit(0.0))).alias("_most"),
         F.bool_and(F.coalesce(F.col("contribution") == F.col("weight"), F.lit(False))).alias("_full"),
