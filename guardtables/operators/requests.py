@@ -109,7 +109,7 @@ def label_results(results: DataFrame, tools: DataFrame) -> DataFrame:
 def sign_call(raw: Column, tool: Column, session: Column, agent: Column, content: Column, key: bytes) -> Column:
     """Provenance token over the call, for logs that carry none."""
     body = F.to_json(F.array(raw, tool, session, agent, hmac_sha256(key, content)))
-    payload = F.rtrim(F.translate(F.base64(F.encode(body, "UTF-8")), "+/", "-_"), F.lit("="))
+    payload = F.regexp_replace(F.translate(F.base64(F.encode(body, "UTF-8")), "+/", "-_"), "[=\\s]", "")
     return let(payload, lambda p: F.concat_ws(".", F.lit("call_w"), p, hmac_sha256(key, p)))
 
 
@@ -212,7 +212,8 @@ def _bad_message(m: Column) -> Column:
     faults = {
         "message fields": _extra_fields(m, MESSAGE_FIELDS),
         "message role": ~F.coalesce(role.isin(ROLES), F.lit(False)),
-        "message content": ~_is(content, "STRING", "ARRAY", "VOID", "ABSENT") | bad_part,
+        "message content": ~_is(content, "STRING", "ARRAY", "VOID", "ABSENT")
+        | F.coalesce(bad_part, F.lit(False)),
         "message name": (_kind(_get(m, "name")) != "ABSENT") & ~_text(_get(m, "name")),
         "message tool_call_id": (_kind(_get(m, "tool_call_id")) != "ABSENT") & ~_text(_get(m, "tool_call_id")),
         "message refusal": ~_is(_get(m, "refusal"), "STRING", "VOID", "ABSENT"),
@@ -221,7 +222,7 @@ def _bad_message(m: Column) -> Column:
             (F.coalesce(role, F.lit("")) != "assistant")
             | ~_is(calls, "ARRAY")
             | (F.coalesce(F.size(_array(calls)), F.lit(0)) < 1)
-            | bad_call
+            | F.coalesce(bad_call, F.lit(False))
         ),
         "message function_call": (_kind(_get(m, "function_call")) != "ABSENT")
         & ((F.coalesce(role, F.lit("")) != "assistant") | _bad_function(_get(m, "function_call"), call=True)),

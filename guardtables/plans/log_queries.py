@@ -92,7 +92,7 @@ def limit_findings(t: Inputs) -> DataFrame:
 
 def _budgets(t: Inputs) -> DataFrame:
     """One budget row per agent that is a multiple of five, and the default."""
-    own = t.agents.where(F.substring_index("agent_id", "agent", -1).cast("int") % 5 == 0)
+    own = t.agents.where(F.substring_index("agent_id", "agent", -1).try_cast("int") % 5 == 0)
     rows = own.selectExpr(
         "agent_id", "cast(0.5 as double) usd_per_day", "true usd_per_day_set", "cast(null as bigint) tokens_per_minute",
         "true tokens_per_minute_set", "cast(null as bigint) requests_per_minute", "false requests_per_minute_set",
@@ -116,8 +116,7 @@ def _budgets(t: Inputs) -> DataFrame:
     f"with {cte('agents')} select agent_id, case when own then 0.5 else 2.0 end as usd_per_day, "
     "case when own then null else 2000 end as tokens_per_minute, 3 as requests_per_minute, "
     "case when own then 900 else 1500 end as max_tokens_per_request, 60.0 as compute_seconds_per_day, 0.8 as warn_at "
-    "from (select agent_id, cast(replace(agent_id, 'agent', '') as int) % 5 = 0 as own from agents) a",
-)
+    "from (select agent_id, cast(replace(agent_id, 'agent', '') as int) % 5 = 0 as own from agents) a", nulls={'tokens_per_minute': -1})
 def effective_budgets(t: Inputs) -> DataFrame:
     return limits.effective_budgets(t.agents, _budgets(t))
 
@@ -329,7 +328,7 @@ def _body(t: Inputs) -> DataFrame:
     )
 
 
-@query("chain_verify", "select true as ok, count(*) as count, cast(null as bigint) as broken_at, 'ok' as reason from events")
+@query("chain_verify", "select true as ok, count(*) as count, cast(null as bigint) as broken_at, 'ok' as reason from events", nulls={'broken_at': 0})
 def chain_verify(t: Inputs) -> DataFrame:
     """Seal the log in shards, then verify every record and link."""
     sealed = audit.seal(_body(t), KEY).withColumn("position", F.col("seq"))
@@ -376,8 +375,7 @@ def sealed_heads(t: Inputs) -> DataFrame:
     "log_lines",
     "select case event_id % 50 when 0 then 'not JSON, or a repeated key' when 1 then 'not JSON, or a repeated key' "
     "when 2 then 'not an object' else 'read' end as reason, count(*) as n, cast(sum(case when event_id % 50 > 2 then event_id end) as bigint) as seqs "
-    "from events group by 1",
-)
+    "from events group by 1", nulls={'seqs': 0})
 def log_lines(t: Inputs) -> DataFrame:
     """JSON lines read as records; broken ones are set aside with a reason."""
     good = F.to_json(F.struct(F.col("event_id").alias("seq"), F.col("event_type").alias("summary"), F.lit("block").alias("action")))

@@ -49,8 +49,7 @@ def threshold_sweep(t: Inputs) -> DataFrame:
     + ", a as (select *, row_number() over (partition by model order by accuracy desc, false_positive_rate, threshold desc) as r from points), "
     "b as (select *, row_number() over (partition by model order by attack_recall desc, accuracy desc, threshold desc) as r from points where false_positive_rate <= 0.05) "
     "select a.model, a.threshold as best_accuracy_at, a.accuracy as best_accuracy, b.threshold as best_recall_at, b.attack_recall as best_recall "
-    "from a left join b on b.model = a.model and b.r = 1 where a.r = 1",
-)
+    "from a left join b on b.model = a.model and b.r = 1 where a.r = 1", nulls={'best_recall_at': -1.0, 'best_recall': -1.0})
 def best_thresholds(t: Inputs) -> DataFrame:
     return evaluation.best_thresholds(evaluation.sweep(t.bench, "model"), "model")
 
@@ -71,8 +70,7 @@ def model_report(t: Inputs) -> DataFrame:
 @query(
     "accuracy_by_language",
     f"with {BENCH} select model, lang, round(avg(case when (risk >= 0.5) = (kind <> 'benign') then 1.0 else 0.0 end), 3) as accuracy "
-    f"from bench where {_OK} group by rollup (model, lang) having model is not null",
-)
+    f"from bench where {_OK} group by rollup (model, lang) having model is not null", nulls={'lang': 'all'})
 def accuracy_by_language(t: Inputs) -> DataFrame:
     return evaluation.accuracy_by_language(t.bench, 0.5)
 
@@ -143,8 +141,7 @@ def combined_verdicts(t: Inputs) -> DataFrame:
     "reused_verdicts",
     f"with {VERDICTS}, v as (select * from verdicts where {_OK}) "
     "select a.review_id, count(v.review_id) > 0 as reused, arg_max(v.status, v.ts) as status, arg_max(v.risk, v.ts) as risk "
-    "from verdicts a left join v on v.key = a.key and v.config = a.config and v.ts < a.ts and v.ts > a.ts - interval 4 hour group by a.review_id",
-)
+    "from verdicts a left join v on v.key = a.key and v.config = a.config and v.ts < a.ts and v.ts > a.ts - interval 4 hour group by a.review_id", nulls={'status': 'none', 'risk': -1.0})
 def reused_verdicts(t: Inputs) -> DataFrame:
     asked = t.verdicts.select("review_id", "ts", "key", "config")
     return review.reuse_verdicts(asked, t.verdicts, 4 * 3600).select("review_id", "reused", "status", "risk")
@@ -204,8 +201,7 @@ def parsed_verdicts(t: Inputs) -> DataFrame:
 @query(
     "parsed_decisions",
     "select event_id, event_id % 3 <> 2 as valid, case event_id % 3 when 0 then 0.75 when 1 then 0.25 end as risk, "
-    "case event_id % 3 when 0 then 'jailbreak' when 1 then 'safe' end as category from events",
-)
+    "case event_id % 3 when 0 then 'jailbreak' when 1 then 'safe' end as category from events", nulls={'risk': -1.0, 'category': 'none'})
 def parsed_decisions(t: Inputs) -> DataFrame:
     kind = F.col("event_id") % 3
     body = (
@@ -227,8 +223,7 @@ FLAT = cte("policy_flat")
     "d as (select coalesce(a.policy_id, b.policy_id) as policy_id, coalesce(a.version + 1, b.version) as version, coalesce(a.key, b.key) as key, "
     "a.value as old_value, b.value as new_value from policy_flat a full join policy_flat b on b.policy_id = a.policy_id and b.key = a.key and b.version = a.version + 1) "
     "select d.policy_id, version, key, old_value, new_value from d join n on n.policy_id = d.policy_id "
-    "where old_value is distinct from new_value and version > lo and version <= hi",
-)
+    "where old_value is distinct from new_value and version > lo and version <= hi", nulls={'old_value': 'none', 'new_value': 'none'})
 def policy_history(t: Inputs) -> DataFrame:
     return policy.history_diff(t.policy_flat)
 
@@ -237,8 +232,7 @@ def policy_history(t: Inputs) -> DataFrame:
     "policy_diff",
     f"with {FLAT}, a as (select * from policy_flat where version = 1), b as (select * from policy_flat where version = 9) "
     "select coalesce(a.policy_id, b.policy_id) as policy_id, coalesce(a.key, b.key) as key, a.value as old_value, b.value as new_value "
-    "from a full join b on a.policy_id = b.policy_id and a.key = b.key where a.value is distinct from b.value",
-)
+    "from a full join b on a.policy_id = b.policy_id and a.key = b.key where a.value is distinct from b.value", nulls={'old_value': 'none', 'new_value': 'none'})
 def policy_diff(t: Inputs) -> DataFrame:
     old, new = t.policy_flat.where("version = 1"), t.policy_flat.where("version = 9")
     return policy.diff(old.drop("version"), new.drop("version"), "policy_id")
@@ -393,8 +387,7 @@ def _definitions(t: Inputs) -> DataFrame:
 
 @query(
     "catalog_rejects",
-    "select page_id as def_id, case when page_id % 13 = 0 then 'malformed' when page_id % 5 = 4 then 'not allowed' end as reject from pages",
-)
+    "select page_id as def_id, case when page_id % 13 = 0 then 'malformed' when page_id % 5 = 4 then 'not allowed' end as reject from pages", nulls={'reject': 'none'})
 def catalog_rejects(t: Inputs) -> DataFrame:
     allowed = t.spark.createDataFrame([(f"tool{i}",) for i in range(4)], "tool string")
     return catalog.check_definitions(_definitions(t), allowed).select("def_id", "reject")

@@ -91,7 +91,7 @@ staged as (select c.*, case when agent_id in ('agent5', 'agent11') then 'kill_sw
   when tool = 'transfer' and call_id not in (select call_id from used) then 'approval' end as stage from calls c)"""
 
 
-@query("tool_call_checks", f"with {CALLS}, {_STAGED} select call_id, tool, stage from staged")
+@query("tool_call_checks", f"with {CALLS}, {_STAGED} select call_id, tool, stage from staged", nulls={'stage': 'none'})
 def tool_call_checks(t: Inputs) -> DataFrame:
     return _checked(t).select("call_id", "tool", "stage")
 
@@ -277,8 +277,7 @@ def labelled_results(t: Inputs) -> DataFrame:
 
 @query(
     "provenance_tokens",
-    f"with {CALLS} select call_id, case when event_id % 5 = 0 then null else tool end as verified_tool from calls",
-)
+    f"with {CALLS} select call_id, case when event_id % 5 = 0 then null else tool end as verified_tool from calls", nulls={'verified_tool': 'none'})
 def provenance_tokens(t: Inputs) -> DataFrame:
     """Tokens issued for each call; every fifth comes back with other content."""
     signed = t.calls.withColumn(

@@ -225,7 +225,7 @@ def _messages_decided(t: Inputs) -> DataFrame:
     return inspect(t.messages, POLICY)
 
 
-@query("decision_rollup", f"with {cte('messages')}, {_SIGNALS} select doc_id, action, control_id, n_findings from decisions")
+@query("decision_rollup", f"with {cte('messages')}, {_SIGNALS} select doc_id, action, control_id, n_findings from decisions", nulls={'control_id': 'none'})
 def decision_rollup(t: Inputs) -> DataFrame:
     return _messages_decided(t).select(
         "doc_id", "action", F.col("primary.control_id").alias("control_id"),
