@@ -222,7 +222,9 @@ def use_approvals(calls: DataFrame, approvals: DataFrame) -> DataFrame:
     until just before the deadline. The first call is an aggregate, not a ranked window, so
     an approval id named by very many calls is combined before the shuffle.
     """
-    wanted = calls.where(F.col("approval_id").isNotNull()).select(
+    # Only an object can have been approved.
+    named = calls.where(F.col("approval_id").isNotNull() & is_object(F.col("args_json")))
+    wanted = named.select(
         "call_id", "ts", F.col("approval_id").alias("id"), "agent_id", "tool", "policy_hash",
         args_hash(F.col("args_json")).alias("args_hash"),
     )

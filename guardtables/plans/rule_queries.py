@@ -323,7 +323,12 @@ mails as (select *, from calls where tool = 'mail')"""
 @query(
     "flow_findings",
     f"with {CALLS}, {_FLOW} select call_id, 'flow.secret_egress' as control_id from mails m where exists "
-    "(select 1 from lk where lk.agent_id = m.agent_id and lk.user_id = m.user_id and lk.at < m.ts) "
+    "(select 1 from lk where lk.agent_id = m.agent_id and lk.at < m.ts and ("
+    + " or ".join(
+        f"strpos(concat(m.user_id, lpad(concat('77', m.user_id), 9, '4')), substr(lpad(concat('77', lk.user_id), 9, '4'), {i}, 6)) > 0"
+        for i in range(1, 5)
+    )
+    + ")) "
     "union all select call_id, 'flow.untrusted_target' from mails m where exists "
     "(select 1 from rd where rd.agent_id = m.agent_id and rd.user_id = m.user_id and rd.at < m.ts) "
     "union all select call_id, 'flow.untrusted_before_irreversible' from calls c where tool = 'transfer' and exists "

@@ -5,6 +5,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Settings the operators rely on; sizes of shuffles and scans are left to the cluster and AQE.
 SETTINGS = {
@@ -57,3 +58,16 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="guardtables-"))
     return df.checkpoint(eager=False)
+
+
+# Rows a side may have to be sent to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a join side for broadcast when a count shows it is small; otherwise leave it to be shuffled.
+
+    The side is written to the checkpoint folder first, so it is computed once.
+    """
+    kept = cut(df)
+    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
