@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import configure, table
+from ..session import configure, spread, table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -32,6 +32,8 @@ _LUHN15 = " + ".join(
 )
 
 SQL: dict[str, str] = {}
+# Tables whose rows are read by detectors.
+HEAVY = ["documents", "pages", "benchmark", "messages", "calls"]
 
 # One short text per event, with values and phrases of every kind the detectors look for.
 SQL["messages"] = f"""
@@ -150,13 +152,15 @@ class Inputs:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return table(self.spark, self.sf_dir, name)
+            given = table(self.spark, self.sf_dir, name)
+            return spread(given) if name in HEAVY else given
         if name not in SQL:
             raise AttributeError(name)
         text = _engine_sql(name, "spark")
         for given in TABLES:
             if re.search(rf"\b(?:from|join) {given}\b", text):
                 view = f"gt_{given}_{abs(hash(self.sf_dir))}"
-                getattr(self, given).createOrReplaceTempView(view)
+                table(self.spark, self.sf_dir, given).createOrReplaceTempView(view)
                 text = re.sub(rf"\b(from|join) {given}\b", rf"\1 {view}", text)
-        return self.spark.sql(text)
+        derived = self.spark.sql(text)
+        return spread(derived) if name in HEAVY else derived

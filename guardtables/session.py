@@ -49,6 +49,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: df[c].cast("timestamp") for c in zoneless}) if zoneless else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core for work that is heavy per row.
+
+    A small file is one split and would keep one core busy; a large table has more splits
+    than cores already and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage at a reliable checkpoint in the folder the cluster names."""
     context = df.sparkSession.sparkContext
