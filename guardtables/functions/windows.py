@@ -32,6 +32,33 @@ def running_total(
     )
 
 
+def latest_before(
+    df: DataFrame, keys: list[str], order: Column, slice_of: Column, value: Column, out: str, strict: bool = True
+) -> DataFrame:
+    """Add ``out``: the latest non-NULL ``value`` of a key before each row in ``order``.
+
+    Inside a slice it is a window; across slices it comes from one row per slice, so a hot
+    key spreads over its slices. ``order`` must be a number or time; rows of equal order do
+    not see each other when ``strict``.
+    """
+    sliced = df.withColumns({"_slice": slice_of, "_order": order, "_value": value})
+    frame = W.partitionBy(*keys, "_slice").orderBy("_order")
+    frame = frame.rangeBetween(W.unboundedPreceding, -1) if strict else frame.rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    ends = (
+        sliced.groupBy(*keys, "_slice")
+        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_order"))).alias("_end"))
+        .withColumn("_before", F.last("_end", ignorenulls=True).over(before))
+        .drop("_end")
+    )
+    return (
+        sliced.withColumn("_inside", F.last("_value", ignorenulls=True).over(frame))
+        .join(ends, [*keys, "_slice"])
+        .withColumn(out, F.coalesce("_inside", "_before"))
+        .drop("_inside", "_before", "_slice", "_order", "_value")
+    )
+
+
 def trailing(
     df: DataFrame, keys: list[str], ts: str, tie: str, seconds: float, sums: dict[str, Column]
 ) -> DataFrame:

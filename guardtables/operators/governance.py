@@ -2,10 +2,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.jsonx import args_hash, explode_leaves, is_object, member
+from ..functions.windows import latest_before
 from ..types import finding, no_findings, when_finding
 from .decisions import decide_requests, downgrade
 
@@ -200,13 +200,19 @@ def approval_state(approvals: DataFrame, as_of: Column) -> DataFrame:
 
 
 def illegal_moves(journal: DataFrame, position: str = "journal_pos") -> DataFrame:
-    """Journal rows whose status may not follow the one before, or that decide too late."""
-    by_id = W.partitionBy("id").orderBy(position)
-    before = F.lag("status").over(by_id)
+    """Journal rows whose status may not follow the one before, or that decide too late.
+
+    ``position`` is an increasing number without repeats.
+    """
+    rows = latest_before(
+        journal, ["id"], F.col(position), F.floor(F.col(position) / 100_000), F.col("status"), "_status_before"
+    )
+    before = F.col("_status_before")
     move = F.concat_ws(">", before, "status")
     late = F.col("status").isin("approved", "denied") & (F.col("decided_at") >= F.col("expires_at"))
     bad = F.when(before.isNull(), F.col("status") != "pending").otherwise(~move.isin(MOVES) & (before != F.col("status")))
-    return journal.withColumn("move", move).withColumn("bad", bad | F.coalesce(late, F.lit(False))).where("bad").drop("bad")
+    found = rows.withColumn("move", move).withColumn("bad", bad | F.coalesce(late, F.lit(False))).where("bad")
+    return found.drop("bad", "_status_before")
 
 
 def list_approvals(approvals: DataFrame, status: str | None = None) -> DataFrame:

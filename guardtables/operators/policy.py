@@ -5,9 +5,10 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.windows import running_total
+
 # Weight and OWASP tags of each control.
 CONTROLS = [
     ("prompt_injection", 18, ["LLM01"]),
@@ -99,8 +100,10 @@ def history_diff(flat: DataFrame) -> DataFrame:
 
 def apply_history(events: DataFrame) -> DataFrame:
     """Version number of each applied policy; rejected events keep the version in force."""
-    by_policy = W.partitionBy("policy_id").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return events.withColumn("version", F.sum((F.col("status") == "applied").cast("int")).over(by_policy))
+    applied = (F.col("status") == "applied").cast("int")
+    return running_total(
+        events, ["policy_id"], [F.col("ts"), F.col("event_id")], applied, F.date_trunc("hour", "ts"), "version"
+    )
 
 
 def active_controls(controls: DataFrame, toggles: DataFrame | None = None, names: list[str] | None = None) -> DataFrame:

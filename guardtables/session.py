@@ -67,7 +67,7 @@ def cut(df: DataFrame) -> DataFrame:
         if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="guardtables-"))
-    return df.checkpoint(eager=False)
+    return df.checkpoint(eager=True)
 
 
 # Rows a side may have to be sent to every executor.
