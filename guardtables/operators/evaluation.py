@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NON_ASCII, encode_tags, printable_enough
+from ..functions.text import encode_tags, printable_enough
 from ..functions.windows import interpolated, order_statistics
 from .decisions import outcome
 
@@ -252,6 +252,3 @@ def run_latency(rows: DataFrame, ms: str = "ms") -> DataFrame:
     return got.join(ends, "n").select(
         F.round("p50_ms", 3).alias("p50_ms"), F.round("p99_ms", 3).alias("p99_ms"), "max_ms"
     )
-
-
-__all__ = ["NON_ASCII", "augment", "applicable", "corpus_results", "control_rates", "rates_at", "sweep"]
