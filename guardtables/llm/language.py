@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import slices
 
@@ -138,16 +139,26 @@ def _closest(sent):
     return run
 
 
-def identify(docs: DataFrame, training: DataFrame, size: int = PROFILE) -> DataFrame:
-    """Language of each whole text by rank-order profiles: ``doc_id``, ``lang_pred``, ``score`` (0 to 1).
+def with_language(docs: DataFrame, training: DataFrame, size: int = PROFILE) -> DataFrame:
+    """Language of each whole text by rank-order profiles: ``row`` (all columns but the text), ``text``, ``lang_pred``, ``score``.
 
     ``training`` has ``text`` and ``lang``; profiles come from all of it, and only they (at most
     ``size`` rows for each language) reach the driver. Only the text decides: a null text, or one
     without a letter, is ``und`` with score 0, and so is every text when no language was learned.
-    Repeated rows are judged each by themselves; other columns are not read.
+    Repeated rows are judged each by themselves.
     """
     rows = profiles(training, size).collect()
     ranks = Ranks([(r.lang, r.gram, r.place) for r in rows], size)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_closest(sent), "doc_id long, text string, lang_pred string, score double").drop("text")
+    texts = docs.select(
+        F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text")
+    )
+    schema = T.StructType([*texts.schema.fields, T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+    return texts.mapInArrow(_closest(sent), schema)
+
+
+def identify(docs: DataFrame, training: DataFrame, size: int = PROFILE) -> DataFrame:
+    """``doc_id``, ``lang_pred`` and ``score`` (0 to 1) of each text; see ``with_language``."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return with_language(texts, training, size).select("row.doc_id", "lang_pred", "score")

@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut
 
@@ -261,16 +262,21 @@ class LineIndex:
         return lost.groupBy("doc_id").agg(F.collect_set("key").alias("lost"))
 
     def drop_repeated(self, docs: DataFrame) -> DataFrame:
-        """``doc_id``, ``n_lines``, ``n_dropped``, ``kept``: each text without its repeated lines.
+        """Each text without its repeated lines: ``row`` (all columns but the text), ``n_lines``, ``n_dropped``, ``kept``.
 
         Lines with a key of at least ``min_chars`` code points that ``min_docs`` documents of the
         index hold stay only in the largest ``doc_id`` that holds the key. A null or empty text is
         one empty line. A null ``doc_id`` holds no key and loses no line; rows that repeat a
         ``doc_id`` are one document and lose the same keys.
         """
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        joined = rows.join(self.repeated(rows), "doc_id", "left")
-        return joined.mapInArrow(_rewrite(self.min_chars), "doc_id long, n_lines long, n_dropped long, kept string")
+        rows = docs.select(
+            F.struct(*[c for c in docs.columns if c != "text"]).alias("row"),
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        )
+        joined = rows.join(self.repeated(rows), "doc_id", "left").select("row", "text", "lost")
+        schema = T.StructType([joined.schema["row"], T.StructField("n_lines", T.LongType()),
+                               T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
+        return joined.mapInArrow(_rewrite(self.min_chars), schema)
 
 
 FILTER_SCHEMA = "shard int, buckets binary, n_keys long"
@@ -337,10 +343,10 @@ def _rewrite(min_chars: int):
                 kept.append("\n".join(lines))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()),
+                    batch.column("row"), pa.array(total, pa.int64()), pa.array(dropped, pa.int64()),
                     pa.array(kept, pa.string()),
                 ],
-                ["doc_id", "n_lines", "n_dropped", "kept"],
+                ["row", "n_lines", "n_dropped", "kept"],
             )
 
     return run

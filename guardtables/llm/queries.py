@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, table
-from . import language, line_index, piece_encoding, toxicity
+from . import decontaminate, language, line_index, piece_encoding, toxicity, weighted_minhash
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,7 +52,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(remainder("doc_id", 5) != 0)
-    found = toxicity.toxicity(docs, docs.join(labels, "doc_id"))
+    found = toxicity.toxicity(docs, labels)
     return found.select(
         "doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
@@ -86,4 +86,15 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     index = line_index.LineIndex(spark, line_index.shared_folder(spark, "line-index")).insert(docs)
-    return index.drop_repeated(docs).select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept")).alias("kept_sha256"))
+    kept = index.drop_repeated(docs.select("doc_id", "text"))
+    return kept.select("row.doc_id", "n_lines", "n_dropped", sha256(F.col("kept")).alias("kept_sha256"))
+
+
+@query("op3_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_near_duplicates")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"))

@@ -115,17 +115,18 @@ def fit(toxic: list[str], ordinary: list[str], share: float = 0.5) -> Distance:
     return model
 
 
-def sample(labelled: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[str], float]:
-    """At most ``size`` toxic and ``size`` ordinary texts of ``labelled`` (``doc_id``, ``text``, ``toxic``),
-    and the share of toxic documents among all labelled ones."""
-    known = labelled.where("toxic in (0, 1) and text is not null").select("doc_id", "toxic").distinct()
+def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> tuple[list[str], list[str], float]:
+    """Texts of at most ``size`` toxic and ``size`` ordinary documents, and the share of toxic labels.
+
+    Ids are picked from ``labels`` (``doc_id``, ``toxic``) first, so only the chosen texts travel.
+    """
+    known = labels.where("toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").distinct()
     share = known.agg(F.avg("toxic")).first()[0]
     sides = []
     for label in (1, 0):
-        rows = labelled.where((F.col("toxic") == label) & F.col("text").isNotNull())
-        # Ids are picked first, so that only the chosen texts travel.
-        picked = rows.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
-        texts = rows.join(F.broadcast(picked), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+        picked = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
+        chosen = docs.where("text is not null").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi")
+        texts = chosen.groupBy("doc_id").agg(F.min("text").alias("text"))
         sides.append([r.text for r in texts.orderBy("doc_id").collect()])
     return sides[0], sides[1], 0.5 if share is None else share
 
@@ -144,15 +145,14 @@ def _scores(sent):
     return run
 
 
-def toxicity(docs: DataFrame, labelled: DataFrame, size: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """Toxicity of each whole text: ``doc_id``, ``score`` (0 to 1, 0.5 at the calibrated threshold).
 
-    ``labelled`` has ``doc_id``, ``text`` and ``toxic`` (0 or 1; other values and nulls teach nothing).
-    A text's score follows from the window in which the dictionary of toxic text saves most
-    against the ordinary one. Null and empty texts have no window and score like a window without
-    any saving. Repeated rows are scored each by themselves; other columns are not read.
+    ``labels`` has ``doc_id`` and ``toxic`` (0 or 1; other values, nulls and ids without a text teach
+    nothing). A text's score follows from the window in which the dictionary of toxic text saves
+    most against the ordinary one. Null and empty texts have no window and score like a window
+    without any saving. Repeated rows are scored each by themselves; other columns are not read.
     """
-    model = fit(*sample(labelled, size))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(fit(*sample(texts, labels, size)))
     return texts.mapInArrow(_scores(sent), "doc_id long, score double")
