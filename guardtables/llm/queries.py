@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, table
-from . import decontaminate, language, line_index, piece_encoding, toxicity, weighted_minhash
+from . import binary_codes, decontaminate, language, line_index, piece_encoding, toxicity, weighted_minhash
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_near_duplicates")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weighted_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_binary_codes")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return binary_codes.vector_links(table(spark, sf_dir, "embeddings"))
