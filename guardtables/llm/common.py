@@ -90,7 +90,7 @@ class Rolling:
         if n <= 0:
             return np.zeros(0, np.uint64)
         value = (self.sums[size:] - self.sums[:n]) * self.back[:n]
-        return mixed(value + np.uint64(salt) + np.uint64(size) * np.uint64(0xD6E8FEB86659FD93))
+        return mixed(value + np.uint64((salt + size * 0xD6E8FEB86659FD93) % (1 << 64)))
 
 
 # Bytes of a word: ASCII letters and digits, and all bytes of other characters.
