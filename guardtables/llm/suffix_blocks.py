@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .common import SLICE_BYTES, Rolling, mixed, raw, signed, slices
 
 LENGTH, GRAM, PERIOD = 200, 40, 32
@@ -97,7 +98,7 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes of the segments that their bucket needs."""
     for batch in batches:
-        lists = batch.column("shipped")
+        lists = batch.column("shipped")  # the other columns are there only for the shuffle to be shared
         bounds, parts = lists.offsets.to_numpy(), lists.flatten()
         rows = np.repeat(np.arange(len(batch)), np.diff(bounds))
         gram, anchor, low, high, many = (parts.field(i).to_numpy() for i in range(5))
@@ -319,41 +320,45 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("print", F.xxhash64("text"))
-    texts = rows.select("id", "print", "text")
-    anchors = texts.mapInArrow(_anchors, ANCHORS)
-    # Equal segments of a bucket, and how many different ones the bucket has.
-    alike = anchors.groupBy("gram", "segment").agg(
-        F.count("*").alias("copies"), F.min(F.struct("id", "print", "low")).alias("chosen")
-    )
-    buckets = alike.groupBy("gram").agg(F.count("*").alias("many"), F.max("copies").alias("most"))
-    classes = alike.join(buckets.where("many > 1 or most > 1"), "gram").where("many > 1 or copies > 1")
-    marked = anchors.join(classes, ["gram", "segment"])
-    ships = (F.col("many") > 1) & (F.struct("id", "print", "low") == F.col("chosen"))
-    work = marked.groupBy("id", "print").agg(
-        F.collect_list(F.when(F.col("copies") > 1, F.struct("low", "high"))).alias("whole"),
-        F.collect_set(F.when(ships, F.struct("gram", "anchor", "low", "high", "many"))).alias("shipped"),
-    )
-    placed = texts.join(work.where(F.size("shipped") > 0).select("id", "print", "shipped"), ["id", "print"])
-    sent = placed.dropDuplicates(["id", "print"]).mapInArrow(
-        _ship, "id long, print long, gram long, many long, low int, shift int, bytes binary"
+    anchors = rows.select("id", "print", "text").mapInArrow(_anchors, ANCHORS)
+    # Most anchors stand alone: only those of buckets with two segments or more go on.
+    shared = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    held = cut(anchors.join(shared, "gram"))
+    # Equal segments of a bucket, and how many different ones the bucket has. If two rows were chosen by equal
+    # hashes, the segment has copies anyhow.
+    mark = F.xxhash64("id", "print", "low")
+    alike = held.groupBy("gram", "segment").agg(F.count("*").alias("copies"), F.min(mark).alias("chosen"))
+    buckets = alike.groupBy("gram").agg(F.count("*").alias("many"))
+    classes = alike.join(buckets, "gram")
+    ships = (F.col("many") > 1) & (mark == F.col("chosen"))
+    work = cut(
+        held.join(classes, ["gram", "segment"]).groupBy("id", "print").agg(
+            F.collect_list(F.when(F.col("copies") > 1, F.struct("low", "high"))).alias("whole"),
+            F.collect_list(F.when(ships, F.struct("gram", "anchor", "low", "high", "many"))).alias("shipped"),
+        )
     )
-    few = sent.where(F.col("many") <= BUCKET_ROWS)
-    dealt = few.repartition("gram").sortWithinPartitions("gram")
+    # The same rows, dealt by the same keys, serve for shipping and for the result.
+    placed = rows.join(work.where(F.size("shipped") > 0).select("id", "print", "shipped"), ["id", "print"])
+    sent = placed.mapInArrow(_ship, "id long, print long, gram long, many long, low int, shift int, bytes binary")
+    dealt = sent.where(F.col("many") <= BUCKET_ROWS).repartition("gram").sortWithinPartitions("gram")
     spans = dealt.mapInArrow(_sorted_blocks, "id long, print long, low int, high int")
-    # Buckets of very many segments: windows are counted by digest, with a map-side part.
-    windows = sent.where(F.col("many") > BUCKET_ROWS).select(
-        "id", "print", "low", F.posexplode(
-            F.transform(
-                F.sequence(F.lit(1), F.octet_length("bytes") - LENGTH + 1),
-                lambda i: F.md5(F.col("bytes").substr(i, F.lit(LENGTH))),
+    if work.where(F.exists("shipped", lambda x: x["many"] > BUCKET_ROWS)).limit(1).count():
+        # Buckets of very many segments: windows are counted by digest, with a map-side part.
+        windows = cut(
+            sent.where(F.col("many") > BUCKET_ROWS).select(
+                "id", "print", "low", F.posexplode(
+                    F.transform(
+                        F.sequence(F.lit(1), F.octet_length("bytes") - LENGTH + 1),
+                        lambda i: F.unhex(F.md5(F.col("bytes").substr(i, F.lit(LENGTH)))),
+                    )
+                ).alias("at", "digest"),
             )
-        ).alias("at", "digest"),
-    )
-    common = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    hot = windows.join(common, "digest").select(
-        "id", "print", (F.col("low") + F.col("at")).alias("low"), (F.col("low") + F.col("at")).alias("high")
-    )
-    found = spans.union(hot).groupBy("id", "print").agg(F.collect_list(F.struct("low", "high")).alias("found"))
+        )
+        common = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+        place = F.col("low") + F.col("at")
+        hot = windows.join(common, "digest").select("id", "print", place.alias("low"), place.alias("high"))
+        spans = spans.union(hot)
+    found = spans.groupBy("id", "print").agg(F.collect_list(F.struct("low", "high")).alias("found"))
     none = F.array().cast("array<struct<low:int,high:int>>")
     joined = (
         rows.join(work.select("id", "print", "whole"), ["id", "print"], "left").join(found, ["id", "print"], "left")
