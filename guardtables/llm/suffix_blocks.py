@@ -12,11 +12,12 @@ dealt into buckets by content, and only one block of buckets is sorted at a time
    of a difference cover modulo ``PERIOD``, and longer ties are resolved by ranks of the cover's sample, which are
    computed before, with the lengths of common prefixes of neighbouring ranks.
 
-Memory is bounded by the block that is sorted. Buckets of very many different segments are not sorted in a task:
-there every window is counted by its digest with a grouped aggregate.
+Memory is bounded by the block that is sorted. A bucket of very many different segments is sorted in parts, and
+windows that only different parts hold meet by their digests in a grouped aggregate.
 """
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -153,8 +154,10 @@ def ranked(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, fresh
 
 
-def repeated_windows(buckets: np.ndarray, shifts: np.ndarray, texts: list[bytes]) -> list[np.ndarray]:
-    """For each segment which of its windows another segment of its bucket holds too.
+def repeated_windows(
+    buckets: np.ndarray, shifts: np.ndarray, texts: list[bytes]
+) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each segment which of its windows another segment of its bucket holds too, and one window of each class.
 
     ``shifts`` are the anchors' places in the segments. Segments are laid out so that anchors fall
     on multiples of ``PERIOD``: windows that can be equal are at one place of the cover.
@@ -225,42 +228,47 @@ def repeated_windows(buckets: np.ndarray, shifts: np.ndarray, texts: list[bytes]
     aligned = place - (start + shifts)[owner]
     order, fresh = ranked([buckets[owner], aligned, *heads, group])
     alone = fresh & np.concatenate([fresh[1:], [True]])
-    repeated = np.empty(len(place), bool)
-    repeated[order] = ~alone
-    return np.split(repeated, np.cumsum(counts)[:-1])
+    repeated, chosen = np.empty(len(place), bool), np.empty(len(place), bool)
+    repeated[order], chosen[order] = ~alone, fresh
+    cuts = np.cumsum(counts)[:-1]
+    return list(zip(np.split(repeated, cuts), np.split(chosen, cuts), strict=True))
 
 
 def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of repeated windows; rows come sorted by bucket, and whole buckets are sorted a block at a time."""
 
     def solved(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        keys = rows.column("gram").to_numpy() ^ (rows.column("part").to_numpy() + 1)
+        texts = rows.column("bytes").to_pylist()
         found = repeated_windows(
-            np.unique(rows.column("gram").to_numpy(), return_inverse=True)[1],
-            rows.column("shift").to_numpy().astype(np.int64), rows.column("bytes").to_pylist(),
+            np.unique(keys, return_inverse=True)[1], rows.column("shift").to_numpy().astype(np.int64), texts
         )
-        take, low, high = [], [], []
-        begins = rows.column("low").to_numpy()
-        for i, flags in enumerate(found):
+        take, low, high, digests = [], [], [], []
+        begins, parts = rows.column("low").to_numpy(), rows.column("parts").to_numpy()
+        for i, (flags, chosen) in enumerate(found):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.view(np.int8), [0]])))
             take += [i] * (len(edges) // 2)
             low += (begins[i] + edges[::2]).tolist()
             high += (begins[i] + edges[1::2] - 1).tolist()
-        rows = rows.combine_chunks()
-        chosen = rows.select(["id", "print"]).take(pa.array(take, pa.int64()))
+            digests += [None] * (len(edges) // 2)
+            if parts[i] > 1:  # other parts of the bucket may hold these windows too
+                at = np.flatnonzero(chosen).tolist()
+                take += [i] * len(at)
+                low += [int(begins[i]) + w for w in at]
+                high += [int(begins[i]) + w for w in at]
+                digests += [hashlib.blake2b(texts[i][w : w + LENGTH], digest_size=16).digest() for w in at]
+        ids = [rows.column(n).chunk(0).take(pa.array(take, pa.int64())) for n in ("id", "print")]
         return pa.RecordBatch.from_arrays(
-            [
-                pa.concat_arrays(chosen.column("id").chunks) if take else pa.array([], pa.int64()),
-                pa.concat_arrays(chosen.column("print").chunks) if take else pa.array([], pa.int64()),
-                pa.array(low, pa.int32()), pa.array(high, pa.int32()),
-            ],
-            ["id", "print", "low", "high"],
+            [*ids, pa.array(low, pa.int32()), pa.array(high, pa.int32()), pa.array(digests, pa.binary())],
+            ["id", "print", "low", "high", "digest"],
         )
 
     held = None
     for batch in batches:
         rows = pa.Table.from_batches([batch])
         rows = rows if held is None else pa.concat_tables([held, rows])
-        grams = rows.column("gram").to_numpy()
+        grams = rows.column("gram").to_numpy() ^ (rows.column("part").to_numpy() + 1)
         size = np.cumsum([len(b) for b in rows.column("bytes").to_pylist()])
         ends = np.flatnonzero(grams[1:] != grams[:-1]) + 1  # whole buckets end here; the last one may go on
         at = 0
@@ -340,24 +348,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     # The same rows, dealt by the same keys, serve for shipping and for the result.
     placed = rows.join(work.where(F.size("shipped") > 0).select("id", "print", "shipped"), ["id", "print"])
     sent = placed.mapInArrow(_ship, "id long, print long, gram long, many long, low int, shift int, bytes binary")
-    dealt = sent.where(F.col("many") <= BUCKET_ROWS).repartition("gram").sortWithinPartitions("gram")
-    spans = dealt.mapInArrow(_sorted_blocks, "id long, print long, low int, high int")
+    # A bucket of very many segments is sorted in parts. One window of each class of a part then meets those of the
+    # bucket's other parts by its digest, in an aggregate with a map-side part.
+    sent = sent.withColumn("parts", F.ceil(F.col("many") / BUCKET_ROWS)).withColumn(
+        "part", F.pmod(F.xxhash64("id", "print", "low"), F.col("parts"))
+    )
+    dealt = sent.repartition("gram", "part").sortWithinPartitions("gram", "part")
+    spans = dealt.mapInArrow(_sorted_blocks, "id long, print long, low int, high int, digest binary")
     if work.where(F.exists("shipped", lambda x: x["many"] > BUCKET_ROWS)).limit(1).count():
-        # Buckets of very many segments: windows are counted by digest, with a map-side part.
-        windows = cut(
-            sent.where(F.col("many") > BUCKET_ROWS).select(
-                "id", "print", "low", F.posexplode(
-                    F.transform(
-                        F.sequence(F.lit(1), F.octet_length("bytes") - LENGTH + 1),
-                        lambda i: F.unhex(F.md5(F.col("bytes").substr(i, F.lit(LENGTH)))),
-                    )
-                ).alias("at", "digest"),
-            )
-        )
-        common = windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-        place = F.col("low") + F.col("at")
-        hot = windows.join(common, "digest").select("id", "print", place.alias("low"), place.alias("high"))
-        spans = spans.union(hot)
+        spans = cut(spans)
+        met = spans.where("digest is not null")
+        again = met.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+        spans = spans.where("digest is null").union(met.join(again, "digest").select(spans.columns))
     found = spans.groupBy("id", "print").agg(F.collect_list(F.struct("low", "high")).alias("found"))
     none = F.array().cast("array<struct<low:int,high:int>>")
     joined = (
