@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, table
-from . import binary_codes, decontaminate, language, line_index, piece_encoding, suffix_blocks, toxicity, weighted_minhash
+from . import binary_codes, decontaminate, language, line_index, piece_encoding, suffix_blocks, suffix_tree, toxicity, weighted_minhash
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_blocks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_bytes", "n_removed", "n_spans", sha256(F.col("kept")).alias("kept_sha256"))
+
+
+@query("op1_suffix_tree")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
