@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure, table
-from . import binary_codes, decontaminate, language, line_index, piece_encoding, suffix_blocks, suffix_tree, toxicity, weighted_minhash
+from . import (
+    binary_codes, decontaminate, language, line_index, page_template, piece_encoding, suffix_blocks, suffix_tree,
+    toxicity, weighted_minhash,
+)
 from .common import remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +117,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_suffix_tree")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(table(spark, sf_dir, "documents"), remainder("doc_id", 10) == 0)
+
+
+@query("op2_page_template")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = page_template.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select(
+        "row.page_id", "row.url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars")
+    )
