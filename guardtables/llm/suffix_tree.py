@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 from .common import raw, slices
 
-DEPTH, LEAST = 7, 5e-6
+DEPTH, LEAST = 7, 1e-5
 # Bytes of a block in which candidates are named, and of the documents that are scored together with their words.
 BLOCK_BYTES, GROUP_BYTES = 8 << 20, 24 << 20
 BLANK, END = 32, 10
@@ -241,45 +241,46 @@ def grow(automaton: Automaton, counts: np.ndarray, depth: int, least: float) ->
 
     ``counts`` has what followed each state where it was the longest suffix.
     """
-    counts = counts.reshape(-1, automaton.width).astype(np.float64)
+    counts = counts.reshape(-1, automaton.width)
     lengths, suffix = automaton.lengths, automaton.suffix
-    for length in range(int(lengths.max()), 0, -1):  # a context is also seen wherever a longer one ends in it
-        mine = np.flatnonzero(lengths == length)
-        np.add.at(counts, suffix[mine], counts[mine])
+    levels = [np.flatnonzero(lengths == n) for n in range(int(lengths.max()) + 1)]
+    for mine in reversed(levels[1:]):  # a context is also seen wherever a longer one ends in it
+        order = mine[np.argsort(suffix[mine], kind="stable")]
+        first = np.flatnonzero(np.diff(suffix[order], prepend=-1))
+        counts[suffix[order[first]]] += np.add.reduceat(counts[order], first, axis=0)
     seen = counts.sum(axis=1)
-    different = (counts > 0).sum(axis=1)
+    different = np.count_nonzero(counts, axis=1)
     unseen = max(1, 256 - (automaton.width - 1))
     uniform = np.full(automaton.width, 1.0 / (automaton.width - 1 + unseen))
     uniform[-1] *= unseen
-    chance = np.zeros_like(counts)
+    chance = np.empty(counts.shape, np.float32)
     chance[0] = (counts[0] + uniform) / (seen[0] + 1.0)
     kept = np.zeros(len(lengths), bool)
     kept[0] = True
+
+    def smooth(mine: np.ndarray, above: np.ndarray) -> np.ndarray:
+        n = np.maximum(different[mine], 1)[:, None]
+        return (counts[mine] + n * above) / (seen[mine][:, None] + n)
+
     # Divergence of each context from its suffix, with the suffix's own smoothed distribution.
-    for length in range(1, int(lengths.max()) + 1):
-        mine = np.flatnonzero(lengths == length)
-        above, n = chance[suffix[mine]], different[mine][:, None]
-        chance[mine] = (counts[mine] + n * above) / np.maximum(seen[mine][:, None] + n, 1.0)
-        chance[mine] = np.where(seen[mine][:, None] > 0, chance[mine], above)
-        share = counts[mine] / np.maximum(seen[mine][:, None], 1.0)
-        gain = (counts[mine] * np.log(np.where(share > 0, share, 1.0) / np.where(share > 0, above, 1.0))).sum(axis=1)
-        kept[mine] = (seen[mine] >= least) & (gain > 0.5 * different[mine] * np.log(np.maximum(seen[mine], 2.0)))
-    for length in range(int(lengths.max()), 1, -1):
-        mine = np.flatnonzero((lengths == length) & kept)
-        kept[suffix[mine]] = True
+    for level in levels[1:]:
+        for mine in np.array_split(level, len(level) // 8192 + 1):
+            above = chance[suffix[mine]]
+            chance[mine] = smooth(mine, above)
+            share = counts[mine] / np.maximum(seen[mine][:, None], 1)
+            ratio = np.log(np.where(share > 0, share, 1.0) / np.where(share > 0, above, 1.0))
+            cost = 0.5 * different[mine] * np.log(np.maximum(seen[mine], 2))
+            kept[mine] = (seen[mine] >= least) & ((counts[mine] * ratio).sum(axis=1) > cost)
+    for mine in reversed(levels[2:]):
+        kept[suffix[mine[kept[mine]]]] = True
     # States that did not stay, and the smoothing through them, follow the longest suffix that did.
-    node = np.arange(len(lengths))
-    for length in range(1, int(lengths.max()) + 1):
-        mine = np.flatnonzero(lengths == length)
-        above = chance[node[suffix[mine]]]
-        n = different[mine][:, None]
-        chance[mine] = np.where(
-            kept[mine][:, None], (counts[mine] + n * above) / np.maximum(seen[mine][:, None] + n, 1.0), above
-        )
-        node[mine] = np.where(kept[mine], mine, node[suffix[mine]])
-    values = np.log10(np.maximum(chance, 1e-300))
-    values[:, -1] -= math.log10(unseen)  # one byte of those that share the last symbol
-    return Tree(automaton, depth, kept, values.astype(np.float32).ravel())
+    for level in levels[1:]:
+        for mine in np.array_split(level, len(level) // 8192 + 1):
+            above = chance[suffix[mine]]
+            chance[mine] = np.where(kept[mine][:, None], smooth(mine, above), above)
+    np.log10(np.maximum(chance, np.float32(1e-37)), out=chance)
+    chance[:, -1] -= np.float32(math.log10(unseen))  # one byte of those that share the last symbol
+    return Tree(automaton, depth, kept, chance.ravel())
 
 
 def train(texts: DataFrame, depth: int = DEPTH, share: float = LEAST) -> tuple[Tree, int]:
@@ -290,13 +291,13 @@ def train(texts: DataFrame, depth: int = DEPTH, share: float = LEAST) -> tuple[T
     single = codes[codes >> np.uint64(56) == 1] & np.uint64(255)
     used = np.union1d(single.astype(np.int64), [BLANK, END])
     automaton = Automaton(codes, used)
-    counted = texts.mapInArrow(
-        _followers(spark.sparkContext.broadcast(automaton), depth), "shard int, places binary, counts binary"
-    )
+    sent = spark.sparkContext.broadcast(automaton)
+    counted = texts.mapInArrow(_followers(sent, depth), "shard int, places binary, counts binary")
     counts = np.zeros(len(automaton.table), np.int64)
     size = SHARD * automaton.width
     for row in counted.repartition("shard").mapInArrow(_added, counted.schema).collect():  # bounded by DEPTH / LEAST contexts
         counts[row.shard * size + np.frombuffer(row.places, np.int32)] = np.frombuffer(row.counts, np.int64)
+    sent.unpersist()
     tokens = counts.reshape(-1, automaton.width)[:, automaton.symbol[[BLANK, END]]].sum()
     return grow(automaton, counts, depth, max(2.0, share * counts.sum())), int(tokens)
 
