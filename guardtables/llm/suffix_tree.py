@@ -38,6 +38,8 @@ from .common import raw, slices
 DEPTH, LEAST = 7, 1e-5
 # Bytes of a block in which candidates are named, and of the documents that are scored together with their words.
 BLOCK_BYTES, GROUP_BYTES = 8 << 20, 24 << 20
+# Bytes of text that are scored at once.
+SCORED_BYTES = 1 << 20
 BLANK, END = 32, 10
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -77,7 +79,7 @@ def frequent(x: np.ndarray, least: float, depth: int) -> list[np.ndarray]:
     used = np.flatnonzero(np.bincount(x, minlength=256))
     dense = np.zeros(256, np.int32)
     dense[used] = np.arange(len(used))
-    x, width, end = dense[x], np.int32(max(1, len(used))), dense[END]
+    x, width, end = dense.astype(np.uint8)[x], np.int32(max(1, len(used))), dense[END]
     found, codes = [], np.zeros(1, np.uint64)
     at, ids = np.arange(len(x), dtype=np.int32), np.zeros(len(x), np.int32)
     for length in range(1, depth + 1):
@@ -93,8 +95,9 @@ def frequent(x: np.ndarray, least: float, depth: int) -> list[np.ndarray]:
         new = np.full(len(counts), -1, np.int32)
         new[named] = np.arange(len(named))
         ids = new[keys]
-        going = np.flatnonzero((ids >= 0) & (at + 1 < len(x)))
-        ids, at = ids[going], at[going] + 1
+        del keys, counts, new
+        going = (ids >= 0) & (at < len(x) - 1)
+        ids, at = ids[going], at[going] + np.int32(1)
     return found
 
 
@@ -184,7 +187,7 @@ def _followers(sent, depth: int):
         automaton: Automaton = sent.value
         total = np.zeros(len(automaton.table), np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 * SCORED_BYTES):
                 x, _ = symbols(part.column("text"))
                 total += np.bincount(automaton.read(x, depth, None), minlength=len(total))
         size = SHARD * automaton.width
@@ -348,8 +351,14 @@ def smoothed(counts: np.ndarray, tree: np.ndarray, total: int) -> np.ndarray:
     """log10 probabilities of tokens for each of the weights, from their counts and what the tree says."""
     with np.errstate(divide="ignore"):
         own = np.log(np.maximum(counts, 0))
-    weights = np.array([max(1.0, p * total) for p in PRIORS])[:, None]
-    return (np.logaddexp(own, np.log(weights) + tree * math.log(10)) - np.log(max(0, total) + weights)) / math.log(10)
+    tree = tree * math.log(10)
+    out = np.empty((len(PRIORS), len(own)))
+    for row, prior in zip(out, PRIORS, strict=True):
+        weight = max(1.0, prior * total)
+        np.logaddexp(own, math.log(weight) + tree, out=row)
+        row -= math.log(max(0, total) + weight)
+    out /= math.log(10)
+    return out
 
 
 def _score(sent, tokens: int, ends: int):
@@ -357,12 +366,13 @@ def _score(sent, tokens: int, ends: int):
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
         tree: Tree = sent.value
-        totals = words.column("total").to_pylist() if words.num_rows else []
-        counts = dict(zip(words.column("word").to_pylist(), totals, strict=True)) if totals else {}
-        firsts = int(words.column("first").to_numpy().sum()) if words.num_rows else 0
+        counts, firsts = {}, 0
+        for batch in words.to_batches(max_chunksize=50_000):
+            counts.update(zip(batch.column("word").to_pylist(), batch.column("total").to_pylist(), strict=True))
+            firsts += int(batch.column("first").to_numpy().sum())
         out = []
-        for batch in docs.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches():
-            for part in slices(batch, "text"):
+        for batch in docs.select(["doc_id", "held_out", "text"]).to_batches():
+            for part in slices(batch, "text", SCORED_BYTES):
                 x, _ = symbols(part.column("text"))
                 said = tree.tokens(x)
                 held = np.empty(len(said), np.int64)
