@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -213,32 +213,48 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def weighted_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted sets of shingles with their weights."""
-    spot = np.searchsorted(b, a)
-    inside = spot < len(b)
-    inside[inside] = b[spot[inside]] == a[inside]
-    shared = float(np.minimum(wa[inside], wb[spot[inside]]).sum())
-    whole = float(wa.sum() + wb.sum()) - shared
-    return shared / whole if whole > 0 else 0.0
+def shared_weight(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weight that two sorted sets of shingles share, and which of the first one's weigh more than in the second."""
+    spot = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
+    other = np.where(b[spot] == a, wb[spot], 0.0) if len(b) else np.zeros(len(a))
+    return float(np.minimum(wa, other).sum()), wa > other
 
 
-def _verify(sent):
+MEASURED = "v long, u long, similarity double, shared double, total double"
+
+
+def _compare(sent, added: bool):
+    """Exact similarities of pairs; or, for each pair, the shingles that ``v`` adds to ``u``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights: Weights = sent.value
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("runs", "counts", "runs_u", "counts_u")]
             last, kept = None, None
-            found = []
+            measured, more = [], []
             for ra, ca, rb, cb in zip(*columns, strict=True):
                 a = np.frombuffer(ra, np.uint64)
-                if rb != last:  # rows of one centre follow each other
+                if rb != last:  # rows of one centre mostly follow each other
                     b = np.frombuffer(rb, np.uint64)
                     last, kept = rb, (b, weights.of(b, np.frombuffer(cb, np.int32)))
-                found.append(weighted_jaccard(a, weights.of(a, np.frombuffer(ca, np.int32)), *kept))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("v"), batch.column("u"), pa.array(found, pa.float64())], ["v", "u", "similarity"]
-            )
+                wa = weights.of(a, np.frombuffer(ca, np.int32))
+                shared, beyond = shared_weight(a, wa, *kept)
+                total = float(wa.sum())
+                whole = total + float(kept[1].sum()) - shared
+                measured.append((shared / whole if whole > 0 else 0.0, shared, total))
+                if added:
+                    more.append(a[beyond])
+            if added:
+                rows = pa.array(np.repeat(np.arange(len(more)), [len(m) for m in more]))
+                found = signed(np.concatenate(more)) if more else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("v").take(rows), batch.column("u").take(rows), pa.array(found)], ["v", "u", "shingle"]
+                )
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("v"), batch.column("u"), *(pa.array([m[i] for m in measured], pa.float64()) for i in range(3))],
+                    ["v", "u", "similarity", "shared", "total"],
+                )
 
     return run
 
@@ -248,10 +264,15 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
 
     The first frame has a row for each document: ``doc_id``, ``n_words`` and ``rep``, the smallest
     ``doc_id`` with the same words in the same order. The second has ``v``, ``u`` (representatives)
-    and ``similarity`` for links that join all documents of a component. Inside a bucket each member
-    is compared with one centre, drawn by a hash for each bucket, and then with all members that
-    are not yet in its component, so near copies of one text cost a comparison each and no link
-    between components is left out.
+    and ``similarity`` for links that join all documents of a component.
+
+    Inside a bucket each member is first compared with one centre c, drawn by a hash for each bucket. Two members
+    x and y that are not in one component by then may still be linked, but for most pairs that is ruled out
+    without a comparison. With I for the weight that a member shares with c and T for its whole weight, x
+    and y share at most min(Ix, Iy), and beyond that only what both add to c. A link needs a shared weight of
+    s / (1 + s) of Tx + Ty. So y is compared with x only where min(Ix, Iy) reaches that, or where both add
+    the same shingle to c and the bound with the added weight reaches it. Near copies of one text, each with
+    changes of its own, thus cost a comparison each, and no link between components is left out.
     """
     spark, texts = docs.sparkSession, _texts(docs)
     sent = spark.sparkContext.broadcast(Weights(*frequencies(docs), FLOOR))
@@ -273,30 +294,41 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         .mapInArrow(_sets, "doc_id long, runs binary, counts binary").distinct()
     )
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Pairs at or above the similarity; one whole set travels for each pair, the other side is the centre's."""
+    def with_sets(pairs: DataFrame) -> DataFrame:
+        """Pairs with the sets of both: one set travels for each pair, the other one is the centre's."""
         one = sets.select(F.col("doc_id").alias("v"), "runs", "counts")
         two = sets.select(F.col("doc_id").alias("u"), F.col("runs").alias("runs_u"), F.col("counts").alias("counts_u"))
-        both = pairs.join(one, "v").join(two, "u")
-        found = both.mapInArrow(_verify(sent), "v long, u long, similarity double")
-        return found.where(F.col("similarity") >= similarity - 1e-12)
+        return pairs.select("v", "u").join(one, "v").join(two, "u")
 
-    links = cut(verified(stars))
-    # Members of a bucket that are in different components may still be linked to each other.
+    linked = F.col("similarity") >= similarity - 1e-12
+    measured = cut(with_sets(stars).mapInArrow(_compare(sent, False), MEASURED))
+    links = measured.where(linked).select("v", "u", "similarity")
+    # Components so far; only centres with members in different ones go on.
     joined = components(links, "v", "u")
-    where = placed.join(joined.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "band", "key", "rep", F.coalesce("component_id", "rep").alias("component")
+    around = measured.select("v", "u", "shared", "total").join(joined.withColumnRenamed("id", "v"), "v", "left").select(
+        "u", "v", "shared", "total", F.coalesce("component_id", "v").alias("component")
     )
-    mixed_buckets = where.groupBy("band", "key").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    open_rows = cut(where.join(mixed_buckets.where("a <> b").select("band", "key"), ["band", "key"]))
-    other = open_rows.select("band", "key", F.col("rep").alias("u"), F.col("component").alias("other"))
+    several = around.groupBy("u").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    members_of = cut(around.join(several.select("u"), "u"))
+    needed = similarity / (1 + similarity) * (F.col("x.total") + F.col("y.total")) - 1e-9
+    inside = F.least("x.shared", "y.shared")
+    beyond = F.least(F.col("x.total") - F.col("x.shared"), F.col("y.total") - F.col("y.shared"))
+    apart = F.col("x.component") < F.col("y.component")
+
+    def meeting(rows: DataFrame, keys: list[str], bound: Column) -> DataFrame:
+        on = [F.col(f"x.{k}") == F.col(f"y.{k}") for k in keys]
+        both = rows.alias("x").join(rows.alias("y"), [*on, apart, bound >= needed])
+        return both.select(F.col("x.v").alias("v"), F.col("y.v").alias("u"))
+
+    added = with_sets(members_of).mapInArrow(_compare(sent, True), "v long, u long, shingle long")
+    added = cut(added.join(members_of, ["v", "u"]))
+    common = added.groupBy("u", "shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"))
+    shared_more = added.join(common.where("a <> b").select("u", "shingle"), ["u", "shingle"])
     pairs = (
-        open_rows.withColumnRenamed("rep", "v").join(other, ["band", "key"])
-        .where("component < other").select("v", "u").distinct()
+        meeting(members_of, ["u"], inside).union(meeting(shared_more, ["u", "shingle"], inside + beyond)).distinct()
     )
-    compared = stars.union(stars.select("u", "v"))
-    more = verified(pairs.join(compared, ["v", "u"], "left_anti"))
-    return members, cut(links.union(more))
+    more = with_sets(pairs).mapInArrow(_compare(sent, False), MEASURED).where(linked)
+    return members, cut(links.union(more.select("v", "u", "similarity")))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
