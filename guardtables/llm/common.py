@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 # Text handled at once inside a task; a longer single text is handled alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 # Odd multiplier of the rolling hashes, its inverse modulo 2^64, and the constants of the finalizer.
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 1 << 64)

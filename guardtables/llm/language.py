@@ -68,7 +68,7 @@ def top(codes: np.ndarray, size: int = PROFILE) -> np.ndarray:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 1 << 20):  # three numbers of 8 bytes for each character
             langs = np.array(part.column("lang").to_pylist(), object)
             texts = np.array(part.column("text").to_pylist(), object)
             for lang in set(langs):

@@ -92,8 +92,9 @@ def encoder(model: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _TABLES.get(model) or _TABLES.setdefault(model, ChunkTable(model))
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, "text"):
                 yield encoded(table, part)
+        table.clear()  # a worker may go on with other work
 
     return run
 

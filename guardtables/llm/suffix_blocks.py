@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .common import SLICE_BYTES, Rolling, mixed, raw, signed, slices
+from .common import Rolling, mixed, raw, signed, slices
 
 LENGTH, GRAM, PERIOD = 200, 40, 32
 # Bytes of segments that are sorted at once, and different segments of a bucket that a task sorts.
@@ -84,7 +84,7 @@ def segments(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch, "text", SLICE_BYTES // 2):
+        for part in slices(batch, "text"):
             found = segments(*raw(part.column("text")))
             rows = pa.array(found["text"])
             yield pa.RecordBatch.from_arrays(

@@ -266,7 +266,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     ``doc_id`` with the same words in the same order. The second has ``v``, ``u`` (representatives)
     and ``similarity`` for links that join all documents of a component.
 
-    Inside a bucket each member is first compared with one centre c, drawn by a hash for each bucket. Two members
+    Inside a bucket each member is first compared with one centre c, the most central member. Two members
     x and y that are not in one component by then may still be linked, but for most pairs that is ruled out
     without a comparison. With I for the weight that a member shares with c and T for its whole weight, x
     and y share at most min(Ix, Iy), and beyond that only what both add to c. A link needs a shared weight of
@@ -284,10 +284,14 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         "doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")
     )
     buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(
-        F.min_by("rep", F.xxhash64("rep", "band", "key")).alias("u"), F.count("*").alias("n")
+    # The centre of a bucket is the member that meets most others over all its buckets: of near copies the one that
+    # was changed least.
+    sized = buckets.join(
+        buckets.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), ["band", "key"]
     )
-    placed = cut(buckets.join(shared.where("n > 1"), ["band", "key"]))
+    met = cut(sized.join(sized.groupBy("rep").agg(F.sum("n").alias("met")), "rep"))
+    centres = met.groupBy("band", "key").agg(F.min_by("rep", F.struct(-F.col("met"), F.col("rep"))).alias("u"))
+    placed = met.join(centres, ["band", "key"])
     stars = placed.where("rep <> u").select(F.col("rep").alias("v"), "u").distinct()
     sets = cut(
         texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
