@@ -122,7 +122,7 @@ class Items:
             w = c * (self.weights[i] if int(self.known[i]) == s else self.other)
             total += w
             shared += min(w, item.shingles.get(s, 0.0))
-        return shared / (total + item.total - shared)
+        return round(shared / (total + item.total - shared), 12)  # sums of equal weights may differ in the last bits
 
     def matches(self, hashes: np.ndarray) -> list[tuple[int, float, int, int]]:
         """Best window of a document for every item that reaches the similarity: id, similarity, first word, words."""
