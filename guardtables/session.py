@@ -14,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Python workers hold one batch at a time; texts may be long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # Lower-casing of whole texts is several times faster without ICU.
     "spark.sql.icu.caseMappings.enabled": "false",
 }
