@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import components
+from .common import components, tidy
 
 COSINE = 0.9
 # Chance that a pair at exactly the wanted cosine meets in no band, and half-width of the bound in deviations.
@@ -201,7 +201,7 @@ def similar_pairs(units: DataFrame, cosine: float = COSINE) -> DataFrame:
     blocks is its own group of rows, so no task holds a whole hot bucket.
     """
     bits, bands = bands_for(units.count(), cosine)
-    codes = cut(units.mapInArrow(_codes(bits, bands, cosine), CODES))
+    codes = cut(units.mapInArrow(tidy(_codes(bits, bands, cosine)), CODES))
     light = codes.select("dims", F.posexplode("keys").alias("band", "key"))
     counts = light.groupBy("band", "key", "dims").agg(F.count("*").alias("n"))
     hot = cut(counts.where(F.col("n") > BUCKET_ROWS))
@@ -216,10 +216,10 @@ def similar_pairs(units: DataFrame, cosine: float = COSINE) -> DataFrame:
     )
     keys = ["band", "key", "dims", "block_a", "block_b"]
     dealt = rows.repartition(*keys).sortWithinPartitions(*keys)
-    pairs = dealt.mapInArrow(_compare(bits, bands, cosine), "v long, u long")
+    pairs = dealt.mapInArrow(tidy(_compare(bits, bands, cosine)), "v long, u long")
     one = units.select(F.col("rep").alias("v"), "unit")
     two = units.select(F.col("rep").alias("u"), F.col("unit").alias("unit_u"))
-    exact = pairs.join(one, "v").join(two, "u").mapInArrow(_cosines, "v long, u long, cosine double")
+    exact = pairs.join(one, "v").join(two, "u").mapInArrow(tidy(_cosines), "v long, u long, cosine double")
     return exact.where(F.col("cosine") >= cosine)
 
 
@@ -233,7 +233,7 @@ def vector_links(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     give one row; they link as copies would, without counting themselves.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>"))
-    units = rows.mapInArrow(_units, "vec_id long, unit binary").distinct()
+    units = rows.mapInArrow(tidy(_units), "vec_id long, unit binary").distinct()
     # Copies with the same direction are found by their exact bytes; others link by their cosine of 1.
     classes = cut(units.groupBy("unit").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")))
     # The rep of a class is its first id; an id that stands for two classes would be ambiguous, so a hash decides.

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, mixed, shingles, slices, words
+from .common import BASE, mixed, shingles, slices, tidy, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 # Fingerprints of 128 bits in 16 blocks; within RADIUS bits of each other two of them agree in some block
@@ -216,7 +216,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(groups)) == group).collect()
         made = Items([(r.item_id, r.text) for r in sorted(rows)])
         if made.items:
-            part = texts.mapInArrow(_matches(docs.sparkSession.sparkContext.broadcast(made)), SCHEMA)
+            part = texts.mapInArrow(tidy(_matches(docs.sparkSession.sparkContext.broadcast(made))), SCHEMA)
             found = part if found is None else found.union(part)
     return found if found is not None else texts.limit(0).selectExpr(
         "doc_id", "doc_id as item_id", "0D as similarity", "doc_id as first_word", "doc_id as n_words"

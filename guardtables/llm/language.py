@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, tidy
 
 # Lengths of the n-grams are 1 to 3; a profile holds so many of the most frequent ones.
 PROFILE = 300
@@ -88,7 +88,7 @@ def profiles(docs: DataFrame, size: int = PROFILE) -> DataFrame:
     rows = docs.where("lang is not null and text is not null").select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")
     )
-    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(_count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = W.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < size).drop("n")
 
@@ -155,7 +155,7 @@ def with_language(docs: DataFrame, training: DataFrame, size: int = PROFILE) ->
     )
     schema = T.StructType([*texts.schema.fields, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
-    return texts.mapInArrow(_closest(sent), schema)
+    return texts.mapInArrow(tidy(_closest(sent)), schema)
 
 
 def identify(docs: DataFrame, training: DataFrame, size: int = PROFILE) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
+from .common import tidy
 
 SPACE = " \t\n\x0b\x0c\r"
 # Slots of a bucket, and rounds of moving before a filter is built anew with more buckets.
@@ -65,7 +66,7 @@ def _keys(min_chars: int):
 def line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
     """Distinct keys of each document: ``doc_id``, ``n_lines``, ``keys``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_keys(min_chars), SCHEMA)
+    return rows.mapInArrow(tidy(_keys(min_chars)), SCHEMA)
 
 
 # --- the filter ---------------------------------------------------------------------------------------------------
@@ -255,7 +256,7 @@ class LineIndex:
         if (filters.agg(F.sum(F.length("buckets"))).first()[0] or 0) <= FILTER_BYTES:
             sent = self.spark.sparkContext.broadcast({r.shard: r.buckets for r in filters.collect()})
             shard = F.transform("keys", lambda k: F.pmod(F.xxhash64(k), F.lit(self.shards)).cast("int"))
-            keys = keys.withColumn("shards", shard).mapInArrow(_probe(sent), "doc_id long, keys array<binary>")
+            keys = keys.withColumn("shards", shard).mapInArrow(tidy(_probe(sent)), "doc_id long, keys array<binary>")
         lines = keys.select("doc_id", F.explode("keys").alias("key"))
         exact = self.table("counts").where(F.col("n_docs") >= self.min_docs).select("key", "max_doc")
         lost = lines.join(exact, "key").where("doc_id <> max_doc")
@@ -276,7 +277,7 @@ class LineIndex:
         joined = rows.join(self.repeated(rows), "doc_id", "left").select("row", "text", "lost")
         schema = T.StructType([joined.schema["row"], T.StructField("n_lines", T.LongType()),
                                T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())])
-        return joined.mapInArrow(_rewrite(self.min_chars), schema)
+        return joined.mapInArrow(tidy(_rewrite(self.min_chars)), schema)
 
 
 FILTER_SCHEMA = "shard int, buckets binary, n_keys long"

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 MARK = "▁"
 # A chunk: whitespace markers, then what follows up to the next marker.
@@ -129,4 +129,4 @@ def encode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str = "tex
     each Python worker keeps one bounded table of distinct chunks.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(encoder(model), "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(tidy(encoder(model)), "doc_id long, ids array<int>, decoded string")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
-from .common import Rolling, mixed, raw, signed, slices
+from .common import Rolling, mixed, raw, signed, slices, tidy
 
 LENGTH, GRAM, PERIOD = 200, 40, 32
 # Bytes of segments that are sorted at once, and different segments of a bucket that a task sorts.
@@ -328,7 +328,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("print", F.xxhash64("text"))
-    anchors = rows.select("id", "print", "text").mapInArrow(_anchors, ANCHORS)
+    anchors = rows.select("id", "print", "text").mapInArrow(tidy(_anchors), ANCHORS)
     # Most anchors stand alone: only those of buckets with two segments or more go on.
     shared = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
     held = cut(anchors.join(shared, "gram"))
@@ -347,14 +347,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     # The same rows, dealt by the same keys, serve for shipping and for the result.
     placed = rows.join(work.where(F.size("shipped") > 0).select("id", "print", "shipped"), ["id", "print"])
-    sent = placed.mapInArrow(_ship, "id long, print long, gram long, many long, low int, shift int, bytes binary")
+    sent = placed.mapInArrow(tidy(_ship), "id long, print long, gram long, many long, low int, shift int, bytes binary")
     # A bucket of very many segments is sorted in parts. One window of each class of a part then meets those of the
     # bucket's other parts by its digest, in an aggregate with a map-side part.
     sent = sent.withColumn("parts", F.ceil(F.col("many") / BUCKET_ROWS)).withColumn(
         "part", F.pmod(F.xxhash64("id", "print", "low"), F.col("parts"))
     )
     dealt = sent.repartition("gram", "part").sortWithinPartitions("gram", "part")
-    spans = dealt.mapInArrow(_sorted_blocks, "id long, print long, low int, high int, digest binary")
+    spans = dealt.mapInArrow(tidy(_sorted_blocks), "id long, print long, low int, high int, digest binary")
     if work.where(F.exists("shipped", lambda x: x["many"] > BUCKET_ROWS)).limit(1).count():
         spans = cut(spans)
         met = spans.where("digest is not null")
@@ -370,4 +370,4 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         joined.schema["row"], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")),
         T.StructField("kept", T.BinaryType()),
     ])
-    return joined.mapInArrow(_remove, schema)
+    return joined.mapInArrow(tidy(_remove), schema)

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import raw, slices
+from .common import raw, slices, tidy
 
 DEPTH, LEAST = 7, 1e-5
 # Bytes of a block in which candidates are named, and of the documents that are scored together with their words.
@@ -289,16 +289,16 @@ def grow(automaton: Automaton, counts: np.ndarray, depth: int, least: float) ->
 def train(texts: DataFrame, depth: int = DEPTH, share: float = LEAST) -> tuple[Tree, int]:
     """Train a tree on the column ``text`` of all given rows, and count their tokens; null texts are empty ones."""
     spark, texts = texts.sparkSession, texts.select(F.col("text").cast("string").alias("text"))
-    named = texts.mapInArrow(_named(depth, share), "context long").distinct()
+    named = texts.mapInArrow(tidy(_named(depth, share)), "context long").distinct()
     codes = np.sort(named.toPandas()["context"].to_numpy(np.int64)).view(np.uint64)
     single = codes[codes >> np.uint64(56) == 1] & np.uint64(255)
     used = np.union1d(single.astype(np.int64), [BLANK, END])
     automaton = Automaton(codes, used)
     sent = spark.sparkContext.broadcast(automaton)
-    counted = texts.mapInArrow(_followers(sent, depth), "shard int, places binary, counts binary")
+    counted = texts.mapInArrow(tidy(_followers(sent, depth)), "shard int, places binary, counts binary")
     counts = np.zeros(len(automaton.table), np.int64)
     size = SHARD * automaton.width
-    for row in counted.repartition("shard").mapInArrow(_added, counted.schema).collect():  # bounded by DEPTH / LEAST contexts
+    for row in counted.repartition("shard").mapInArrow(tidy(_added), counted.schema).collect():  # bounded by DEPTH / LEAST contexts
         counts[row.shard * size + np.frombuffer(row.places, np.int32)] = np.frombuffer(row.counts, np.int64)
     sent.unpersist()
     tokens = counts.reshape(-1, automaton.width)[:, automaton.symbol[[BLANK, END]]].sum()
@@ -430,7 +430,7 @@ def scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, share: float =
     sent = docs.sparkSession.sparkContext.broadcast(tree)
     dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int"))
     dealt = dealt.repartition("group")
-    words = dealt.sortWithinPartitions("group").mapInArrow(_vocabulary, "group int, word binary, n long")
+    words = dealt.sortWithinPartitions("group").mapInArrow(tidy(_vocabulary), "group int, word binary, n long")
     # A word has one row for each group at most.
     counted = words.selectExpr(
         "group", "word", "sum(n) over (partition by word) as total", "min(group) over (partition by word) = group as lowest"

@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, tidy
 
 # Bytes of a window: whole words up to this size, so that no word is cut.
 WINDOW = 96
@@ -155,4 +155,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFram
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(fit(*sample(texts, labels, size)))
-    return texts.mapInArrow(_scores(sent), "doc_id long, score double")
+    return texts.mapInArrow(tidy(_scores(sent)), "doc_id long, score double")

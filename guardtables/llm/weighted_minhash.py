@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import BASE, components, mixed, shingles, signed, slices, words
+from .common import BASE, components, mixed, shingles, signed, slices, tidy, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 FLOOR = 0.005
@@ -88,11 +88,11 @@ def frequencies(docs: DataFrame, floor: float = FLOOR) -> tuple[int, np.ndarray,
     texts, spark = _texts(docs), docs.sparkSession
     total = texts.count()
     least = max(2.0, floor * total)
-    blocks = texts.mapInArrow(_bins, "block int, n binary").repartition(BINS // BLOCK, "block")
+    blocks = texts.mapInArrow(tidy(_bins), "block int, n binary").repartition(BINS // BLOCK, "block")
     heavy = np.zeros(BINS, bool)
-    for row in blocks.mapInArrow(_summed, "block int, n binary").collect():  # one value for each of a fixed number of bins
+    for row in blocks.mapInArrow(tidy(_summed), "block int, n binary").collect():  # one value for each of a fixed number of bins
         heavy[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.n, np.int64) >= least
-    counted = texts.mapInArrow(_counted(spark.sparkContext.broadcast(heavy)), "shingle long, n long")
+    counted = texts.mapInArrow(tidy(_counted(spark.sparkContext.broadcast(heavy))), "shingle long, n long")
     rows = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("shingle").toPandas()
     keys = rows["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
@@ -276,7 +276,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     """
     spark, texts = docs.sparkSession, _texts(docs)
     sent = spark.sparkContext.broadcast(Weights(*frequencies(docs), FLOOR))
-    signatures = cut(texts.mapInArrow(_signatures(sent), SIGNATURES).where("doc_id is not null"))
+    signatures = cut(texts.mapInArrow(tidy(_signatures(sent)), SIGNATURES).where("doc_id is not null"))
     classes = signatures.where("n_words > 0").groupBy("print_a", "print_b").agg(
         F.min("doc_id").alias("rep"), F.min("bands").alias("bands")
     )
@@ -295,7 +295,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     stars = placed.where("rep <> u").select(F.col("rep").alias("v"), "u").distinct()
     sets = cut(
         texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .mapInArrow(_sets, "doc_id long, runs binary, counts binary").distinct()
+        .mapInArrow(tidy(_sets), "doc_id long, runs binary, counts binary").distinct()
     )
 
     def with_sets(pairs: DataFrame) -> DataFrame:
@@ -305,7 +305,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         return pairs.select("v", "u").join(one, "v").join(two, "u")
 
     linked = F.col("similarity") >= similarity - 1e-12
-    measured = cut(with_sets(stars).mapInArrow(_compare(sent, False), MEASURED))
+    measured = cut(with_sets(stars).mapInArrow(tidy(_compare(sent, False)), MEASURED))
     links = measured.where(linked).select("v", "u", "similarity")
     # Components so far; only centres with members in different ones go on.
     joined = components(links, "v", "u")
@@ -324,14 +324,14 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         both = rows.alias("x").join(rows.alias("y"), [*on, apart, bound >= needed])
         return both.select(F.col("x.v").alias("v"), F.col("y.v").alias("u"))
 
-    added = with_sets(members_of).mapInArrow(_compare(sent, True), "v long, u long, shingle long")
+    added = with_sets(members_of).mapInArrow(tidy(_compare(sent, True)), "v long, u long, shingle long")
     added = cut(added.join(members_of, ["v", "u"]))
     common = added.groupBy("u", "shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     shared_more = added.join(common.where("a <> b").select("u", "shingle"), ["u", "shingle"])
     pairs = (
         meeting(members_of, ["u"], inside).union(meeting(shared_more, ["u", "shingle"], inside + beyond)).distinct()
     )
-    more = with_sets(pairs).mapInArrow(_compare(sent, False), MEASURED).where(linked)
+    more = with_sets(pairs).mapInArrow(tidy(_compare(sent, False)), MEASURED).where(linked)
     return members, cut(links.union(more.select("v", "u", "similarity")))
 
 
