@@ -220,11 +220,11 @@ def shared_weight(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray)
     return float(np.minimum(wa, other).sum()), wa > other
 
 
-MEASURED = "v long, u long, similarity double, shared double, total double"
+MEASURED = "v long, u long, similarity double, shared double, total double, more array<long>"
 
 
-def _compare(sent, added: bool):
-    """Exact similarities of pairs; or, for each pair, the shingles that ``v`` adds to ``u``."""
+def _compare(sent):
+    """Exact similarities of pairs, and the shingles that ``v`` adds to ``u``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights: Weights = sent.value
@@ -242,19 +242,14 @@ def _compare(sent, added: bool):
                 total = float(wa.sum())
                 whole = total + float(kept[1].sum()) - shared
                 measured.append((shared / whole if whole > 0 else 0.0, shared, total))
-                if added:
-                    more.append(a[beyond])
-            if added:
-                rows = pa.array(np.repeat(np.arange(len(more)), [len(m) for m in more]))
-                found = signed(np.concatenate(more)) if more else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("v").take(rows), batch.column("u").take(rows), pa.array(found)], ["v", "u", "shingle"]
-                )
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("v"), batch.column("u"), *(pa.array([m[i] for m in measured], pa.float64()) for i in range(3))],
-                    ["v", "u", "similarity", "shared", "total"],
-                )
+                more.append(signed(a[beyond]))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("v"), batch.column("u"), *(pa.array([m[i] for m in measured], pa.float64()) for i in range(3)),
+                    pa.array(more, pa.list_(pa.int64())),
+                ],
+                ["v", "u", "similarity", "shared", "total", "more"],
+            )
 
     return run
 
@@ -305,7 +300,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         return pairs.select("v", "u").join(one, "v").join(two, "u")
 
     linked = F.col("similarity") >= similarity - 1e-12
-    measured = cut(with_sets(stars).mapInArrow(tidy(_compare(sent, False)), MEASURED))
+    measured = cut(with_sets(stars).mapInArrow(tidy(_compare(sent)), MEASURED))
     links = measured.where(linked).select("v", "u", "similarity")
     # Components so far; only centres with members in different ones go on.
     joined = components(links, "v", "u")
@@ -324,14 +319,13 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         both = rows.alias("x").join(rows.alias("y"), [*on, apart, bound >= needed])
         return both.select(F.col("x.v").alias("v"), F.col("y.v").alias("u"))
 
-    added = with_sets(members_of).mapInArrow(tidy(_compare(sent, True)), "v long, u long, shingle long")
-    added = cut(added.join(members_of, ["v", "u"]))
+    added = measured.select("v", "u", F.explode("more").alias("shingle")).join(members_of, ["v", "u"])
     common = added.groupBy("u", "shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"))
     shared_more = added.join(common.where("a <> b").select("u", "shingle"), ["u", "shingle"])
     pairs = (
         meeting(members_of, ["u"], inside).union(meeting(shared_more, ["u", "shingle"], inside + beyond)).distinct()
     )
-    more = with_sets(pairs).mapInArrow(tidy(_compare(sent, False)), MEASURED).where(linked)
+    more = with_sets(pairs).mapInArrow(tidy(_compare(sent)), MEASURED).where(linked)
     return members, cut(links.union(more.select("v", "u", "similarity")))
 
 
