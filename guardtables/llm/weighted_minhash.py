@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -214,13 +214,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def shared_weight(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, np.ndarray]:
-    """Weight that two sorted sets of shingles share, and which of the first one's weigh more than in the second."""
+    """Weight that two sorted sets of shingles share, and how much more each of the first one's weighs than in the second."""
     spot = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
     other = np.where(b[spot] == a, wb[spot], 0.0) if len(b) else np.zeros(len(a))
-    return float(np.minimum(wa, other).sum()), wa > other
+    both = np.minimum(wa, other)
+    return float(both.sum()), wa - both
 
 
-MEASURED = "v long, u long, similarity double, shared double, total double, more array<long>"
+MEASURED = "v long, u long, similarity double, shared double, total double, more array<long>, gains array<float>"
 
 
 def _compare(sent):
@@ -231,24 +232,26 @@ def _compare(sent):
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("runs", "counts", "runs_u", "counts_u")]
             last, kept = None, None
-            measured, more = [], []
+            measured, more, gains = [], [], []
             for ra, ca, rb, cb in zip(*columns, strict=True):
                 a = np.frombuffer(ra, np.uint64)
                 if rb != last:  # rows of one centre mostly follow each other
                     b = np.frombuffer(rb, np.uint64)
                     last, kept = rb, (b, weights.of(b, np.frombuffer(cb, np.int32)))
                 wa = weights.of(a, np.frombuffer(ca, np.int32))
-                shared, beyond = shared_weight(a, wa, *kept)
+                shared, gain = shared_weight(a, wa, *kept)
                 total = float(wa.sum())
                 whole = total + float(kept[1].sum()) - shared
                 measured.append((shared / whole if whole > 0 else 0.0, shared, total))
-                more.append(signed(a[beyond]))
+                more.append(signed(a[gain > 0]))
+                # Rounded up, as bounds are made of them.
+                gains.append(np.nextafter(gain[gain > 0].astype(np.float32), np.float32(np.inf)))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("v"), batch.column("u"), *(pa.array([m[i] for m in measured], pa.float64()) for i in range(3)),
-                    pa.array(more, pa.list_(pa.int64())),
+                    pa.array(more, pa.list_(pa.int64())), pa.array(gains, pa.list_(pa.float32())),
                 ],
-                ["v", "u", "similarity", "shared", "total", "more"],
+                ["v", "u", "similarity", "shared", "total", "more", "gains"],
             )
 
     return run
@@ -268,6 +271,12 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     s / (1 + s) of Tx + Ty. So y is compared with x only where min(Ix, Iy) reaches that, or where both add
     the same shingle to c and the bound with the added weight reaches it. Near copies of one text, each with
     changes of its own, thus cost a comparison each, and no link between components is left out.
+
+    Added weight counts only for shingles that members of another component add too; call its sum Ex. A link of
+    x and y that the centre does not show needs an added weight E in common with E >= s Tx - Ix, and with
+    g = s / (1 + s) T - I / 2 also E >= gx + gy. So x meets others only by a prefix of its added shingles, the
+    least common ones first: the weight left after the prefix is below what x needs with any partner, and two
+    members that share enough share a shingle in both prefixes.
     """
     spark, texts = docs.sparkSession, _texts(docs)
     sent = spark.sparkContext.broadcast(Weights(*frequencies(docs), FLOOR))
@@ -307,11 +316,14 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     around = measured.select("v", "u", "shared", "total").join(joined.withColumnRenamed("id", "v"), "v", "left").select(
         "u", "v", "shared", "total", F.coalesce("component_id", "v").alias("component")
     )
-    several = around.groupBy("u").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    members_of = cut(around.join(several.select("u"), "u"))
-    needed = similarity / (1 + similarity) * (F.col("x.total") + F.col("y.total")) - 1e-9
+    half = similarity / (1 + similarity)
+    gap = half * F.col("total") - F.col("shared") / 2
+    several = around.groupBy("u").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.min(gap).alias("least_gap")
+    ).where("a <> b")
+    members_of = cut(around.join(several.select("u", "least_gap"), "u"))
+    needed = half * (F.col("x.total") + F.col("y.total")) - 1e-9
     inside = F.least("x.shared", "y.shared")
-    beyond = F.least(F.col("x.total") - F.col("x.shared"), F.col("y.total") - F.col("y.shared"))
     apart = F.col("x.component") < F.col("y.component")
 
     def meeting(rows: DataFrame, keys: list[str], bound: Column) -> DataFrame:
@@ -319,11 +331,27 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         both = rows.alias("x").join(rows.alias("y"), [*on, apart, bound >= needed])
         return both.select(F.col("x.v").alias("v"), F.col("y.v").alias("u"))
 
-    added = measured.select("v", "u", F.explode("more").alias("shingle")).join(members_of, ["v", "u"])
-    common = added.groupBy("u", "shingle").agg(F.min("component").alias("a"), F.max("component").alias("b"))
-    shared_more = added.join(common.where("a <> b").select("u", "shingle"), ["u", "shingle"])
+    # Of a pair that the centre shows, neither is smaller than ``similarity`` times the other: each shares that much.
+    within = members_of.where(F.col("shared") >= similarity * F.col("total") - 1e-9)
+    added = measured.select("v", "u", F.explode(F.arrays_zip("more", "gains")).alias("m")).select(
+        "v", "u", F.col("m.more").alias("shingle"), F.col("m.gains").cast("double").alias("gain")
+    ).join(members_of, ["v", "u"])
+    common = added.groupBy("u", "shingle").agg(
+        F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("holders")
+    ).where("a <> b")
+    commonest = Window.partitionBy("u", "v").orderBy(F.desc("holders"), F.desc("shingle"))
+    ranked = (
+        added.join(common.select("u", "shingle", "holders"), ["u", "shingle"])
+        .withColumn("left", F.sum("gain").over(commonest.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("added", F.sum("gain").over(Window.partitionBy("u", "v")))
+    )
+    least = F.greatest(similarity * F.col("total") - F.col("shared"), gap + F.col("least_gap")) - 1e-9
+    prefix = ranked.where((F.col("added") >= least) & (F.col("left") >= least)).select(
+        "u", "v", "shingle", "component", "shared", "total", "added"
+    )
+    beyond = F.least("x.added", "y.added")
     pairs = (
-        meeting(members_of, ["u"], inside).union(meeting(shared_more, ["u", "shingle"], inside + beyond)).distinct()
+        meeting(within, ["u"], inside).union(meeting(prefix, ["u", "shingle"], inside + beyond)).distinct()
     )
     more = with_sets(pairs).mapInArrow(tidy(_compare(sent)), MEASURED).where(linked)
     return members, cut(links.union(more.select("v", "u", "similarity")))
