@@ -17,8 +17,10 @@ NOT_REQUESTS = ["policy", "approval", "kill", "flow_state"]
 REPORT_ROWS = 20
 
 
-def chain_digest(prev: Column, body: Column, key: bytes) -> Column:
-    return hmac_sha256(key, F.concat(prev, body))
+def chain_digest(prev: Column, body: Column, key: bytes, shard: Column, seq: Column) -> Column:
+    """What a record is signed with: its place (shard and number), the digest before it and its text."""
+    place = F.concat_ws(":", shard.cast("string"), seq.cast("string"))
+    return hmac_sha256(key, F.concat(place, F.lit(":"), prev, body))
 
 
 def seal(log: DataFrame, key: bytes, shard_rows: int = 1024, body: str = "body") -> DataFrame:
@@ -29,12 +31,14 @@ def seal(log: DataFrame, key: bytes, shard_rows: int = 1024, body: str = "body")
     ``seal_heads`` then ties the shards together.
     """
     rows = log.withColumn("shard", F.floor((F.col("seq") - 1) / shard_rows))
-    shards = rows.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("seq", F.col(body).alias("b")))).alias("rs"))
+    shards = rows.groupBy("shard").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "shard", F.col(body).alias("b")))).alias("rs")
+    )
     link = "struct<seq:bigint,prev:string,hash:string>"
     zero = F.struct(F.lit(GENESIS).alias("head"), F.array().cast(f"array<{link}>").alias("links"))
 
     def step(acc: Column, r: Column) -> Column:
-        digest = chain_digest(acc["head"], r["b"], key)
+        digest = chain_digest(acc["head"], r["b"], key, r["shard"], r["seq"])
         one = F.struct(r["seq"].cast("bigint").alias("seq"), acc["head"].alias("prev"), digest.alias("hash"))
         return F.struct(digest.alias("head"), F.concat(acc["links"], F.array(one)).alias("links"))
 
@@ -93,6 +97,7 @@ def chain_faults(log: DataFrame, key: bytes, shard_rows: int | None = None, body
     the whole log would be one task. Optional columns: ``readable`` and ``canonical``.
     """
     first = (F.col("position") - 1) % shard_rows == 0 if shard_rows else F.col("position") == 1
+    shard = F.floor((F.col("position") - 1) / shard_rows) if shard_rows else F.lit(0)
     previous = log.select((F.col("position") + 1).alias("position"), F.col("hash").alias("_before"))
     joined = log.join(previous, "position", "left").withColumn(
         "_expected", F.when(first, F.lit(GENESIS)).otherwise(F.col("_before"))
@@ -103,7 +108,7 @@ def chain_faults(log: DataFrame, key: bytes, shard_rows: int | None = None, body
         flag["readable"],
         F.col("seq") == F.col("position"),
         F.col("prev") == F.col("_expected"),
-        F.col("hash") == chain_digest(F.col("prev"), F.col(body), key),
+        F.col("hash") == chain_digest(F.col("prev"), F.col(body), key, shard, F.col("seq")),
         flag["canonical"],
     ]
     order = F.coalesce(
@@ -117,13 +122,31 @@ def chain_faults(log: DataFrame, key: bytes, shard_rows: int | None = None, body
     )
 
 
+def head_faults(log: DataFrame, heads: DataFrame, key: bytes, shard_rows: int) -> DataFrame:
+    """One row per node of the heads table that the log or the level below does not bear out: level, node, reason.
+
+    ``heads`` is what ``seal_heads`` wrote; the table is made again from the log's own digests, level by level,
+    and compared node by node, so a shard that was dropped, added, cut or swapped shows.
+    """
+    made = seal_heads(log, key, shard_rows)
+    both = heads.alias("h").join(made.alias("m"), ["level", "node"], "full")
+    reason = (
+        F.when(F.col("h.hash").isNull(), "no head for this node")
+        .when(F.col("m.hash").isNull(), "records of this node are missing")
+        .when(F.col("h.count") != F.col("m.count"), "head count mismatch")
+        .when(F.col("h.hash") != F.col("m.hash"), "head hash mismatch")
+    )
+    return both.select("level", "node", reason.alias("reason")).where("reason is not null")
+
+
 def verify_chain(
     log: DataFrame, key: bytes, shard_rows: int | None = None, head: DataFrame | None = None,
     require_head: bool = False, body: str = "body",
 ) -> DataFrame:
     """One row: ok, count (valid records before the first break), broken_at, reason.
 
-    ``head`` is a one-row checkpoint (count, hash) that shows a cut-off tail.
+    ``head`` is a one-row checkpoint (count, hash) that shows a cut-off tail; ``head_faults`` checks the heads
+    of all shards.
     """
     facts = log.agg(F.count("*").alias("n"), F.max_by("hash", "position").alias("last")).unionByName(
         chain_faults(log, key, shard_rows, body).agg(

@@ -154,7 +154,7 @@ def test_seal_is_a_chain_per_shard(sealed):
     for r in sealed.orderBy("seq").collect():
         prev = audit.GENESIS if (r.seq - 1) % 20 == 0 else prev
         assert r.prev == prev
-        prev = hmac.new(KEY, (r.prev + r.body).encode(), hashlib.sha256).hexdigest()
+        prev = hmac.new(KEY, (f"{r.shard}:{r.seq}:" + r.prev + r.body).encode(), hashlib.sha256).hexdigest()
         assert r.hash == prev
 
 
@@ -177,6 +177,20 @@ def test_tampering_is_found(spark, sealed):
     assert check(sealed.withColumn("canonical", F.col("seq") != 4))[2:] == (4, "noncanonical audit line (bytes changed)")
 
 
+def test_moved_and_missing_shards_are_found(spark, sealed):
+    """Whole shards that are swapped or cut out and renumbered."""
+    to = F.when(F.col("shard") == 0, F.col("seq") + 20).when(F.col("shard") == 1, F.col("seq") - 20).otherwise(F.col("seq"))
+    swapped = sealed.withColumn("seq", to).withColumn("position", F.col("seq"))
+    assert check(swapped) == (False, 0, 1, "HMAC mismatch")
+    cut_out = sealed.where("shard <> 1").withColumn("seq", F.when(F.col("seq") > 40, F.col("seq") - 20).otherwise(F.col("seq")))
+    assert check(cut_out.withColumn("position", F.col("seq"))) == (False, 20, 21, "HMAC mismatch")
+    heads = audit.seal_heads(sealed, KEY, 20)
+    assert audit.head_faults(sealed, heads, KEY, 20).count() == 0
+    short = audit.head_faults(sealed.where("seq < 41"), heads, KEY, 20).collect()
+    assert {(r.level, r.node, r.reason) for r in short} == {
+        (0, 2, "records of this node are missing"), (1, 0, "head count mismatch")}
+
+
 def test_heads_reach_one_root(sealed):
     rows = audit.seal_heads(sealed, KEY, 2).collect()
     top = max(r.level for r in rows)

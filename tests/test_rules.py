@@ -111,6 +111,19 @@ def test_flow_matrix(spark, dims):
         assert hit == (set(quoted) | {"split"}) - {"other"}, key
 
 
+def test_a_clear_ends_the_values_read_before_it(spark, dims):
+    rows = [("r1", "2024-01-01 00:00:00", "alpha bravo charlie"), ("r2", "2024-01-01 00:20:00", "delta golf november")]
+    results = spark.createDataFrame([(i, t, "a", "look", ["secret"], c) for i, t, c in rows],
+                                    "src_id string, ts string, agent_id string, tool string, labels array<string>, content string"
+                                    ).withColumn("ts", F.to_timestamp("ts"))
+    clears = spark.createDataFrame([("a", "2024-01-01 00:10:00")], "agent_id string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    sent = [("before", "2024-01-01 00:05:00", "alphabravocharlie"), ("old", "2024-01-01 00:30:00", "alphabravocharlie"),
+            ("new", "2024-01-01 00:30:00", "deltagolfnovember")]
+    rows = [(c, t, "a", "mail", json.dumps({"b": text}), None) for c, t, text in sent]
+    found = flow.check_flow(calls(spark, rows), dims[0], results, None, 12, clears=clears).where("control_id = 'flow.secret_egress'")
+    assert {r.call_id for r in found.collect()} == {"before", "new"}
+
+
 def test_short_shared_runs_are_no_match(spark, dims):
     results = spark.createDataFrame([("r1", "a", "look", ["secret"], "alpha bravo charlie")], "src_id string, agent_id string, tool string, labels array<string>, content string"
                                     ).withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00")))
