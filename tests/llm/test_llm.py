@@ -334,6 +334,21 @@ def test_pages(spark):
     assert page_template.extract(frame.limit(0)).count() == 0
 
 
+def test_pages_of_another_layout_keep_their_text(spark):
+    def page(i, before="<body>", begin="<article class='post'>", end="</article>", more=""):
+        return f"<html>{before}<nav><a href='/'>Home</a></nav>{begin}<p>text {i}</p>{end}{more}<footer>site</footer></body></html>"
+
+    pages = [page(i) for i in range(6)]
+    pages += [
+        page(6, begin="<div class='story'>", end="</div>"), page(7, begin="<section>", end="</section>"),
+        page(8, begin="<article class='post featured'>"), page(9, before="<body class='wide'>"),
+        page(10, before="<body><div>"), page(11, more="<article class='post featured'><p>more</p></article>"),
+    ]
+    rows = [(i, f"http://a.example/{i}", h) for i, h in enumerate(pages)]
+    found = page_template.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.row.page_id: r.main_text for r in found} == {i: f"text {i}" + "\n\nmore" * (i == 11) for i in range(12)}
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(100 + i, 100) for i in range(1, 40)] + [(7, 7)]
     links = spark.createDataFrame(chain, "a long, b long")
