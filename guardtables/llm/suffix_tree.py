@@ -4,10 +4,10 @@ A text is read as its tokens, and a token as its bytes with a blank after it; on
 predicts the next symbol from the longest suffix of what came before that it holds, so the probability of a text is one
 of its sequence of tokens and needs no closed vocabulary.
 
-* Contexts of up to ``DEPTH`` symbols are candidates when they make up at least a share ``LEAST`` of all training
-  symbols. There are at most DEPTH / LEAST of them whatever the size of the corpus, so the model may be sent to every
-  task. They are found exactly in two passes: a context with that share has it in some block of the data, and all
-  contexts that a block names are then counted over everything.
+* Contexts of up to ``DEPTH`` symbols are candidates when training has them at least ``LEAST`` times, so the tree grows
+  with the corpus. Their counts are a table sharded by the last three symbols of a context: a context and all longer
+  ones that end in it from there on are in one shard, which chooses and smooths them by itself. Only contexts of up to
+  two symbols, 65,536 at most, are held by every task.
 * A context stays when its next symbols diverge from those of its suffix by more than their description costs
   (likelihood ratio against half the logarithm of its count for each different next symbol); suffixes of contexts that
   stay do too.
@@ -16,8 +16,9 @@ of its sequence of tokens and needs no closed vocabulary.
 * A token's probability is that of its symbols, smoothed with how often training has the whole token: (count + k p) /
   (N + k). Of the weights ``PRIORS`` times N, k is the one under which training tokens, each left out of its own
   count, are most probable.
-* Training contexts are closed under taking prefixes and suffixes, so an automaton over them finds the longest suffix
-  with one lookup for each symbol.
+* Documents are dealt into groups; the different places of a group (a symbol with the context before it) travel to the
+  shards once and come back with their probabilities, as its words do with their counts.
+* ``Automaton`` and ``grow`` make the same tree in one process, for corpora whose contexts fit in memory.
 """
 from __future__ import annotations
 
@@ -25,25 +26,28 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .common import raw, slices, tidy
+from .common import mixed, raw, slices, tidy
 
-DEPTH, LEAST = 7, 1e-5
-# Bytes of a block in which candidates are named, and of the documents that are scored together with their words.
-BLOCK_BYTES, GROUP_BYTES = 8 << 20, 24 << 20
+DEPTH, LEAST = 7, 2
+# Bytes of the documents that are scored together, and bytes of all text for each shard of the tree.
+GROUP_BYTES, SHARD_BYTES = 24 << 20, 8 << 20
+# Different places that a task holds before it sends their counts off.
+HELD = 4 << 20
 # Bytes of text that are scored at once.
 SCORED_BYTES = 1 << 20
 BLANK, END = 32, 10
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
-SHARD = 1024
 PRIORS = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0)
 
 
@@ -68,7 +72,7 @@ def symbols(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return both[kept], np.concatenate([[0], upto[stop]])
 
 
-# --- candidates ---------------------------------------------------------------------------------------------------
+# --- the tree in memory -----------------------------------------------------------------------------------------------
 
 
 def frequent(x: np.ndarray, least: float, depth: int) -> list[np.ndarray]:
@@ -101,32 +105,6 @@ def frequent(x: np.ndarray, least: float, depth: int) -> list[np.ndarray]:
     return found
 
 
-def _named(depth: int, share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def block(parts: list[np.ndarray]) -> pa.RecordBatch:
-            x = np.concatenate(parts)
-            found = frequent(x, max(2.0, share * len(x)), depth)
-            codes = np.concatenate([c | np.uint64(i + 1) << np.uint64(56) for i, c in enumerate(found)])
-            return pa.RecordBatch.from_arrays([pa.array(codes.view(np.int64))], ["context"])
-
-        held, size = [], 0
-        for batch in batches:
-            for part in slices(batch, "text"):
-                x, _ = symbols(part.column("text"))
-                held.append(x)
-                size += len(x)
-                if size >= BLOCK_BYTES:
-                    yield block(held)
-                    held, size = [], 0
-        if size:
-            yield block(held)
-
-    return run
-
-
-# --- the automaton ------------------------------------------------------------------------------------------------
-
-
 class Automaton:
     """States for all candidate contexts, the root first; a step leads to the longest suffix that is a state.
 
@@ -182,47 +160,6 @@ class Automaton:
         return out.T.ravel()[: len(x)]
 
 
-def _followers(sent, depth: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton: Automaton = sent.value
-        total = np.zeros(len(automaton.table), np.int64)
-        for batch in batches:
-            for part in slices(batch, "text", 2 * SCORED_BYTES):
-                x, _ = symbols(part.column("text"))
-                total += np.bincount(automaton.read(x, depth, None), minlength=len(total))
-        size = SHARD * automaton.width
-        for shard in range(-(-len(total) // size)):
-            yield _sparse(shard, total[shard * size : (shard + 1) * size])
-
-    return run
-
-
-def _sparse(shard: int, counts: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(counts)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([shard], pa.int32()), pa.array([at.astype(np.int32).tobytes()], pa.binary()),
-            pa.array([counts[at].tobytes()], pa.binary()),
-        ],
-        ["shard", "places", "counts"],
-    )
-
-
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each shard added up as they come in."""
-    total: dict[int, dict] = {}
-    for batch in batches:
-        for shard, places, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            at, n = np.frombuffer(places, np.int32), np.frombuffer(counts, np.int64)
-            held = total.get(shard, np.zeros(0, np.int64))
-            if len(at) and at[-1] >= len(held):
-                held = np.concatenate([held, np.zeros(at[-1] + 1 - len(held), np.int64)])
-            held[at] += n
-            total[shard] = held
-    for shard, counts in total.items():
-        yield _sparse(shard, counts)
-
-
 @dataclass
 class Tree:
     """The trained model: the automaton, which contexts stayed, and log10 probabilities for every state and symbol."""
@@ -286,23 +223,288 @@ def grow(automaton: Automaton, counts: np.ndarray, depth: int, least: float) ->
     return Tree(automaton, depth, kept, chance.ravel())
 
 
-def train(texts: DataFrame, depth: int = DEPTH, share: float = LEAST) -> tuple[Tree, int]:
-    """Train a tree on the column ``text`` of all given rows, and count their tokens; null texts are empty ones."""
+# --- the tree as a table ------------------------------------------------------------------------------------------
+
+
+def grams(x: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
+    """The place of each symbol: what comes before it, the last one in the top byte, and the symbol in the lowest.
+
+    A context does not go past the end before a text; bytes below that end are 0.
+    """
+    place = np.arange(len(x)) - np.repeat(at[:-1], np.diff(at))
+    before = np.concatenate([np.full(1, END, np.uint8), x]).astype(np.uint64)
+    key = x.astype(np.uint64)
+    for j in range(1, min(depth, len(x)) + 1):
+        key[j - 1 :] |= np.where(place[j - 1 :] >= j - 1, before[: len(x) - j + 1], np.uint64(0)) << np.uint64(8 * (8 - j))
+    return key
+
+
+def different(keys: np.ndarray) -> np.ndarray:
+    """The different keys in order; sorting them is many times faster than numpy's table of hashes."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
+def united(parts: Iterator[np.ndarray]) -> np.ndarray:
+    """The different keys of all parts in order; parts are merged as they come in."""
+    held, size = [np.zeros(0, np.uint64)], 0
+    for part in parts:
+        held.append(different(part))
+        size += len(held[-1])
+        if size >= HELD:
+            held, size = [different(np.concatenate(held))], 0
+    return different(np.concatenate(held))
+
+
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of their counts."""
+    both, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(both, kind="stable")  # parts are in order, so they are merged
+    both, n = both[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    return both[first], np.add.reduceat(n, first)
+
+
+def packed(values: np.ndarray, rising: bool = False) -> bytes:
+    """Values byte by byte, of rising ones their steps, compressed."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked(data: bytes, kind: type, rising: bool = False) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    values = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if rising else values
+
+
+def dealt(keys: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Shards of places, by the last three symbols of their contexts, and where their places are."""
+    shard = (mixed(keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    ends = np.searchsorted(shard[order], np.arange(shards + 1))
+    for n in np.flatnonzero(np.diff(ends)):
+        yield int(n), order[ends[n] : ends[n + 1]]
+
+
+def _summed(batches: Iterator[pa.RecordBatch], of) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Counts of what ``of`` makes of texts, a bounded number at once."""
+    keys, counts, size = [], [], 0
+    for batch in batches:
+        for part in slices(batch, "text", SCORED_BYTES):
+            one, n = np.unique(of(*symbols(part.column("text"))), return_counts=True)
+            keys.append(one)
+            counts.append(n)
+            size += len(one)
+            if size >= HELD:
+                yield added(keys, counts)
+                keys, counts, size = [], [], 0
+    if size:
+        yield added(keys, counts)
+
+
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        keys = grams(x, at, 2)
+        return (keys >> np.uint64(40) | keys & np.uint64(255)).astype(np.int64)
+
+    for codes, n in _summed(batches, of):
+        yield pa.RecordBatch.from_arrays([pa.array(codes.astype(np.int32)), pa.array(n)], ["code", "n"])
+
+
+def _grams(depth: int, shards: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n in _summed(batches, lambda x, at: grams(x, at, depth)):
+            for shard, mine in dealt(keys, shards):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([shard], pa.int32()), pa.array([packed(keys[mine], True)], pa.binary()),
+                        pa.array([packed(n[mine])], pa.binary()),
+                    ],
+                    ["shard", "keys", "counts"],
+                )
+
+    return run
+
+
+def _asked(depth: int, shards: int):
+    """Different places of each group of documents; groups follow each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, pa.RecordBatch]]:
+            for batch in batches:
+                groups = batch.column("group").to_numpy()
+                cuts = [0, *(np.flatnonzero(np.diff(groups)) + 1).tolist(), len(groups)]
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    for part in slices(batch.slice(a, b - a), "text", SCORED_BYTES):
+                        yield int(groups[a]), part
+
+        for group, parts in groupby(rows(), key=lambda r: r[0]):
+            keys = united(grams(*symbols(part.column("text")), depth) for _, part in parts)
+            for shard, mine in dealt(keys, shards):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([group], pa.int32()), pa.array([shard], pa.int32()), pa.array([packed(keys[mine], True)], pa.binary())],
+                    ["group", "shard", "keys"],
+                )
+
+    return run
+
+
+def _mixed_in(counts: np.ndarray, seen: np.ndarray, kinds: np.ndarray, above: np.ndarray) -> np.ndarray:
+    n = np.maximum(kinds, 1)
+    return (counts + n * above) / (seen + n)
+
+
+class Head:
+    """Contexts of up to two symbols: ``one`` and ``two`` have the counts of the next symbol, ``rows`` names those of two.
+
+    ``chance1`` and ``chance2`` are probabilities mixed through all candidates until ``finish`` leaves out those that go.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, least: float):
+        self.counts = np.bincount(codes & 255, n, 256)
+        self.root = (self.counts + 1 / 256) / (self.counts.sum() + 1.0)
+        self.one = np.bincount(codes >> 16 << 8 | codes & 255, n, 1 << 16).reshape(256, 256)
+        whole = codes >> 16 != END  # before a text's first symbol there is only the end
+        self.rows, spot = np.unique(codes[whole] >> 8, return_inverse=True)
+        self.two = np.bincount(spot << 8 | codes[whole] & 255, n[whole], len(self.rows) << 8).reshape(-1, 256)
+        self.chance1, self.kept1 = self._level(self.one, self.root[None], least)
+        self.chance2, self.kept2 = self._level(self.two, self.chance1[self.rows >> 8], least)
+
+    @staticmethod
+    def _level(counts: np.ndarray, above: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        seen, kinds = counts.sum(axis=1), np.count_nonzero(counts, axis=1)
+        share = counts / np.maximum(seen, 1)[:, None]
+        ratio = np.log(np.where(share > 0, share, 1.0) / np.where(share > 0, above, 1.0))
+        told = (counts * ratio).sum(axis=1) > 0.5 * kinds * np.log(np.maximum(seen, 2))
+        enough = seen >= least
+        return np.where(enough[:, None], _mixed_in(counts, seen[:, None], kinds[:, None], above), above), enough & told
+
+    def finish(self, parents: np.ndarray) -> None:
+        """Keep the suffixes of contexts that stay, ``parents`` of those of three symbols, and mix through these alone."""
+        self.kept2 |= np.isin(self.rows, parents)
+        self.kept1[self.rows[self.kept2] >> 8] = True
+
+        def final(counts: np.ndarray, above: np.ndarray, kept: np.ndarray) -> np.ndarray:
+            seen, kinds = counts.sum(axis=1), np.count_nonzero(counts, axis=1)
+            return np.where(kept[:, None], _mixed_in(counts, seen[:, None], kinds[:, None], above), above)
+
+        self.chance1 = final(self.one, self.root[None], self.kept1)
+        self.chance2 = final(self.two, self.chance1[self.rows >> 8], self.kept2)
+
+    def chance(self, keys: np.ndarray) -> np.ndarray:
+        last, symbol = (keys >> np.uint64(56)).astype(np.int64), (keys & np.uint64(255)).astype(np.int64)
+        found = self.chance1[last, symbol]
+        if len(self.rows):
+            two = (keys >> np.uint64(48)).astype(np.int64)
+            spot = np.minimum(np.searchsorted(self.rows, two), len(self.rows) - 1)
+            hit = (self.rows[spot] == two) & (last != END)
+            found[hit] = self.chance2[spot[hit], symbol[hit]]
+        return found
+
+
+MODEL = "shard int, level int, contexts binary, seen binary, kinds binary, pairs binary, counts binary, parents array<int>"
+
+
+def _chosen(sent, depth: int, least: float):
+    """The contexts of one shard that stay: of each length their counts, and those of the symbols after them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        head: Head = sent.value
+        keys, counts = added(
+            [unpacked(k, np.uint64, True) for k in table["keys"].to_pylist()],
+            [unpacked(n, np.int64) for n in table["counts"].to_pylist()],
+        )
+        above = head.chance(keys)
+        inside = (keys >> np.uint64(56) != END) & (keys >> np.uint64(48) & np.uint64(255) != END)
+        levels = []
+        for d in range(3, depth + 1):
+            keys, counts, above = keys[inside], counts[inside], above[inside]
+            if not len(keys):
+                break
+            prefix = keys >> np.uint64(8 * (8 - d))
+            starts = np.flatnonzero(np.concatenate([[True], prefix[1:] != prefix[:-1]]))
+            seen = np.add.reduceat(counts, starts)
+            many = np.repeat(seen >= least, np.diff(np.append(starts, len(keys))))
+            keys, counts, above, prefix = keys[many], counts[many], above[many], prefix[many]
+            if not len(keys):
+                break
+            contexts, owner = np.unique(prefix, return_inverse=True)
+            seen = seen[seen >= least]
+            pairs, first, of = np.unique(prefix << np.uint64(8) | keys & np.uint64(255), return_index=True, return_inverse=True)
+            n, mine = np.bincount(of, counts), owner[first]
+            kinds = np.bincount(mine)
+            gain = np.bincount(mine, n * np.log(n / seen[mine] / above[first]))
+            kept = gain > 0.5 * kinds * np.log(np.maximum(seen, 2))
+            levels.append([contexts, seen, kinds, pairs, n.astype(np.int64), mine, kept])
+            above = _mixed_in(n, seen[mine], kinds[mine], above[first])[of]
+            inside = keys >> np.uint64(8 * (8 - d)) & np.uint64(255) != END
+        for up, down in zip(levels[-2::-1], levels[:0:-1], strict=True):  # suffixes of contexts that stay do too
+            up[-1][np.searchsorted(up[0], different(down[0][down[-1]] >> np.uint64(8)))] = True
+        out = {c.split()[0]: [] for c in MODEL.split(", ")}
+        for d, (contexts, seen, kinds, pairs, n, mine, kept) in enumerate(levels, 3):
+            if not kept.any():
+                break
+            of = kept[mine]
+            row = (
+                table["shard"][0].as_py(), d, packed(contexts[kept], True), packed(seen[kept]), packed(kinds[kept]),
+                packed(pairs[of], True), packed(n[of]),
+                different(contexts[kept] >> np.uint64(8)).astype(np.int64).tolist() if d == 3 else [],
+            )
+            for values, value in zip(out.values(), row, strict=True):
+                values.append(value)
+        binary, kinds_of = pa.binary(), {"shard": pa.int32(), "level": pa.int32(), "parents": pa.list_(pa.int32())}
+        return pa.table({c: pa.array(v, kinds_of.get(c, binary)) for c, v in out.items()})
+
+    return run
+
+
+def _answers(sent):
+    """log10 probabilities of the places that each group asks a shard for."""
+
+    def run(asked: pa.Table, model: pa.Table) -> pa.Table:
+        head: Head = sent.value
+        levels = []
+        for row in sorted(model.to_pylist(), key=lambda r: r["level"]):
+            whole = [unpacked(row[c], np.int64) for c in ("seen", "kinds", "counts")]
+            levels.append((row["level"], unpacked(row["contexts"], np.uint64, True), unpacked(row["pairs"], np.uint64, True), *whole))
+        found = []
+        for data in asked["keys"].to_pylist():
+            keys = unpacked(data, np.uint64, True)
+            chance, at = head.chance(keys), np.arange(len(keys))
+            for d, contexts, pairs, seen, kinds, counts in levels:
+                context = keys[at] >> np.uint64(8 * (8 - d))
+                spot = np.minimum(np.searchsorted(contexts, context), len(contexts) - 1)
+                hit = contexts[spot] == context
+                at, spot = at[hit], spot[hit]
+                pair = context[hit] << np.uint64(8) | keys[at] & np.uint64(255)
+                place = np.minimum(np.searchsorted(pairs, pair), len(pairs) - 1)
+                n = np.where(pairs[place] == pair, counts[place], 0)
+                chance[at] = _mixed_in(n, seen[spot], kinds[spot], chance[at])
+            found.append(packed(np.log10(np.maximum(chance, 1e-37)).astype(np.float32)))
+        return pa.table({"group": asked["group"], "shard": asked["shard"], "logs": pa.array(found, pa.binary())})
+
+    return run
+
+
+def train(texts: DataFrame, shards: int, depth: int = DEPTH, share: float = 0.0) -> tuple[DataFrame, Head, int]:
+    """Train a tree on the column ``text`` of all given rows: its shards, its head and the number of tokens.
+
+    Null texts are empty ones.
+    """
     spark, texts = texts.sparkSession, texts.select(F.col("text").cast("string").alias("text"))
-    named = texts.mapInArrow(tidy(_named(depth, share)), "context long").distinct()
-    codes = np.sort(named.toPandas()["context"].to_numpy(np.int64)).view(np.uint64)
-    single = codes[codes >> np.uint64(56) == 1] & np.uint64(255)
-    used = np.union1d(single.astype(np.int64), [BLANK, END])
-    automaton = Automaton(codes, used)
-    sent = spark.sparkContext.broadcast(automaton)
-    counted = texts.mapInArrow(tidy(_followers(sent, depth)), "shard int, places binary, counts binary")
-    counts = np.zeros(len(automaton.table), np.int64)
-    size = SHARD * automaton.width
-    for row in counted.repartition("shard").mapInArrow(tidy(_added), counted.schema).collect():  # bounded by DEPTH / LEAST contexts
-        counts[row.shard * size + np.frombuffer(row.places, np.int32)] = np.frombuffer(row.counts, np.int64)
-    sent.unpersist()
-    tokens = counts.reshape(-1, automaton.width)[:, automaton.symbol[[BLANK, END]]].sum()
-    return grow(automaton, counts, depth, max(2.0, share * counts.sum())), int(tokens)
+    # At most 2^24 rows: two symbols before each one.
+    rows = texts.mapInArrow(tidy(_heads), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    codes, n = rows["code"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+    least = max(LEAST, share * n.sum())
+    head = Head(codes, n, least)
+    sent = spark.sparkContext.broadcast(head)
+    counted = texts.mapInArrow(tidy(_grams(depth, shards)), "shard int, keys binary, counts binary")
+    model = cut(counted.groupBy("shard").applyInArrow(_chosen(sent, depth, least), MODEL))
+    parents = model.where("level = 3").select(F.explode("parents").alias("p")).distinct().collect()  # 65,536 at most
+    head.finish(np.array([r.p for r in parents], np.int64))
+    return model, head, int(head.counts[[BLANK, END]].sum())
 
 
 # --- counts of words ----------------------------------------------------------------------------------------------
@@ -361,11 +563,17 @@ def smoothed(counts: np.ndarray, tree: np.ndarray, total: int) -> np.ndarray:
     return out
 
 
-def _score(sent, tokens: int, ends: int):
-    """Scores of one group of documents, with the counts of its words."""
+def _score(depth: int, shards: int, tokens: int, ends: int):
+    """Scores of one group of documents, with the counts of its words and the probabilities of its places."""
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        tree: Tree = sent.value
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
+        words, answers = known.filter(pc.is_null(known["shard"])), known.filter(pc.is_valid(known["shard"]))
+        logs = dict(zip(answers["shard"].to_pylist(), answers["logs"].to_pylist(), strict=True))
+        texts = (p.column("text") for b in docs.select(["text"]).to_batches() for p in slices(b, "text", SCORED_BYTES))
+        places = united(grams(*symbols(t), depth) for t in texts)
+        said_of = np.empty(len(places), np.float32)
+        for shard, mine in dealt(places, shards):
+            said_of[mine] = unpacked(logs[shard], np.float32)
         counts, firsts = {}, 0
         for batch in words.to_batches(max_chunksize=50_000):
             counts.update(zip(batch.column("word").to_pylist(), batch.column("total").to_pylist(), strict=True))
@@ -373,8 +581,11 @@ def _score(sent, tokens: int, ends: int):
         out = []
         for batch in docs.select(["doc_id", "held_out", "text"]).to_batches():
             for part in slices(batch, "text", SCORED_BYTES):
-                x, _ = symbols(part.column("text"))
-                said = tree.tokens(x)
+                x, at = symbols(part.column("text"))
+                own, spot = np.unique(grams(x, at, depth), return_inverse=True)
+                closed = np.flatnonzero((x == BLANK) | (x == END))
+                said = said_of[np.searchsorted(places, own)][spot].astype(np.float64)
+                said = np.add.reduceat(said, np.concatenate([[0], closed[:-1] + 1]))
                 held = np.empty(len(said), np.int64)
                 begins = [0]
                 for text in part.column("text").to_pylist():
@@ -408,7 +619,7 @@ def _score(sent, tokens: int, ends: int):
     return run
 
 
-def scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, share: float = LEAST) -> DataFrame:
+def scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, share: float = 0.0) -> DataFrame:
     """Scores of whole texts under a tree trained on the rows that are not ``held_out``, and unigram scores beside them.
 
     Columns: ``doc_id``, ``held_out``, ``n_tokens`` (words and one end), ``n_known`` (tokens that
@@ -416,7 +627,8 @@ def scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, share: float =
     model's log10 probability. A null text is an empty one, with the end as its only token. Rows that repeat
     are counted and scored each by themselves; other columns are not read. Documents are dealt into
     groups of a bounded size; a group's words meet the counts of the whole corpus, so a word travels once
-    for each group that holds it, not for each time it occurs, and no vocabulary is collected.
+    for each group that holds it, not for each time it occurs, and no vocabulary is collected. ``depth`` is from
+    2 to 7; with a ``share``, contexts are candidates when they also make up that share of all training symbols.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
@@ -426,16 +638,21 @@ def scores(docs: DataFrame, held_out: Column, depth: int = DEPTH, share: float =
         F.sum(F.octet_length("text")), F.sum(F.when(~F.col("held_out"), 1).otherwise(0))
     ).first()
     groups, ends = (sums[0] or 0) // GROUP_BYTES + 1, int(sums[1] or 0)
-    tree, tokens = train(rows.where("not held_out"), depth, share)
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int"))
-    dealt = dealt.repartition("group")
-    words = dealt.sortWithinPartitions("group").mapInArrow(tidy(_vocabulary), "group int, word binary, n long")
+    shards = (sums[0] or 0) // SHARD_BYTES + 1
+    model, head, tokens = train(rows.where("not held_out"), shards, depth, share)
+    group = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(groups)).cast("int")
+    grouped = rows.withColumn("group", group).repartition("group")
+    asked = grouped.sortWithinPartitions("group").mapInArrow(tidy(_asked(depth, shards)), "group int, shard int, keys binary")
+    sent = docs.sparkSession.sparkContext.broadcast(head)
+    answers = asked.groupBy("shard").cogroup(model.groupBy("shard")).applyInArrow(_answers(sent), "group int, shard int, logs binary")
+    words = grouped.sortWithinPartitions("group").mapInArrow(tidy(_vocabulary), "group int, word binary, n long")
     # A word has one row for each group at most.
     counted = words.selectExpr(
         "group", "word", "sum(n) over (partition by word) as total", "min(group) over (partition by word) = group as lowest"
     ).selectExpr("group", "word", "total", "cast(lowest and total > 0 as long) as first")
-    found = dealt.groupBy("group").cogroup(counted.groupBy("group")).applyInArrow(_score(sent, tokens, ends), RESULT)
+    known = counted.unionByName(answers, allowMissingColumns=True)
+    score = _score(depth, shards, tokens, ends)
+    found = grouped.groupBy("group").cogroup(known.groupBy("group")).applyInArrow(score, RESULT)
     found = cut(found)
     # One row: the different words of training, and how probable each weight makes training tokens.
     known = found.agg(

@@ -286,6 +286,30 @@ def test_tree_follows_the_longest_suffix():
     assert np.allclose(chance[:, :-1].sum(axis=1) + chance[:, -1] * (256 - tree.width + 1), 1, atol=1e-4)
 
 
+def test_tree_keeps_rare_contexts_that_diverge(spark, monkeypatch):
+    """Of a corpus where contexts seen twice make up far less than 1e-5 of the symbols, the tree is the one made in memory."""
+    monkeypatch.setattr(suffix_tree, "GROUP_BYTES", 200_000)
+    texts = {i: prose(60 + i, 20_000) + " quartz vexing" * 2 for i in range(5)} | {5: None, 6: "a quartz vexing", 7: "\x00 é\x00"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    rows = {r.doc_id: r for r in suffix_tree.scores(docs, remainder("doc_id", 1000) == zlib.crc32(b"6") % 1000).collect()}
+    assert [i for i in texts if rows[i].held_out] == [6]
+    train = [i for i in texts if i != 6]
+    x, _ = suffix_tree.symbols(pa.array([texts[i] for i in train], pa.string()))
+    assert len(x) > 5e5
+    found = suffix_tree.frequent(np.concatenate([[10], x]).astype(np.uint8), 2, 7)
+    codes = np.concatenate([c | np.uint64(i + 1) << np.uint64(56) for i, c in enumerate(found)])
+    automaton = suffix_tree.Automaton(codes, np.union1d(x, [10, 32]))
+    tree = suffix_tree.grow(automaton, np.bincount(automaton.read(x, 7, None), minlength=len(automaton.table)), 7, 2)
+    counts = Counter(w for i in train for w in (texts[i] or "").encode().lower().split())
+    total = sum(counts.values()) + len(train)
+    said = {i: tree.tokens(suffix_tree.symbols(pa.array([t], pa.string()))[0]) for i, t in texts.items()}
+    held = {i: np.array([counts[w] for w in (t or "").encode().lower().split()] + [len(train)]) for i, t in texts.items()}
+    left = sum(suffix_tree.smoothed(held[i] - 1, said[i], total - 1).sum(axis=1) for i in train)
+    for i in texts:
+        want = suffix_tree.smoothed(held[i], said[i], total).sum(axis=1)[int(np.argmax(left))]
+        assert rows[i].score == pytest.approx(want, rel=1e-4)
+
+
 def test_vectors(spark):
     random = np.random.default_rng(0)
     base = random.standard_normal((40, 16))
