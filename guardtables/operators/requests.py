@@ -11,8 +11,7 @@ from ..functions.text import base64_bytes, utf8
 from .injection import score_injection
 from .views import build_views
 
-# Largest input limit a policy may set, and fields of the supported protocol.
-MAX_INPUT = 200_000
+# Fields of the supported protocol.
 REQUEST_FIELDS = (
     "model messages tools tool_choice functions function_call parallel_tool_calls response_format max_tokens "
     "max_completion_tokens n temperature top_p frequency_penalty presence_penalty seed stop stream stream_options "
@@ -62,21 +61,13 @@ def session_ids(turns: DataFrame, key: str, agent: Column, order: str = "turn")
     return got.select(key, "agent_id", F.concat(F.lit("s_"), F.left(digest, F.lit(16))).alias("session_id"))
 
 
-def joined_user_turns(
-    turns: DataFrame, key: str, blocked: DataFrame | None = None, order: str = "turn", max_chars: int = MAX_INPUT
-) -> DataFrame:
-    """The user turns of each request as one text, where there are several and none is blocked.
-
-    A request over the input limit is refused before its turns are joined (``input_size``
-    reports it), so what is collected per request is bounded by that limit.
-    """
-    size = turns.groupBy(key).agg(
-        F.sum(F.length(F.coalesce("text", F.lit("")))).alias("_chars"), F.count_if(F.col("role") == "user").alias("_users")
-    )
-    wanted = size.where((F.col("_chars") <= max_chars) & (F.col("_users") > 1)).select(key)
+def joined_user_turns(turns: DataFrame, key: str, blocked: DataFrame | None = None, order: str = "turn") -> DataFrame:
+    """The user turns of each request as one text, of whatever length, where there are several and none is blocked."""
+    users = turns.where(F.col("role") == "user")
+    wanted = users.groupBy(key).agg(F.count("*").alias("_users")).where("_users > 1").select(key)
     if blocked is not None:
         wanted = wanted.join(blocked.select(key).distinct(), key, "left_anti")
-    users = turns.where(F.col("role") == "user").join(wanted, key, "left_semi")
+    users = users.join(wanted, key, "left_semi")
     turn = F.struct(F.col(order).alias("o"), F.coalesce("text", F.lit("")).alias("t"))
     every = users.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("ts"))
     return every.select(key, F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("text"))
