@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..session import configure, table
 from . import (
-    binary_codes, decontaminate, language, line_index, page_template, piece_encoding, suffix_blocks, suffix_tree,
-    toxicity, weighted_minhash,
+    binary_codes, decontaminate, language, line_index, page_template, piece_encoding, prefix_trie, suffix_blocks, suffix_tree,
+    token_files, toxicity, turn_repair, weighted_minhash,
 )
 from .common import remainder
 
@@ -125,3 +125,182 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "row.page_id", "row.url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars")
     )
+
+
+# crc32 of ASCII texts: the table by its rule, then one step for each character.
+_CRC = """
+crc_table as (
+    select list_transform(range(256), lambda i: list_reduce(
+        list_prepend(i, [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda v, x: xor(v >> 1, 3988292384 * (v & 1)))) as crcs
+)
+"""
+
+
+def _crc(text: str) -> str:
+    chars = f"list_transform(string_split({text}, ''), lambda c: ascii(c)::bigint)"
+    return (
+        f"xor(list_reduce(list_prepend(4294967295::bigint, {chars}), "
+        "lambda a, b: xor(a >> 8, crcs[(xor(a, b) & 255) + 1])), 4294967295)"
+    )
+
+
+@query(
+    "op11_prefix_trie",
+    f"""
+    with {_CRC},
+    turns as (
+        select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+            row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as place
+        from conversations where conv_id is not null
+    ),
+    ids as (
+        select conv_id, conv_id - conv_id % 20 as base, {_crc("conv_id::varchar")} % 4 as h
+        from (select distinct conv_id from turns), crc_table
+    ),
+    joined as (
+        select i.conv_id, 0 as source, t.place, t.role, t.text from ids i join turns t on t.conv_id = i.base where t.place < h
+        union all
+        select i.conv_id, 1, t.place, t.role, t.text from ids i join turns t on t.conv_id = i.conv_id where t.place >= h
+    ),
+    rebuilt as (
+        select conv_id, row_number() over (partition by conv_id order by source, place) as depth,
+            sha256(length(role) || ':' || role || text) as turn,
+            len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as words
+        from joined
+    ),
+    rows as (
+        select conv_id, depth, string_agg(turn, '') over (partition by conv_id order by depth) as prefix, words,
+            depth = max(depth) over (partition by conv_id) as is_last
+        from rebuilt
+        union all
+        select conv_id, 0, '', 0, conv_id not in (select conv_id from rebuilt) from ids
+    ),
+    nodes as (
+        select prefix, min(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, min(words) as words,
+            left(prefix, greatest(length(prefix) - 64, 0)) as above,
+            sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (where is_last), '')) as ends_sha256
+        from rows group by prefix
+    ),
+    children as (select above, count(*) as n from nodes where depth > 0 group by above),
+    counted as (
+        select n.*, coalesce(c.n, 0) as n_children from nodes n left join children c on c.above = n.prefix
+    ),
+    below as (
+        select a.prefix, sum((b.n_children = 0)::int) as n_leaves, sum((b.n_convs - 1) * b.words) as saved_tokens
+        from counted a join counted b on starts_with(b.prefix, a.prefix) group by a.prefix
+    )
+    select c.conv_id, c.depth, p.conv_id as parent_conv_id, c.n_convs, c.n_children, b.n_leaves::bigint as n_leaves,
+        b.saved_tokens::bigint as saved_tokens, c.ends_sha256
+    from counted c join below b using (prefix) left join counted p on c.depth > 0 and p.prefix = c.above
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def _cheapest(*options: str) -> str:
+    """The least of costs (ten digits) followed by edits and repaired lines, as structs."""
+    return f"list_sort([{', '.join(options)}])[1]"
+
+
+def _edit(after: str, cost: str, edit: str, line: str) -> str:
+    return (
+        f"{{'k': lpad((left({after}.k, 10)::int + {cost})::varchar, 10, '0') || '{edit}' || substr({after}.k, 11), "
+        f"'r': {line} || {after}.r}}"
+    )
+
+
+def _row_options(state: int) -> str:
+    """Cheapest way from a state over one row, without insertions before it."""
+    wanted, role = (3, "assistant") if state == 2 else (2, "user")
+    extra = "(case when fault = 3 then 3 else 0 end)"
+    never = "{'k': '9999999999', 'r': ''}"
+    follows = {0: {"s": 1, "u": 2}, 1: {"u": 2}, 2: {"a": 3}, 3: {"u": 2}}[state]
+    kept = [
+        f"case when left(role, 1) = '{i}' and fault in (0, 3) then "
+        f"{_edit(f'c{to}', extra, 'K', "chr(10) || role || ':' || text")} else {never} end" for i, to in follows.items()
+    ]
+    rerole = (
+        f"case when fault in (0, 3) then "
+        f"{_edit(f'c{wanted}', f'3 + {extra}', 'R', f"chr(10) || '{role}:' || text")} else {never} end"
+    )
+    return _cheapest(_edit(f"c{state}", "4", "D", "''"), rerole, *kept)
+
+
+def _inserted(state: int, name: str, others: str) -> str:
+    wanted, role = (3, "assistant") if state == 2 else (2, "user")
+    return _cheapest(f"{name}{state}", _edit(f"{others}{wanted}", "3", "I", f"chr(10) || '{role}:'"))
+
+
+def _columns(make) -> str:
+    return ", ".join(make(state) for state in range(4))
+
+
+@query(
+    "op12_turn_repair",
+    f"""
+    with recursive {_CRC},
+    hit as (
+        select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+            {_crc("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as h
+        from conversations, crc_table
+    ),
+    damaged as (
+        select conv_id, turn, case when h = 4 then 'user' else role end as role,
+            case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+            unnest(case when h = 3 then [0, 1] else [0] end) as copy
+        from hit where h <> 0
+    ),
+    numbered as (
+        select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i from damaged
+    ),
+    faulty as (
+        select conv_id, turn, role, text, i,
+            case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1
+                when row_number() over (partition by conv_id, role, text order by i) > 1 then 2
+                when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 3 else 0 end as fault,
+            lag(left(role, 1)) over (partition by conv_id order by i) || left(role, 1) as pair
+        from numbered
+    ),
+    counts as (
+        select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, max(i) as n,
+            count(*) filter (where fault = 1) as blank, count(*) filter (where fault = 2) as duplicate,
+            count(*) filter (where fault = 3) as truncated,
+            count(*) filter (where pair is not null and pair not in ('su', 'ua', 'au')) as illegal
+        from faulty group by conv_id
+    ),
+    chain as (
+        select conv_id, n as i, {{'k': '0000000000', 'r': ''}} as c0,
+            {{'k': '0000000006II', 'r': chr(10) || 'user:' || chr(10) || 'assistant:'}} as c1,
+            {{'k': '0000000003I', 'r': chr(10) || 'assistant:'}} as c2, {{'k': '0000000000', 'r': ''}} as c3
+        from counts
+        union all
+        select conv_id, i, {_columns(lambda s: f"{_inserted(s, 'b', 'd')} as c{s}")} from (
+            select conv_id, i, {_columns(lambda s: f'b{s}')}, {_columns(lambda s: f"{_inserted(s, 'b', 'b')} as d{s}")} from (
+                select c.conv_id, c.i - 1 as i, {_columns(lambda s: f"{_row_options(s)} as b{s}")}
+                from chain c join faulty f on f.conv_id is not distinct from c.conv_id and f.i = c.i where c.i >= 1
+            )
+        )
+    ),
+    found as (
+        select conv_id, left(c0.k, 10)::bigint as cost, substr(c0.k, 11) as audit, substr(c0.r, 2) as repaired
+        from chain where i = 0
+    )
+    select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+        coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(cost, 0) as cost,
+        coalesce(audit, '') as audit, sha256(coalesce(repaired, '')) as repaired_sha256
+    from (select distinct conv_id from conversations) o
+    left join counts c on c.conv_id is not distinct from o.conv_id
+    left join found f on f.conv_id is not distinct from o.conv_id
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repair(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_token_files")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = line_index.shared_folder(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), folder, piece_encoding.tokenizer_path("word_bpe_49k.json"))
+    found = token_files.read(spark, folder)
+    return found.select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32")
