@@ -14,7 +14,9 @@ which Spark writes, lists the files that count, so files of lost or repeated tas
 from __future__ import annotations
 
 import hashlib
+import os
 import posixpath
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -33,10 +35,8 @@ from .piece_encoding import grown
 
 MAGIC = b"TOKIDS01"
 HEAD, TAIL = "<8s32sB", "<QQ8s"
-# ASCII white space, which no token of a word vocabulary holds.
-SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
 # A worker's table of words starts anew beyond so many entries or characters.
-TABLE_ENTRIES, TABLE_CHARS = 300_000, 8_000_000
+TABLE_ENTRIES, TABLE_CHARS = 400_000, 12_000_000
 # The dictionary, the pieces it is trained on, and the bytes of each.
 DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 64 << 10, 2_000, 4 << 10
 # A file is closed when its frames pass so many bytes.
@@ -45,50 +45,90 @@ FILE_BYTES = 64 << 20
 
 # --- ids of words ------------------------------------------------------------------------------------------------------
 
+# A word of letters and ASCII signs (no apostrophe): each run of the one or the other kind is encoded by itself. Letters
+# are those of ASCII, Latin-1, Latin Extended-A and Russian that stay one letter in lower case.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-žА-яЁё"
+SIGNS = "!-&(-/:-@\\[-`{-~"
+PLAIN = re.compile(f"[{LETTERS}{SIGNS}]+")
+RUNS = re.compile(f"[{LETTERS}]+|[{SIGNS}]+")
+SPECIAL = "<|"
+# Words encoded in one text.
+JOINED = 1000
+
 
 class WordTable:
     """Ids of each distinct word between ASCII white space, encoded once by the tokenizers library.
 
     Exact for vocabularies that drop white space and whose rules do not look across it. The constructor checks the
-    first on a probe; that the second holds is a property of the file's normalizer and splitter.
+    first on a probe; that the second holds is a property of the file's normalizer and splitter. Plain words are encoded
+    many at a time: tokens that end a run of letters or signs are known, so runs are counted off to find the words again.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker on every core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
-        ids = [e.ids for e in self.model.encode_batch([" a\t\n", "a", "a b", "b", " "], add_special_tokens=False)]
+        ids = self._each([" a\t\n", "a", "a b", "b", " "])
         if ids[0] != ids[1] or ids[2] != ids[1] + ids[3] or ids[4]:
             raise ValueError("this vocabulary has tokens of white space")
+        self.closes = np.zeros(self.model.get_vocab_size(), bool)
+        self.closes[[i for token, i in self.model.get_vocab().items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
+        self.place: dict[bytes, int] = {}
         self.chars = 0
         # Ids of all words end to end, and where each word's begin.
         self.flat = np.zeros(1 << 16, np.uint32)
         self.begins = np.zeros(1 << 16, np.int64)
 
-    def add(self, words: set[str]) -> None:
+    def _each(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, words: list[str], runs: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of plain words and how many each has; None where the runs do not come out."""
+        texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+        flat = np.fromiter(chain.from_iterable(self._each(texts)), np.uint32)
+        ends = np.flatnonzero(self.closes[flat]) + 1
+        last = np.cumsum(runs)
+        if len(ends) != last[-1] or ends[-1] != len(flat):
+            return None
+        return flat, np.diff(ends[last - 1], prepend=0)
+
+    def add(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.place]
         if len(self.place) + len(new) > TABLE_ENTRIES or self.chars > TABLE_CHARS:
             self.clear()
             new = list(words)
         if not new:
             return
-        found = [e.ids for e in self.model.encode_batch(new, add_special_tokens=False)]
+        plain, runs, others = [], [], []
+        for word in new:
+            text = word.decode()
+            if PLAIN.fullmatch(text) and SPECIAL not in text:
+                plain.append((word, text))
+                runs.append(len(RUNS.findall(text)))
+            else:
+                others.append((word, text))
+        together = self._together([t for _, t in plain], runs) if plain and self.closes.any() else None
+        if together is None:
+            others, plain, together = plain + others, [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        found = self._each([t for _, t in others])
+        flat = np.concatenate([together[0], np.fromiter(chain.from_iterable(found), np.uint32)])
+        sizes = np.concatenate([together[1], np.fromiter(map(len, found), np.int64, len(found))])
         at = len(self.place)
-        ends = self.begins[at] + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        ends = self.begins[at] + np.cumsum(sizes)
         self.flat, self.begins = grown(self.flat, int(ends[-1])), grown(self.begins, at + len(new) + 1)
-        self.flat[self.begins[at] : ends[-1]] = np.fromiter(chain.from_iterable(found), np.uint32, int(ends[-1] - self.begins[at]))
+        self.flat[self.begins[at] : ends[-1]] = flat
         self.begins[at + 1 : at + len(new) + 1] = ends
-        self.place.update(zip(new, range(at, at + len(new)), strict=True))
+        self.place.update(zip((w for w, _ in chain(plain, others)), range(at, at + len(new)), strict=True))
         self.chars += sum(map(len, new))
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each whole text."""
-        split = [(t or "").translate(SPACES).split(" ") for t in texts]
+    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
+        """Ids of each whole text in UTF-8."""
+        split = [(t or b"").split() for t in texts]  # at ASCII white space
         self.add(set().union(*split))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         order = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
@@ -112,7 +152,7 @@ def encoder(path: str, end_id: int):
         end = serialized(np.array([end_id]), table.width)
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [serialized(x, table.width) + end for x in table.ids(part.column("text").to_pylist())]
+                found = [serialized(x, table.width) + end for x in table.ids(part.column("text").cast(pa.large_binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "ids"])
         table.clear()
 
@@ -123,17 +163,19 @@ def encoder(path: str, end_id: int):
 
 
 def train(encoded: DataFrame, size: int = DICTIONARY_BYTES, samples: int = SAMPLES, piece: int = SAMPLE_BYTES) -> bytes:
-    """A dictionary from the ids of ``samples`` documents, those of the least hashes; of each a piece at a place by its hash.
+    """A dictionary from the ids of ``samples`` different documents, those of the least hashes; of each a piece at a place by its hash.
 
     The sample only bears on how well documents are compressed. Too few documents for training give their ids themselves
     as the dictionary; no documents give none.
     """
-    place = F.xxhash64("ids", F.lit(1))
+    hashed = encoded.withColumn("h", F.xxhash64("ids"))
+    # Hashes are even, so a share of their range holds about that share of the documents; four times what is wanted.
+    share = min(1.0, 4 * samples / max(1, encoded.count()))
     room = F.greatest(F.octet_length("ids") - piece, F.lit(0))
-    chosen = encoded.select(
-        F.xxhash64("ids").alias("h"), F.substring("ids", (F.pmod(place, room + 1).cast("int") / 4).cast("int") * 4 + 1, F.lit(piece)).alias("ids")
-    ).orderBy("h").limit(samples)
-    pieces = [bytes(r["ids"]) for r in chosen.collect()]
+    place = (F.pmod(F.xxhash64("ids", F.lit(1)), room + 1) / 4).cast("int") * 4 + 1
+    near = hashed.where(F.col("h") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    chosen = near.select("h", F.substring("ids", place, F.lit(piece)).alias("ids")).dropDuplicates(["h"]).orderBy("h").limit(samples)
+    pieces = [bytes(r["ids"]) for r in chosen.select("ids").collect()]
     try:
         return zstandard.train_dictionary(size, pieces).as_bytes()
     except (zstandard.ZstdError, ValueError):

@@ -276,7 +276,8 @@ def test_word_table_equals_the_library():
     path = tokenizer_path("word_bpe_49k.json")
     model, table = Tokenizer.from_file(path), token_files.WordTable(path)
     random = np.random.default_rng(6)
+    plain = list("abzAZéÀÖØöøÿĀįıžſАяЁё.,;:!?$&()-_/<>|@[]`{}~ ")
     letters = list("ab'stdlvemré́̇İßΣς12 \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　.-!…😀\x00<|>") + ["<|endoftext|>"]
-    texts = ["".join(random.choice(letters, random.integers(0, 40))) for _ in range(5000)]
-    for text, ids in zip(texts, table.ids(texts), strict=True):
+    texts = ["".join(random.choice(kind, random.integers(0, 40))) for _ in range(5000) for kind in (letters, plain)]
+    for text, ids in zip(texts, table.ids([t.encode() for t in texts]), strict=True):
         assert ids.tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
