@@ -1,14 +1,11 @@
 """JSON values: canonical hashes, type tests and leaves."""
 from __future__ import annotations
 
-import json
-import math
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .expr import let
+
 # Keywords of a JSON schema, its type names, and keys that identify things.
 SCHEMA_KEYWORDS = frozenset(
     "$schema $id $ref $defs $anchor $comment type properties patternProperties additionalProperties required "
@@ -27,14 +24,33 @@ MAX_DEPTH = 32
 LEAF = "array<struct<path:string,text:string,is_key:boolean,immutable:boolean>>"
 
 
+QUOTED = '"(?:[^"\\\\]++|\\\\.)*+"'
+# Deeper values are not parsed: Spark's own functions over them call themselves for each level.
+MAX_NESTING = 128
+
+
+def too_nested(text: Column, most: int = MAX_NESTING) -> Column:
+    """Whether brackets outside strings are nested more than ``most`` deep, found without parsing.
+
+    Only texts with more opening brackets than that are looked at: the innermost pairs are taken away ``most`` times.
+    """
+    opening = F.length(text) - F.length(F.translate(text, "{[", ""))
+    brackets = F.regexp_replace(F.regexp_replace(text, QUOTED, ""), "[^{}\\[\\]]+", "")
+    left = F.aggregate(
+        F.sequence(F.lit(1), F.lit(most)), brackets,
+        lambda s, _: F.when(s != "", F.regexp_replace(s, "\\{\\}|\\[\\]", "")).otherwise(s),
+    )
+    return F.when(opening > most, left != "").otherwise(False)
+
+
 def parsed(text: Column) -> Column:
-    """The JSON value, NULL for malformed text or repeated keys."""
-    return F.try_parse_json(text)
+    """The JSON value, NULL for malformed text, repeated keys or more than ``MAX_NESTING`` levels."""
+    return F.try_parse_json(F.when(~too_nested(text), text))
 
 
 def is_finite_json(text: Column) -> Column:
     """Whether no number of the value overflows a double (strings are skipped)."""
-    bare = F.regexp_replace(text, '"(?:[^"\\\\]++|\\\\.)*+"', "0")
+    bare = F.regexp_replace(text, QUOTED, "0")
     numbers = F.regexp_extract_all(bare, F.lit("-?[0-9][0-9.eE+-]*+"), F.lit(0))
     huge = F.exists(numbers, lambda n: F.abs(n.try_cast("double")) == float("inf"))
     # Only an exponent or a very long number can overflow.
@@ -42,8 +58,7 @@ def is_finite_json(text: Column) -> Column:
 
 
 def is_object(text: Column) -> Column:
-    kind = F.schema_of_variant(parsed(text))
-    return F.coalesce(kind.startswith("OBJECT") & is_finite_json(text), F.lit(False))
+    return parsed_is_object(text) & F.coalesce(is_finite_json(text), F.lit(False))
 
 
 def args_hash(text: Column) -> Column:
@@ -58,130 +73,231 @@ def member(text: Column, name: Column | str) -> Column:
     return F.try_variant_get(parsed(text), F.concat(F.lit("$['"), name, F.lit("']")), "variant")
 
 
-def _number(value) -> str:
-    return str(value)
-
-
-def _plain_leaves(value, path: str, mode: str) -> Iterator[tuple]:
-    """String leaves; 'scalars' adds numbers, 'texts' adds numbers and keys."""
-    if isinstance(value, dict):
-        for key, child in value.items():
-            here = f"{path}.{key}" if path else key
-            if mode == "texts":
-                yield here, key, True, True
-            yield from _plain_leaves(child, here, mode)
-    elif isinstance(value, list):
-        for i, child in enumerate(value):
-            yield from _plain_leaves(child, f"{path}[{i}]", mode)
-    elif isinstance(value, str):
-        yield path, value, False, False
-    elif mode != "strings" and type(value) in (int, float):
-        yield path, _number(value), False, False
-
-
-def _channel_below(channel: str | None, key: str) -> str | None:
-    """What the value under a key is: schema syntax, property names, arguments or free form."""
-    if channel is None:
-        if key == "arguments":
-            return "arguments"
-        return "schema" if key in ("schema", "parameters") else None
-    if channel == "arguments":
-        return channel
-    return "properties" if key in PROPERTY_MAPS else "schema"
-
-
-def _model_leaves(value, path: str, depth: int, channel: str | None) -> Iterator[tuple]:
-    """Texts and names a model reads; fixed protocol and schema syntax is left out."""
-    if depth > MAX_DEPTH:
-        raise ValueError("nesting is too deep")
-    if isinstance(value, list):
-        for i, item in enumerate(value):
-            here = f"{path}[{i}]"
-            if isinstance(item, str):
-                yield here, item, False, False
-            else:
-                yield from _model_leaves(item, here, depth + 1, channel)
-    elif isinstance(value, dict):
-        for key, item in value.items():
-            here = f"{path}.{key}" if path else key
-            named = channel in ("arguments", "properties") or (channel == "schema" and key not in SCHEMA_KEYWORDS)
-            if named:
-                yield here, key, True, True
-            if isinstance(item, str):
-                protocol = channel is None and key in ("role", "type")
-                schema_type = channel in ("schema", "properties") and key == "type" and item in SCHEMA_TYPES
-                if not protocol and not schema_type:
-                    yield here, item, False, key in IDENTIFIERS
-            else:
-                yield from _model_leaves(item, here, depth + 1, _channel_below(channel, key))
-    elif isinstance(value, float) and not math.isfinite(value):
-        raise ValueError("non-finite number")
-
-
-def _with_parsed_arguments(message: dict) -> dict:
-    """A message whose argument strings are JSON values; its content is read elsewhere."""
-
-    def parse(function):
-        if isinstance(function, dict) and isinstance(function.get("arguments"), str):
-            return {**function, "arguments": json.loads(function["arguments"])}
-        return function
-
-    kept = {k: v for k, v in message.items() if k != "content"}
-    if isinstance(kept.get("tool_calls"), list):
-        kept["tool_calls"] = [
-            {**call, "function": parse(call.get("function"))} if isinstance(call, dict) else call
-            for call in kept["tool_calls"]
-        ]
-    if "function_call" in kept:
-        kept["function_call"] = parse(kept["function_call"])
-    return kept
-
-
-def _request_leaves(body: dict) -> Iterator[tuple]:
-    for key, value in body.items():
-        if key == "messages":
-            for i, message in enumerate(value if isinstance(value, list) else []):
-                if isinstance(message, dict):
-                    yield from _model_leaves(_with_parsed_arguments(message), f"messages[{i}]", 0, None)
-        elif key in FLAGS:
-            continue
-        elif isinstance(value, str):
-            if key not in ("tool_choice", "function_call"):
-                yield key, value, False, False
-        else:
-            yield from _model_leaves(value, key, 0, None)
+# --- leaves ------------------------------------------------------------------------------------
+
+# A node is a part of a JSON value: the steps that lead to it (".key" or "[index]"), its JSON text (for strings what they
+# say) and its kind by the first letter of its type, K for a key.
+NODE = "struct<steps:array<string>,text:string,kind:string>"
+# Most levels that are unrolled; what lies deeper is a fault.
+MAX_LEVELS = 64
+
+
+def _node(steps: Column, text: Column, kind: Column) -> Column:
+    return F.struct(steps.alias("steps"), text.alias("text"), kind.alias("kind"))
+
+
+def _kind_of(value: Column) -> Column:
+    return F.left(F.schema_of_variant(value), F.lit(1))
+
+
+def _root_kind(text: Column) -> Column:
+    """The kind of a whole text, NULL when it is not JSON."""
+    kind = F.translate(F.substring(F.regexp_replace(text, "^\\s+", ""), 1, 1), '{["tfn', "OASTTV")
+    return F.when(parsed(text).isNotNull(), F.when(kind.isin("O", "A", "S", "T", "V"), kind).otherwise("D"))
+
+
+def is_open(node: Column) -> Column:
+    """Whether a node holds others: an OBJECT or an ARRAY."""
+    return node["kind"].isin("O", "A")
 
 
-def _leaves(text: str | None, mode: str) -> list[dict] | None:
-    """Leaves of one JSON text, NULL when it cannot be read."""
-    try:
-        value = json.loads(text)
-        found = _request_leaves(value) if mode == "metadata" else _plain_leaves(value, "", mode)
-        return [dict(zip(("path", "text", "is_key", "immutable"), leaf)) for leaf in found]
-    except (ValueError, TypeError, AttributeError, RecursionError):
-        return None
+def _below(node: Column, with_keys: bool) -> Column:
+    """The nodes inside a container in the order of the text; a key comes before its value."""
+    steps, text = node["steps"], node["text"]
 
+    def member(entry: Column, value: Column) -> Column:
+        here = F.concat(steps, F.array(F.concat(F.lit("."), entry["key"])))
+        found = _node(here, entry["value"], _kind_of(value))
+        return F.array(_node(here, entry["key"], F.lit("K")), found) if with_keys else F.array(found)
 
-def json_leaves(text: Column, mode: str = "strings") -> Column:
-    """array<struct<path,text,is_key,immutable>> of a JSON text, NULL when it cannot be read.
+    def item(pair: Column, i: Column) -> Column:
+        here = F.concat(steps, F.array(F.concat(F.lit("["), i.cast("string"), F.lit("]"))))
+        return _node(here, pair["text"], _kind_of(pair["value"]))
 
-    Modes: 'strings', 'scalars' (numbers too), 'texts' (numbers and keys) and 'metadata'
-    (what a model reads in a chat request besides message contents). JSON of any depth has
-    no built-in traversal, hence an Arrow function.
+    members = F.flatten(
+        F.zip_with(F.map_entries(F.from_json(text, "map<string,string>")), F.map_values(F.from_json(text, "map<string,variant>")), member)
+    )
+    items = F.transform(
+        F.arrays_zip(F.from_json(text, "array<string>").alias("text"), F.from_json(text, "array<variant>").alias("value")), item
+    )
+    return F.when(node["kind"] == "O", members).otherwise(items)
+
+
+def unrolled(nodes: Column, levels: Column | int, with_keys: bool) -> Column:
+    """The nodes after opening their containers ``levels`` times, breadth-first; the order of the text is kept."""
+    def level(state: Column, _: Column) -> Column:
+        opened = F.flatten(F.transform(state, lambda n: F.when(is_open(n), _below(n, with_keys)).otherwise(F.array(n))))
+        return F.when(F.exists(state, is_open), opened).otherwise(state)
+
+    count = levels if isinstance(levels, Column) else F.lit(levels)
+    return F.aggregate(F.sequence(F.lit(1), count), nodes, level)
+
+
+def json_nodes(text: Column, with_keys: bool, levels: int = MAX_LEVELS) -> Column:
+    """Keys and scalars of a JSON text in its order; a container that is left lies deeper than ``levels``.
+
+    NULL when the text is not JSON or repeats a key. A text has no more levels than opening brackets, so flat texts are
+    opened a few times only.
     """
-    if mode not in ("strings", "scalars", "texts", "metadata"):
-        raise ValueError(f"unknown mode {mode}")
+    kind = _root_kind(text)
+    said = F.when(kind == "S", F.try_variant_get(parsed(text), "$", "string")).otherwise(text)
+    root = F.array(_node(F.array().cast("array<string>"), said, kind)).cast(f"array<{NODE}>")
+    brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
+    return F.when(kind.isNotNull(), unrolled(root, F.least(F.greatest(brackets, F.lit(1)), F.lit(levels)), with_keys))
 
-    def batch(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: _leaves(t, mode))
 
-    return F.pandas_udf(batch, LEAF)(text)
+def path_of(steps: Column) -> Column:
+    """Keys joined by dots, indexes in brackets."""
+    return F.regexp_replace(F.array_join(steps, ""), "^\\.", "")
 
 
-def explode_leaves(df: DataFrame, column: str, mode: str = "strings", *keep: str) -> DataFrame:
-    """One row per leaf: the kept columns, leaf_ord, path, text, is_key, immutable."""
+def _is_number(node: Column) -> Column:
+    """BIGINT, DECIMAL, DOUBLE or FLOAT."""
+    return node["kind"].isin("B", "D", "F") & node["text"].rlike("^[-0-9]")
+
+
+def _leaf(node: Column, immutable: Column) -> Column:
+    return F.struct(
+        path_of(node["steps"]).alias("path"), node["text"].alias("text"), (node["kind"] == "K").alias("is_key"),
+        immutable.alias("immutable"),
+    )
+
+
+def _listed(nodes: Column, mode: str) -> Column:
+    """Leaves of a mode that takes whatever there is."""
+    kinds = {"strings": ["S"], "scalars": ["S"], "texts": ["S", "K"]}[mode]
+
+    def wanted(n: Column) -> Column:
+        said = n["kind"].isin(*kinds)
+        return said if mode == "strings" else said | _is_number(n)
+
+    return F.transform(F.filter(nodes, wanted), lambda n: _leaf(n, n["kind"] == "K"))
+
+
+# --- what a model reads of a request --------------------------------------------------------------
+
+
+def _names(steps: Column) -> Column:
+    """The keys among the steps."""
+    return F.transform(F.filter(steps, lambda s: s.startswith(".")), lambda s: F.substr(s, F.lit(2)))
+
+
+def _inside(names: Column) -> Column:
+    """What the container of the last of the names holds: 'arguments', 'properties' (of a schema), 'schema' or 'free'.
+
+    Arguments and schemas begin below a key of that name, but not a key of the request itself. Inside a schema the
+    last container decides whether keys are the schema's words or names of properties.
+    """
+    above = F.slice(names, F.lit(2), F.greatest(F.size(names) - 2, F.lit(0)))
+    entered = F.filter(above, lambda n: n.isin("arguments", "schema", "parameters"))
     return (
-        df.select(*keep, json_leaves(F.col(column), mode).alias("_leaves"))
-        .select(*keep, F.posexplode("_leaves").alias("leaf_ord", "_leaf"))
-        .select(*keep, "leaf_ord", "_leaf.*")
+        F.when(F.size(entered) == 0, "free")
+        .when(F.get(entered, F.lit(0)) == "arguments", "arguments")
+        .when(F.get(names, F.size(names) - 2).isin(*PROPERTY_MAPS), "properties")
+        .otherwise("schema")
     )
+
+
+def _with_arguments(nodes: Column, levels: int) -> Column:
+    """Nodes with those of argument texts, which are JSON of their own, in place of the texts; broken ones have kind X."""
+    def root(n: Column) -> Column:
+        call = F.array_join(_names(n["steps"]), "/").rlike("^messages/(?:tool_calls/function|function_call)/arguments\\z")
+        kind = F.coalesce(F.when(is_finite_json(n["text"]), _root_kind(n["text"])), F.lit("X"))
+        return F.when((n["kind"] == "S") & call, _node(n["steps"], n["text"], kind)).otherwise(n)
+
+    opened = F.transform(nodes, root)
+    return F.when(F.exists(nodes, lambda n: F.array_contains(n["steps"], ".arguments")), unrolled(opened, levels, True)).otherwise(nodes)
+
+
+def _in_scope(steps: Column) -> Column:
+    """Whether metadata holds a place: not the request's switches, nor what messages say."""
+    names = _names(F.slice(steps, F.lit(1), F.lit(3)))
+    first, second = F.get(names, F.lit(0)), F.get(names, F.lit(1))
+    said = (first == "messages") & (F.coalesce(second, F.lit("content")) == "content")
+    return ~(first.isin(*FLAGS) | said)
+
+
+def _request_leaves(nodes: Column) -> Column:
+    """Texts and names a model reads; fixed protocol words and words of the schema language are left out."""
+    def in_list(n: Column) -> Column:
+        return F.get(n["steps"], F.size(n["steps"]) - 1).startswith("[")
+
+    def wanted(n: Column) -> Column:
+        def judge(names: Column) -> Column:
+            key, area = F.get(names, F.size(names) - 1), _inside(names)
+            named = (F.size(names) > 1) & (area.isin("arguments", "properties") | ((area == "schema") & ~key.isin(*SCHEMA_KEYWORDS)))
+            word = F.when(F.size(names) == 1, key.isin("tool_choice", "function_call")).when(area == "free", key.isin("role", "type")).otherwise(
+                (area != "arguments") & (key == "type") & n["text"].isin(*SCHEMA_TYPES)
+            )
+            return F.when(n["kind"] == "K", named).otherwise((n["kind"] == "S") & (in_list(n) | ~word))
+
+        return _in_scope(n["steps"]) & let(_names(n["steps"]), judge)
+
+    def fixed(n: Column) -> Column:
+        """Whether a text names something and must not be rewritten."""
+        names = _names(n["steps"])
+        return (n["kind"] == "K") | (~in_list(n) & (F.size(names) > 1) & F.get(names, F.size(names) - 1).isin(*IDENTIFIERS))
+
+    return F.transform(F.filter(nodes, wanted), lambda n: _leaf(n, fixed(n)))
+
+
+MODES = ("strings", "scalars", "texts", "metadata")
+
+
+def read_leaves(text: Column, mode: str = "strings", max_depth: int | None = None) -> Column:
+    """struct<leaves, fault> of a JSON text: its leaves in order, or the reason why it cannot be read (never both).
+
+    Modes: 'strings', 'scalars' (numbers too), 'texts' (numbers and keys) and 'metadata' (what a model reads in a chat
+    request besides message contents). Metadata may be nested ``MAX_DEPTH`` levels below its field or message, other texts
+    ``MAX_LEVELS`` in all, unless ``max_depth`` says otherwise.
+    """
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode}")
+    metadata = mode == "metadata"
+    most = max_depth if max_depth is not None else MAX_DEPTH if metadata else MAX_LEVELS
+    # A field lies one step below the request, a message two; the container itself opens one level more.
+    nodes = json_nodes(text, mode in ("texts", "metadata"), most + 3 if metadata else most)
+
+    def judged(n: Column) -> Column:
+        def field(x: Column) -> Column:
+            return F.when(F.get(x["steps"], F.lit(0)) == ".messages", 2).otherwise(1)
+
+        def deep(x: Column) -> Column:
+            # A node's steps lead through its containers, so a leaf tells how deep they are.
+            return is_open(x) & _in_scope(x["steps"]) if metadata else is_open(x)
+
+        faults = [
+            F.when(too_nested(text), f"nested more than {min(most, MAX_NESTING)} levels"), F.when(n.isNull(), "not JSON with unique keys"), F.when(~is_finite_json(text), "number that is not finite"),
+        ]
+        if metadata:
+            faults += [
+                F.when(~parsed_is_object(text), "not an object"),
+                F.when(F.exists(n, lambda x: x["kind"] == "X"), "arguments that are not JSON"),
+            ]
+            below = F.exists(n, lambda x: _in_scope(x["steps"]) & (F.size(x["steps"]) - field(x) - F.when(is_open(x), 0).otherwise(1) > most))
+            faults.append(F.when(below | F.exists(n, deep), f"nested more than {most} levels"))
+        else:
+            faults.append(F.when(F.exists(n, deep), f"nested more than {most} levels"))
+        leaves = _request_leaves(n) if metadata else _listed(n, mode)
+        return let(F.coalesce(*faults), lambda f: F.struct(F.when(f.isNull(), leaves).cast(LEAF).alias("leaves"), f.alias("fault")))
+
+    return let(let(nodes, lambda n: _with_arguments(n, most + 3)) if metadata else nodes, judged)
+
+
+def parsed_is_object(text: Column) -> Column:
+    return F.coalesce(_root_kind(text) == "O", F.lit(False))
+
+
+def json_leaves(text: Column, mode: str = "strings", max_depth: int | None = None) -> Column:
+    """array<struct<path,text,is_key,immutable>> of a JSON text, NULL when it cannot be read."""
+    return read_leaves(text, mode, max_depth)["leaves"]
+
+
+def explode_leaves(df: DataFrame, column: str, mode: str = "strings", *keep: str) -> DataFrame:
+    """One row per leaf: the kept columns, leaf_ord, path, text, is_key, immutable, fault.
+
+    A text that cannot be read is one row with ``fault`` and nothing else, so that what cannot be seen can be refused.
+    """
+    read = df.select(*keep, read_leaves(F.col(column), mode).alias("_read"))
+    leaves = read.select(*keep, F.posexplode_outer("_read.leaves").alias("leaf_ord", "_leaf"), F.col("_read.fault").alias("fault"))
+    return leaves.where("leaf_ord is not null or fault is not null").select(*keep, "leaf_ord", "_leaf.*", "fault")

@@ -115,13 +115,17 @@ def _argument_findings(args: str) -> Column:
 
 
 def denied_arguments(calls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Calls and arguments in which some string, at any depth, matches a denied pattern."""
+    """Calls and arguments in which some string, at any depth, matches a denied pattern.
+
+    A call whose arguments cannot be read counts as denied: argument '*' with no matches.
+    """
     deny = rules.where(F.col("kind") == "deny").select("tool", "arg", "pattern")
     leaves = explode_leaves(calls.join(deny.select("tool").distinct(), "tool", "left_semi"),
                             "args_json", "strings", "call_id", "tool")
     top = F.regexp_extract("path", "^([^.\\[]*)", 1)
     hits = leaves.withColumn("arg", top).join(deny, ["tool", "arg"]).where(F.regexp_like("text", F.col("pattern")))
-    return hits.groupBy("call_id", "arg").agg(F.count("*").alias("matches"))
+    unread = leaves.where("fault is not null").select("call_id", F.lit("*").alias("arg"), F.lit(0).cast("long").alias("matches"))
+    return hits.groupBy("call_id", "arg").agg(F.count("*").alias("matches")).unionByName(unread)
 
 
 def check_calls(
@@ -246,7 +250,10 @@ def use_approvals(calls: DataFrame, approvals: DataFrame) -> DataFrame:
 
 
 def undeclared_leaves(calls: DataFrame, tools: DataFrame, rules: DataFrame) -> DataFrame:
-    """Argument texts the detectors should read; declared targets and patterned arguments are left alone."""
+    """Argument texts the detectors should read; declared targets and patterned arguments are left alone.
+
+    Arguments that cannot be read are one row with ``fault`` and no text.
+    """
     targets = tools.select("tool", F.explode("target_args").alias("arg"))
     patterned = rules.where(F.col("kind") == "pattern").select("tool", "arg")
     declared = targets.union(patterned).distinct()

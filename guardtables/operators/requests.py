@@ -1,6 +1,10 @@
 """Chat requests and tool calls as rows: flattening, limits, identities, provenance, shape checks."""
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -8,7 +12,8 @@ from ..functions.crypto import hmac_sha256
 from ..functions.expr import let
 from ..functions.jsonx import explode_leaves, is_object, parsed
 from ..functions.text import base64_bytes, utf8
-from .injection import score_injection
+from ..functions.windows import running_total
+from .injection import score_pieces
 from .views import build_views
 
 # Fields of the supported protocol.
@@ -61,26 +66,115 @@ def session_ids(turns: DataFrame, key: str, agent: Column, order: str = "turn")
     return got.select(key, "agent_id", F.concat(F.lit("s_"), F.left(digest, F.lit(16))).alias("session_id"))
 
 
-def joined_user_turns(turns: DataFrame, key: str, blocked: DataFrame | None = None, order: str = "turn") -> DataFrame:
-    """The user turns of each request as one text, of whatever length, where there are several and none is blocked."""
-    users = turns.where(F.col("role") == "user")
+# Characters of a piece of joined turns, and those that it shows again of the piece before. A phrase, with the words at its
+# ends, is found when it takes ``OVERLAP - TOKEN`` characters or less; a longer word at a piece's end is cut.
+PIECE, OVERLAP, TOKEN = 65_536, 16_384, 8_192
+# Turns of one slice of a conversation.
+SLICE = 1_000
+
+
+def joined_chunks(turns: DataFrame, key: str, blocked: DataFrame | None = None, order: str = "turn", size: int = PIECE) -> DataFrame:
+    """The user turns of each request joined by spaces, where there are several and none is blocked, as chunks.
+
+    One row (key, at, part) for what a turn has in each stretch of ``size`` characters of the joined text; ``at`` is its
+    place there. No request is gathered: places are running sums over slices of its turns. Turns are in the order of
+    ``order`` (null first) and text.
+    """
+    users = turns.where(F.col("role") == "user").select(key, F.col(order).alias("_o"), F.coalesce("text", F.lit("")).alias("_t"))
     wanted = users.groupBy(key).agg(F.count("*").alias("_users")).where("_users > 1").select(key)
     if blocked is not None:
         wanted = wanted.join(blocked.select(key).distinct(), key, "left_anti")
-    users = users.join(wanted, key, "left_semi")
-    turn = F.struct(F.col(order).alias("o"), F.coalesce("text", F.lit("")).alias("t"))
-    every = users.groupBy(key).agg(F.array_sort(F.collect_list(turn)).alias("ts"))
-    return every.select(key, F.array_join(F.transform("ts", lambda x: x["t"]), " ").alias("text"))
+    length = (F.length("_t") + 1).cast("long")
+    slice_of = F.coalesce(F.floor(F.col("_o") / SLICE), F.lit(-(1 << 53)))
+    placed = running_total(users.join(wanted, key, "left_semi"), [key], [F.col("_o"), F.col("_t")], length, slice_of, "_upto")
+    start = F.col("_upto") - length
+    # Every turn but the first brings the space before it.
+    placed = placed.select(
+        key, F.greatest(start - 1, F.lit(0)).alias("_begin"), F.concat(F.when(start > 0, " ").otherwise(""), "_t").alias("_t")
+    )
+    first = (size - F.col("_begin") % size).cast("int")
+    parts = F.concat(
+        F.array(F.left("_t", first)), F.regexp_extract_all(F.substr("_t", first + 1), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    )
+    at = F.when(F.col("_i") == 0, F.col("_begin")).otherwise((F.floor(F.col("_begin") / size) + F.col("_i")) * size)
+    return placed.select(key, "_begin", F.posexplode(parts).alias("_i", "part")).select(key, at.cast("long").alias("at"), "part")
 
 
-def scan_joined_turns(turns: DataFrame, key: str, blocked: DataFrame | None = None, order: str = "turn") -> DataFrame:
-    """Injection score of the joined user turns; other detectors have seen the turns already."""
-    return score_injection(build_views(joined_user_turns(turns, key, blocked, order)), "views").drop("views")
+def joined_pieces(
+    turns: DataFrame, key: str, blocked: DataFrame | None = None, order: str = "turn", size: int = PIECE, overlap: int = OVERLAP,
+    token: int = TOKEN,
+) -> DataFrame:
+    """The joined user turns in pieces (key, at, text) of bounded length that overlap by ``overlap`` characters.
+
+    A request of less than ``size`` characters is one piece, its whole text. At an edge inside the text a piece leaves out
+    the word that the edge cuts (``token`` characters of it at most).
+    """
+    chunks = joined_chunks(turns, key, blocked, order, size).withColumn("_n", F.floor(F.col("at") / size))
+    upto = (F.col("_n") + 1) * size
+    # One character more on each side tells whether a word is cut.
+    early = F.greatest(upto - overlap - 1 - F.col("at"), F.lit(0)).cast("int")
+
+    def shown(n: Column, at: Column, part: Column, core: bool, after: bool) -> Column:
+        return F.struct(n.alias("n"), at.cast("long").alias("at"), part.alias("part"), F.lit(core).alias("core"), F.lit(after).alias("after"))
+
+    at, n, part = F.col("at"), F.col("_n"), F.col("part")
+    shows = F.array(
+        shown(n, at, part, True, False),
+        F.when(at + F.length(part) > at + early, shown(n + 1, at + early, F.substr(part, early + 1), False, False)),
+        F.when((n > 0) & (at == n * size) & (part != ""), shown(n - 1, at, F.left(part, F.lit(1)), False, True)),
+    )
+    rows = chunks.select(key, F.explode(F.filter(shows, lambda x: x.isNotNull())).alias("s")).select(key, "s.*")
+    listed = F.array_sort(F.collect_list(F.struct("at", "after", "part")))
+    pieces = rows.groupBy(key, "n").agg(
+        F.array_join(F.transform(listed, lambda x: x["part"]), "").alias("_raw"), F.min("at").alias("_at"),
+        F.bool_or("after").alias("_after"), F.bool_or("core").alias("_core"),
+    ).where("_core")
+    head = F.when(F.col("_at") > 0, F.regexp_replace("_raw", f"^\\S{{1,{token}}}+", "")).otherwise(F.col("_raw"))
+    tail = F.when(F.col("_after"), F.regexp_replace("_head", f"\\S{{1,{token}}}\\z", "")).otherwise(F.col("_head"))
+    return pieces.withColumn("_head", head).select(
+        key, (F.col("_at") + F.length("_raw") - F.length("_head")).alias("at"), tail.alias("text")
+    )
+
+
+def score_joined_turns(turns: DataFrame, key: str, blocked: DataFrame | None = None, order: str = "turn", **sizes: int) -> DataFrame:
+    """Injection score of the joined user turns (key, injection); other detectors have seen the turns already.
+
+    Conversations are scanned in pieces of bounded length, each within its own decode budget.
+    """
+    return score_pieces(build_views(joined_pieces(turns, key, blocked, order, **sizes)), key)
+
+
+def joined_digests(turns: DataFrame, key: str, blocked: DataFrame | None = None, order: str = "turn") -> DataFrame:
+    """MD5 of the joined user turns (key, joined_md5): chunks pass as a stream, so memory does not grow with a request."""
+    chunks = joined_chunks(turns, key, blocked, order).select(key, "at", "part")
+    kind = turns.schema[key].dataType.simpleString()
+    in_order = chunks.repartition(key).sortWithinPartitions(key, "at", F.length("part"))
+    return in_order.mapInPandas(_md5_of_runs, f"{key} {kind}, joined_md5 string")
+
+
+def _md5_of_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    current, state, names = None, None, None
+    for frame in frames:
+        names = [frame.columns[0], "joined_md5"]
+        done = []
+        for value, part in zip(frame.iloc[:, 0].tolist(), frame["part"]):
+            if state is None or value != current:
+                if state is not None:
+                    done.append((current, state.hexdigest()))
+                current, state = value, hashlib.md5(usedforsecurity=False)
+            state.update(part.encode())
+        if done:
+            yield pd.DataFrame(done, columns=names)
+    if state is not None:
+        yield pd.DataFrame([(current, state.hexdigest())], columns=names)
 
 
 def metadata_texts(requests: DataFrame, key: str, body: str = "body") -> DataFrame:
-    """Every text and name in a request, besides message contents, that a model reads."""
-    return explode_leaves(requests, body, "metadata", key).where(F.col("text") != "")
+    """Every text and name in a request, besides message contents, that a model reads.
+
+    A body that cannot be read is one row with ``fault``; it should be refused.
+    """
+    return explode_leaves(requests, body, "metadata", key).where("text <> '' or fault is not null")
 
 
 def label_results(results: DataFrame, tools: DataFrame) -> DataFrame:

@@ -129,7 +129,8 @@ def pending_approvals(t: Inputs) -> DataFrame:
 @query(
     "denied_arguments",
     f"with {CALLS} select call_id, 'body' as arg, 1 as matches from calls where tool = 'note' "
-    "and regexp_matches(args_json, 'drop table [0-9]*1') and event_id % 37 <> 0 and event_id % 41 <> 0",
+    "and regexp_matches(args_json, 'drop table [0-9]*1') and event_id % 37 <> 0 and event_id % 41 <> 0 "
+    "union all select call_id, '*', 0 from calls where tool = 'note' and event_id % 37 = 0",
 )
 def denied_arguments(t: Inputs) -> DataFrame:
     return governance.denied_arguments(t.calls, _rules(t))
@@ -137,15 +138,15 @@ def denied_arguments(t: Inputs) -> DataFrame:
 
 @query(
     "argument_leaves",
-    f"with {CALLS} select call_id, case tool when 'mail' then 'body' when 'note' then 'body.lines[0]' else 'q' end as path "
-    "from calls where event_id % 37 <> 0 and event_id % 41 <> 0 and tool <> 'transfer' "
-    f"union all select call_id, 'body.lines[1]' from calls where event_id % 37 <> 0 and event_id % 41 <> 0 and tool = 'note' "
-    "union all select call_id, '[0]' from calls where false "
-    "union all select call_id, x.p from calls, (values ('a', 1)) x(p, k) where false",
+    f"with {CALLS}, readable as (select * from calls where event_id % 37 <> 0 and event_id % 41 <> 0 and tool <> 'transfer') "
+    "select call_id, case tool when 'mail' then 'body' when 'note' then 'body.lines[0]' else 'q' end as path, false as unread from readable "
+    "union all select call_id, 'body.lines[1]', false from readable where tool = 'note' "
+    "union all select call_id, null, true from calls where event_id % 37 = 0",
 )
 def argument_leaves(t: Inputs) -> DataFrame:
-    """Argument texts the detectors read; declared targets are left out, numbers are no texts."""
-    return governance.undeclared_leaves(t.calls.where("event_id % 37 <> 0 and event_id % 41 <> 0"), _tools(t), _rules(t)).select("call_id", "path")
+    """Argument texts the detectors read; declared targets are left out, numbers are no texts, repeated keys make a call unread."""
+    leaves = governance.undeclared_leaves(t.calls, _tools(t), _rules(t))
+    return leaves.select("call_id", "path", F.col("fault").isNotNull().alias("unread"))
 
 
 @query(
@@ -383,8 +384,7 @@ def governed_calls(t: Inputs) -> DataFrame:
     "select conv_id, md5(string_agg(text, ' ' order by turn)) as joined_md5 from conversations where role = 'user' group by conv_id having count(*) > 1",
 )
 def conversation_joined_turns(t: Inputs) -> DataFrame:
-    joined = requests.joined_user_turns(t.conversations, "conv_id")
-    return joined.select("conv_id", F.md5("text").alias("joined_md5"))
+    return requests.joined_digests(t.conversations, "conv_id")
 
 
 @query(
@@ -392,7 +392,7 @@ def conversation_joined_turns(t: Inputs) -> DataFrame:
     "select conv_id, 0.0 as score from conversations where role = 'user' group by conv_id having count(*) > 1",
 )
 def joined_turn_scores(t: Inputs) -> DataFrame:
-    scored = requests.scan_joined_turns(t.conversations, "conv_id")
+    scored = requests.score_joined_turns(t.conversations, "conv_id")
     return scored.select("conv_id", F.round("injection.score", 6).alias("score"))
 
 
@@ -470,3 +470,18 @@ def request_metadata(t: Inputs) -> DataFrame:
     )
     found = requests.metadata_texts(t.events.select("event_id", body.alias("body")), "event_id")
     return found.select("event_id", "path", "is_key")
+
+
+@query(
+    "deep_metadata",
+    "select event_id, case when event_id % 91 + 10 <= 33 then concat('tools', repeat('[0]', (event_id % 91 + 10)::int)) end as path, "
+    "case when event_id % 91 + 10 > 33 then 'nested more than 32 levels' end as fault from events",
+)
+def deep_metadata(t: Inputs) -> DataFrame:
+    """Requests nested 10 to 100 levels: a text at the bottom is read, or the request has a reason to be refused."""
+    levels = (F.col("event_id") % 91 + 10).cast("int")
+    body = F.concat(
+        F.lit('{"model":"m","tools":'), F.repeat(F.lit("["), levels), F.lit('"'), "event_type", F.lit('"'), F.repeat(F.lit("]"), levels), F.lit("}")
+    )
+    found = requests.metadata_texts(t.events.select("event_id", body.alias("body")), "event_id")
+    return found.select("event_id", "path", "fault")
