@@ -78,11 +78,10 @@ class WordTable:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.chars = 0
-        # Ids of all words end to end, and where each word's begin.
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.begins = np.zeros(1 << 16, np.int64)
+        self.place = _Places()
+        # Ids of all words end to end; where each word's begin and how many it has.
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.begins, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _each(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
@@ -97,48 +96,64 @@ class WordTable:
             return None
         return flat, np.diff(ends[last - 1], prepend=0)
 
-    def add(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.place]
-        if len(self.place) + len(new) > TABLE_ENTRIES or self.chars > TABLE_CHARS:
-            self.clear()
-            new = list(words)
-        if not new:
-            return
+    def _encode_new(self) -> None:
+        """Ids of the words that were met since the last call."""
+        new, at = self.place.new, len(self.place) - len(self.place.new)
+        self.place.new = []
         plain, runs, others = [], [], []
-        for word in new:
-            text = word.decode()
+        texts = [w.decode() for w in new]
+        for i, text in enumerate(texts):
             if PLAIN.fullmatch(text) and SPECIAL not in text:
-                plain.append((word, text))
+                plain.append(i)
                 runs.append(len(RUNS.findall(text)))
             else:
-                others.append((word, text))
-        together = self._together([t for _, t in plain], runs) if plain and self.closes.any() else None
+                others.append(i)
+        together = self._together([texts[i] for i in plain], runs) if plain and self.closes.any() else None
         if together is None:
             others, plain, together = plain + others, [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        found = self._each([t for _, t in others])
+        found = self._each([texts[i] for i in others])
         flat = np.concatenate([together[0], np.fromiter(chain.from_iterable(found), np.uint32)])
         sizes = np.concatenate([together[1], np.fromiter(map(len, found), np.int64, len(found))])
-        at = len(self.place)
-        ends = self.begins[at] + np.cumsum(sizes)
-        self.flat, self.begins = grown(self.flat, int(ends[-1])), grown(self.begins, at + len(new) + 1)
-        self.flat[self.begins[at] : ends[-1]] = flat
-        self.begins[at + 1 : at + len(new) + 1] = ends
-        self.place.update(zip((w for w, _ in chain(plain, others)), range(at, at + len(new)), strict=True))
-        self.chars += sum(map(len, new))
+        upto = self.used + len(flat)
+        self.flat = grown(self.flat, upto)
+        self.begins, self.sizes = grown(self.begins, at + len(new)), grown(self.sizes, at + len(new))
+        self.flat[self.used : upto] = flat
+        where = at + np.array(plain + others, np.int64)
+        self.begins[where] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[where] = sizes
+        self.used = upto
 
     def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """Ids of each whole text in UTF-8."""
+        if len(self.place) > TABLE_ENTRIES or self.place.chars > TABLE_CHARS:
+            self.clear()
         split = [(t or b"").split() for t in texts]  # at ASCII white space
-        self.add(set().union(*split))
         counts = np.fromiter(map(len, split), np.int64, len(split))
         order = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        starts, sizes = self.begins[order], self.begins[order + 1] - self.begins[order]
+        if self.place.new:
+            self._encode_new()
+        starts, sizes = self.begins[order], self.sizes[order]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
         bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
         return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
+class _Places(dict):
+    """Numbers of words in the order in which they are first met; ``new`` holds those not encoded yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[bytes] = []
+        self.chars = 0
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = len(self)
+        self.new.append(word)
+        self.chars += len(word)
+        return number
+
+
 _TABLES: dict[str, WordTable] = {}
 
 
