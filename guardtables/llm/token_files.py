@@ -16,15 +16,15 @@ from __future__ import annotations
 import hashlib
 import os
 import posixpath
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 from struct import calcsize, pack, unpack
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,8 +49,7 @@ FILE_BYTES = 64 << 20
 # are those of ASCII, Latin-1, Latin Extended-A and Russian that stay one letter in lower case.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-žА-яЁё"
 SIGNS = "!-&(-/:-@\\[-`{-~"
-PLAIN = re.compile(f"[{LETTERS}{SIGNS}]+")
-RUNS = re.compile(f"[{LETTERS}]+|[{SIGNS}]+")
+PLAIN = f"^[{LETTERS}{SIGNS}]+$"
 SPECIAL = "<|"
 # Words encoded in one text.
 JOINED = 1000
@@ -60,8 +59,9 @@ class WordTable:
     """Ids of each distinct word between ASCII white space, encoded once by the tokenizers library.
 
     Exact for vocabularies that drop white space and whose rules do not look across it. The constructor checks the
-    first on a probe; that the second holds is a property of the file's normalizer and splitter. Plain words are encoded
-    many at a time: tokens that end a run of letters or signs are known, so runs are counted off to find the words again.
+    first on a probe; that the second holds is a property of the file's normalizer and splitter. Plain words consist of
+    runs of letters and signs, which such a vocabulary encodes by themselves and in lower case. Runs are encoded many at a
+    time: tokens that end a run are known, so runs are counted off to find them again.
     """
 
     def __init__(self, path: str):
@@ -73,81 +73,118 @@ class WordTable:
         ids = self._each([" a\t\n", "a", "a b", "b", " "])
         if ids[0] != ids[1] or ids[2] != ids[1] + ids[3] or ids[4]:
             raise ValueError("this vocabulary has tokens of white space")
+        cased, runs = self._each(["Aé,b", "aé , b"])
+        if cased != runs:
+            raise ValueError("this vocabulary tells capitals apart, or joins letters and signs")
         self.closes = np.zeros(self.model.get_vocab_size(), bool)
         self.closes[[i for token, i in self.model.get_vocab().items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
-        self.place = _Places()
-        # Ids of all words end to end; where each word's begin and how many it has.
+        # Ids of all words end to end; where each word's begin and how many it has. The same for runs.
+        self.place, self.run = _Places(), _Places()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.begins, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.run_flat, self.run_used = np.zeros(1 << 16, np.uint32), 0
+        self.run_begins, self.run_sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
-    def _each(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, words: list[str], runs: list[int]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of plain words and how many each has; None where the runs do not come out."""
-        texts = [" ".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)]
+    def _together(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Ids of runs that are encoded many at a time and how many each has; None where they do not come out."""
+        texts = [" ".join(runs[i : i + JOINED]) for i in range(0, len(runs), JOINED)]
         flat = np.fromiter(chain.from_iterable(self._each(texts)), np.uint32)
         ends = np.flatnonzero(self.closes[flat]) + 1
-        last = np.cumsum(runs)
-        if len(ends) != last[-1] or ends[-1] != len(flat):
+        if len(ends) != len(runs) or ends[-1] != len(flat):
             return None
-        return flat, np.diff(ends[last - 1], prepend=0)
+        return flat, np.diff(ends, prepend=0)
 
     def _encode_new(self) -> None:
-        """Ids of the words that were met since the last call."""
+        """Ids of the words that were met since the last call: those of their runs, each encoded once."""
         new, at = self.place.new, len(self.place) - len(self.place.new)
         self.place.new = []
-        plain, runs, others = [], [], []
-        texts = [w.decode() for w in new]
-        for i, text in enumerate(texts):
-            if PLAIN.fullmatch(text) and SPECIAL not in text:
-                plain.append(i)
-                runs.append(len(RUNS.findall(text)))
-            else:
-                others.append(i)
-        together = self._together([texts[i] for i in plain], runs) if plain and self.closes.any() else None
+        words = pa.array(new, pa.large_binary()).cast(pa.large_string())
+        plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, SPECIAL)))
+        spaced = pc.utf8_lower(words.filter(plain))
+        for before, after in ((LETTERS, SIGNS), (SIGNS, LETTERS)):
+            spaced = pc.replace_substring_regex(spaced, f"([{before}])([{after}])", r"\1 \2")
+        # Runs of plain words; each other word is encoded as a whole.
+        split = pc.ascii_split_whitespace(spaced)
+        runs = split.flatten().dictionary_encode()
+        known = [self.run[r] for r in runs.dictionary.to_pylist()]
+        whole = [self.run["\0" + w] for w in words.filter(pc.invert(plain)).to_pylist()]
+        self._encode_runs()
+        mask = plain.to_numpy(zero_copy_only=False)
+        counts = np.ones(len(new), np.int64)
+        counts[mask] = np.diff(np.asarray(split.offsets))
+        order = np.empty(int(counts.sum()), np.int64)
+        inside = np.repeat(mask, counts)
+        order[inside] = np.array(known, np.int64)[runs.indices.to_numpy()] if len(known) else 0
+        order[~inside] = whole
+        sizes = self.run_sizes[order]
+        flat = taken(self.run_flat, self.run_begins[order], sizes)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
+        self.begins, self.sizes = grown(self.begins, at + len(new)), grown(self.sizes, at + len(new))
+        self.flat = grown(self.flat, self.used + len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.begins[at : at + len(new)] = self.used + ends[:-1]
+        self.sizes[at : at + len(new)] = np.diff(ends)
+        self.used += len(flat)
+
+    def _encode_runs(self) -> None:
+        new, at = self.run.new, len(self.run) - len(self.run.new)
+        self.run.new = []
+        if not new:
+            return
+        plain = [i for i, r in enumerate(new) if r[0] != "\0"]
+        others = [i for i, r in enumerate(new) if r[0] == "\0"]
+        together = self._together([new[i] for i in plain]) if plain and self.closes.any() else None
         if together is None:
             others, plain, together = plain + others, [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        found = self._each([texts[i] for i in others])
+        found = self._each([new[i].removeprefix("\0") for i in others])
         flat = np.concatenate([together[0], np.fromiter(chain.from_iterable(found), np.uint32)])
         sizes = np.concatenate([together[1], np.fromiter(map(len, found), np.int64, len(found))])
-        upto = self.used + len(flat)
-        self.flat = grown(self.flat, upto)
-        self.begins, self.sizes = grown(self.begins, at + len(new)), grown(self.sizes, at + len(new))
-        self.flat[self.used : upto] = flat
+        self.run_flat = grown(self.run_flat, self.run_used + len(flat))
+        self.run_begins, self.run_sizes = grown(self.run_begins, at + len(new)), grown(self.run_sizes, at + len(new))
+        self.run_flat[self.run_used : self.run_used + len(flat)] = flat
         where = at + np.array(plain + others, np.int64)
-        self.begins[where] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[where] = sizes
-        self.used = upto
+        self.run_begins[where] = self.run_used + np.cumsum(sizes) - sizes
+        self.run_sizes[where] = sizes
+        self.run_used += len(flat)
 
-    def ids(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        """Ids of each whole text in UTF-8."""
-        if len(self.place) > TABLE_ENTRIES or self.place.chars > TABLE_CHARS:
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of whole texts end to end, and where each text's begin (one more entry at the end); null is empty."""
+        if max(len(self.place), len(self.run)) > TABLE_ENTRIES or self.place.chars > TABLE_CHARS:
             self.clear()
-        split = [(t or b"").split() for t in texts]  # at ASCII white space
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        order = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        words = split.flatten().dictionary_encode()
+        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
+        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
+        numbers = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
         if self.place.new:
             self._encode_new()
-        starts, sizes = self.begins[order], self.sizes[order]
+        order = numbers[words.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
+        sizes = self.sizes[order]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.flat[np.arange(ends[-1]) + np.repeat(starts - ends[:-1], sizes)]
-        bounds = ends[np.concatenate([[0], np.cumsum(counts)])]
-        return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        return taken(self.flat, self.begins[order], sizes), ends[bounds]
+
+
+def taken(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Slices of an array, given by where they begin and their sizes, end to end."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)]
 
 
 class _Places(dict):
-    """Numbers of words in the order in which they are first met; ``new`` holds those not encoded yet."""
+    """Numbers of words or runs in the order in which they are first met; ``new`` holds those not encoded yet."""
 
     def __init__(self):
         super().__init__()
-        self.new: list[bytes] = []
+        self.new: list = []
         self.chars = 0
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         number = self[word] = len(self)
         self.new.append(word)
         self.chars += len(word)
@@ -167,7 +204,9 @@ def encoder(path: str, end_id: int):
         end = serialized(np.array([end_id]), table.width)
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [serialized(x, table.width) + end for x in table.ids(part.column("text").cast(pa.large_binary()).to_pylist())]
+                flat, bounds = table.ids(part.column("text"))
+                whole, at = serialized(flat, table.width), (bounds * table.width).tolist()
+                found = [whole[a:b] + end for a, b in pairwise(at)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "ids"])
         table.clear()
 

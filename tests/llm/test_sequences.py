@@ -6,6 +6,7 @@ from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,5 +280,7 @@ def test_word_table_equals_the_library():
     plain = list("abzAZéÀÖØöøÿĀįıžſАяЁё.,;:!?$&()-_/<>|@[]`{}~ ")
     letters = list("ab'stdlvemré́̇İßΣς12 \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　.-!…😀\x00<|>") + ["<|endoftext|>"]
     texts = ["".join(random.choice(kind, random.integers(0, 40))) for _ in range(5000) for kind in (letters, plain)]
-    for text, ids in zip(texts, table.ids([t.encode() for t in texts]), strict=True):
-        assert ids.tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
+    flat, bounds = table.ids(pa.array([None, *texts]))
+    assert bounds[1] == 0
+    for text, a, b in zip(texts, bounds[1:-1], bounds[2:], strict=True):
+        assert flat[a:b].tolist() == model.encode(text, add_special_tokens=False).ids, repr(text)
