@@ -32,6 +32,8 @@ from .common import tidy
 SPACE = " \t\n\x0b\x0c\r"
 # Slots of a bucket, and rounds of moving before a filter is built anew with more buckets.
 SLOTS, ROUNDS = 4, 500
+# Share of its slots that a filter is filled to before it is built anew.
+FULL = 0.85
 # Filters are sent to every task up to so many bytes in all; beyond that lines meet them by a join.
 FILTER_BYTES = 16 << 20
 KEYS_PER_SHARD = 50_000
@@ -86,7 +88,7 @@ class CuckooFilter:
     @classmethod
     def for_keys(cls, keys: np.ndarray) -> CuckooFilter:
         """A filter with room for the keys, with all of them inserted."""
-        size = 1 << max(0, int(np.ceil(np.log2(max(1, len(keys)) / (SLOTS * 0.85)))))
+        size = 1 << max(0, int(np.ceil(np.log2(max(1, len(keys)) / (SLOTS * FULL)))))
         while True:
             made = cls(size)
             if made.insert(keys):
@@ -213,13 +215,17 @@ class LineIndex:
             return self
         before = self.table("references")
         new = self._write("added", new.join(before, ["key", "doc_id"], "left_anti"), after)
-        new = new.select(shard_of("key", self.shards).alias("shard"), "key", "doc_id")
-        self._write("references", before.union(new), after)
+        # Shards split when their keys have become twice as many as they should be.
+        wanted = 8 + (self.table("counts").count() + new.select("key").distinct().count()) // KEYS_PER_SHARD
+        split = wanted > 2 * self.shards
+        self.shards = wanted if split else self.shards
+        shard = shard_of("key", self.shards).alias("shard")
+        self._write("references", before.select("key", "doc_id").union(new.select("key", "doc_id")).select(shard, "key", "doc_id"), after)
         grown = (
-            self.table("counts").union(self._counts(new).select(shard_of("key", self.shards).alias("shard"), "*"))
-            .groupBy("shard", "key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+            self.table("counts").select("key", "n_docs", "max_doc").union(self._counts(new))
+            .groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
         )
-        return self._after(self._write("counts", grown, after), after)
+        return self._after(self._write("counts", grown.select(shard, "*"), after), after, split)
 
     def delete(self, docs: DataFrame) -> LineIndex:
         """Take documents out again, given by ``doc_id``; ids that are not in change nothing."""
@@ -234,17 +240,34 @@ class LineIndex:
         )
         return self._after(self._write("counts", fresh, after), after)
 
-    def _after(self, counts: DataFrame, after: int) -> LineIndex:
-        """Bring the filters up to new counts: only keys that crossed ``min_docs`` move."""
+    def _after(self, counts: DataFrame, after: int, split: bool = False) -> LineIndex:
+        """Bring the filters up to new counts: keys that crossed ``min_docs`` move in or out.
+
+        A shard whose filter would be too full, or has none, is built anew from the exact counts; so are all shards
+        when they were ``split``.
+        """
         common = F.col("n_docs") >= self.min_docs
-        was = self.table("counts").where(common).select("shard", "key")
         now = counts.where(common).select("shard", "key")
-        moved = (
-            now.join(was, ["shard", "key"], "left_anti").withColumn("added", F.lit(True))
-            .union(was.join(now, ["shard", "key"], "left_anti").withColumn("added", F.lit(False)))
-        )
-        filters = self.table("filters")
-        updated = filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(_update, FILTER_SCHEMA)
+        if split:
+            updated = now.groupBy("shard").applyInArrow(_build, FILTER_SCHEMA)
+        else:
+            was = self.table("counts").where(common).select("shard", "key")
+            filters = self.table("filters")
+            room = filters.select("shard", (F.length("buckets") / 2 * FULL).alias("room"))
+            full = now.groupBy("shard").agg(F.count("*").alias("n")).join(room, "shard", "left").where(
+                F.col("n") > F.coalesce("room", F.lit(0))
+            ).select("shard")
+            moved = (
+                now.join(was, ["shard", "key"], "left_anti").withColumn("added", F.lit(True))
+                .union(was.join(now, ["shard", "key"], "left_anti").withColumn("added", F.lit(False)))
+            )
+            kept, going = (x.join(full, "shard", "left_anti") for x in (filters, moved))
+            tried = self._write(
+                "tried", kept.groupBy("shard").cogroup(going.groupBy("shard")).applyInArrow(_update, FILTER_SCHEMA), after
+            )
+            again = full.union(tried.where("n_keys < 0").select("shard")).distinct()
+            built = now.join(again, "shard", "left_semi").groupBy("shard").applyInArrow(_build, FILTER_SCHEMA)
+            updated = tried.where("n_keys >= 0").union(built)
         self._write("filters", updated, after)
         self.version = after
         return self
@@ -296,17 +319,14 @@ def _build(shard: tuple, rows: pa.Table) -> pa.Table:
 
 
 def _update(shard: tuple, held: pa.Table, moved: pa.Table) -> pa.Table:
-    made = CuckooFilter.from_bytes(held.column("buckets")[0].as_py()) if held.num_rows else CuckooFilter()
+    """A shard's filter with the keys that moved; ``n_keys`` is -1 where it could not take them."""
+    made = CuckooFilter.from_bytes(held.column("buckets")[0].as_py())
     added = moved.column("added").to_numpy().astype(bool) if moved.num_rows else np.zeros(0, bool)
     keys = _as_rows(moved.column("key").to_pylist()) if moved.num_rows else np.zeros((0, 16), np.uint8)
     made.delete(keys[~added])
-    new, copy = keys[added], made.table.copy()
-    if len(new) and not made.insert(new):
-        # Full: entries move to a filter of twice the size, as a bucket's low bits stay what they were.
-        made.table = np.concatenate([copy, copy])
-        if not made.insert(new):
-            raise RuntimeError("shards of this index are too full: build it anew with more shards")
-    return _filter_row(shard[0].as_py(), made)
+    whole = made.insert(keys[added]) if added.any() else True
+    row = _filter_row(shard[0].as_py(), made)
+    return row if whole else row.set_column(2, "n_keys", pa.array([-1], pa.int64()))
 
 
 def _probe(sent):

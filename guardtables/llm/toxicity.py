@@ -1,9 +1,17 @@
-"""Toxicity by compression distance: one zstandard dictionary per class, lengths of windows compared."""
+"""Toxicity by compression distance: one zstandard dictionary per class, lengths of windows compared.
+
+The ordinary dictionary is trained on windows of ordinary text. The toxic one is trained on windows of toxic text reduced
+to what sets them apart: beginnings of words that toxic documents hold significantly oftener, as dictionaries of whole
+windows hold mostly what both classes share. It is followed by the ordinary dictionary's content, so that a match there
+costs the same in either and lengths differ only by what toxic text adds. A document's distance is the mean number of bytes
+that the toxic dictionary saves in its windows.
+"""
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,21 +22,24 @@ from pyspark.sql import functions as F
 
 from .common import slices, tidy
 
-# Bytes of a window: whole words up to this size, so that no word is cut.
-WINDOW = 96
+# Bytes of a window: whole words up to this size, so that no word is cut. Literals of windows this short are not
+# Huffman-coded, so that a match of a few bytes shows.
+WINDOW = 60
 # The fit reads at most so many labelled documents of each class, those with the lowest hash of the id.
 SAMPLE = 1500
-DICTIONARY = 32 << 10
-LEVEL = 6
-# Least log-likelihood ratio of a word for the toxic dictionary, as a share of the largest one.
-TELLING = 0.2
+DICTIONARY = 16 << 10
+LEVEL = 8
+# Bytes of a beginning of a word, the space before it included, and the documents it is found in at least.
+SHORTEST, LONGEST, HOLDERS = 5, 12, 3
+# Windows without a gain that every document is taken to have besides its own: a short text needs more than one hit.
+PRIOR = 5
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 WINDOWS = re.compile(rb"\S(?:.{0,%d}(?!\S)|\S+)" % (WINDOW - 1), re.S)
 
 
 def windows(text: str) -> list[bytes]:
-    """The lower-cased text in windows of whole words; a longer word is a window of its own."""
-    return WINDOWS.findall(text.lower().encode())
+    """The lower-cased text in windows of whole words; a longer word is a window of its own. A space comes first."""
+    return [b" " + w for w in WINDOWS.findall(text.lower().encode())]
 
 
 def _train(samples: list[bytes], size: int) -> bytes:
@@ -39,28 +50,51 @@ def _train(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
-def marked(own: list[list[bytes]], other: list[list[bytes]]) -> list[bytes]:
-    """Words that set one class apart, each as often as its texts hold it, as samples for its dictionary.
+def beginnings(word: bytes) -> Iterable[bytes]:
+    """Beginnings of a word with the space before it; a whole word ends with one."""
+    whole = b" " + word + b" "
+    return (whole[:n] for n in range(SHORTEST, min(LONGEST, len(whole)) + 1))
 
-    A word is taken when its log-likelihood ratio over the sample's texts is at least a share
-    ``TELLING`` of the largest one, so the dictionary spends its bytes on what the other class lacks.
+
+def telling(own: list[str], other: list[str]) -> set[bytes]:
+    """Beginnings of words that documents of one class hold significantly oftener.
+
+    Significant is a log-likelihood ratio that chance would give about one of all beginnings. Of beginnings of each
+    other the one of the largest ratio is kept, the longest one of equals.
     """
-    a, b = (Counter(w for t in texts for w in set(t)) for texts in (own, other))
-    n, m = len(own), len(other)
+    def held(texts: list[str]) -> Counter:
+        return Counter(x for t in texts for x in {b for w in set(WORD.findall(t.lower().encode())) for b in beginnings(w)})
+
+    a, b, n, m = held(own), held(other), len(own), len(other)
 
     def part(seen: float, expected: float) -> float:
-        return seen * np.log(seen / expected) if seen else 0.0
+        return seen * math.log(seen / expected) if seen else 0.0
+
+    def ratio(x: bytes) -> float:
+        share = (a[x] + b[x]) / (n + m)
+        rest = part(n - a[x], n * (1 - share)) + part(m - b[x], m * (1 - share)) if share < 1 else 0.0
+        return part(a[x], n * share) + part(b[x], m * share) + rest
+
+    ratios = {x: ratio(x) for x, c in a.items() if c >= HOLDERS and c / n > b[x] / m}
+    tried = math.log(max(3, len(a)))
+    good = {x for x, r in ratios.items() if r >= 2 * tried - math.log(math.pi * tried)}
+
+    def better(x: bytes) -> bool:
+        return any(ratios.get(x[:k], 0.0) > ratios[x] + 1e-9 for k in range(SHORTEST, len(x)))
+
+    best = {x for x in good if not better(x)}
+    covered = {y[:k] for y in best for k in range(SHORTEST, len(y)) if ratios[y] >= ratios.get(y[:k], 0.0) - 1e-9}
+    return best - covered
 
-    def ratio(w: bytes) -> float:
-        x, y = a[w], b[w]
-        share = (x + y) / (n + m)
-        rest = part(n - x, n * (1 - share)) + part(m - y, m * (1 - share)) if share < 1 else 0.0
-        return part(x, n * share) + part(y, m * share) + rest
 
-    ratios = {w: ratio(w) for w, c in a.items() if len(w) > 2 and c / n > 4 * b[w] / m}
-    least = TELLING * max(ratios.values(), default=0.0)
-    taken = {w for w, r in ratios.items() if r >= least}
-    return [b" " + w + b" " for t in own for w in t if w in taken]
+def reduced(text: str, kept: set[bytes]) -> list[bytes]:
+    """The text's windows with the telling beginnings of their words alone; windows without one are left out."""
+    found = []
+    for window in windows(text):
+        parts = [max((x for x in beginnings(w) if x in kept), key=len, default=b"") for w in WORD.findall(window)]
+        if any(parts):
+            found.append(b"".join(parts))
+    return found
 
 
 @dataclass
@@ -85,9 +119,10 @@ class Distance:
         return made
 
     def gain(self, text: str | None, pair: list[zstandard.ZstdCompressor]) -> float:
-        """Most bytes that the toxic dictionary saves against the ordinary one in any window."""
+        """Mean number of bytes that the toxic dictionary saves against the ordinary one in a window."""
         one, two = pair[0].compress, pair[1].compress
-        return max((len(one(w)) - len(two(w)) for w in windows(text or "")), default=0)
+        saved = [max(0, len(one(w)) - len(two(w))) for w in windows(text or "")]
+        return sum(saved) / (len(saved) + PRIOR)
 
     def score(self, gain: float) -> float:
         return float(1.0 / (1.0 + np.exp(-np.clip(self.steepness * (gain - self.threshold), -50, 50))))
@@ -96,22 +131,24 @@ class Distance:
 def fit(toxic: list[str], ordinary: list[str], share: float = 0.5) -> Distance:
     """Train the dictionaries and set the threshold where fewest documents fall on the wrong side.
 
-    ``share`` is the share of toxic documents among all labelled ones, which weighs both kinds of
-    error. Both dictionaries end in the same bytes, so that a match there costs the same in
-    either: lengths differ only by what the toxic part has. Without documents of one class every
-    score is near 0 (no toxic ones) or near 1.
+    ``share`` is the share of toxic documents among all labelled ones, which weighs both kinds of error; of thresholds
+    that are equally good the middle is taken. Without documents of one class every score is near 0 (no toxic ones) or
+    near 1.
     """
     if not toxic or not ordinary:
         return Distance(b" ", b" ", 1.0 if not toxic else -1.0, 50.0)
     common = _train([w for t in ordinary for w in windows(t)], DICTIONARY)
-    split = [[WORD.findall(t.lower().encode()) for t in texts] for texts in (toxic, ordinary)]
-    apart = b"".join(sorted(set(marked(*split))))
-    model = Distance(common, apart[:DICTIONARY] + common)
+    kept = telling(toxic, ordinary)
+    apart = _train([w for t in toxic for w in reduced(t, kept)], DICTIONARY)
+    model = Distance(common, apart + common)
     pair = model.compressors()
     gains = [np.array([model.gain(t, pair) for t in texts]) for texts in (ordinary, toxic)]
-    cuts = np.unique(np.concatenate([*gains, [0]])) + 0.5
-    wrong = [(1 - share) * (gains[0] > c).mean() + share * (gains[1] <= c).mean() for c in cuts]
-    model.threshold = float(cuts[int(np.argmin(wrong))])
+    seen = np.unique(np.concatenate([*gains, [0.0]]))
+    cuts = np.concatenate([(seen[1:] + seen[:-1]) / 2, [seen[-1] + 0.1]])
+    wrong = np.array([(1 - share) * (gains[0] > c).mean() + share * (gains[1] <= c).mean() for c in cuts])
+    best = np.flatnonzero(wrong <= wrong.min() + 1e-12)
+    model.threshold = float(cuts[best[len(best) // 2]])
+    model.steepness = 4.0 / max(model.threshold, 1e-3)
     return model
 
 
@@ -149,9 +186,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFram
     """Toxicity of each whole text: ``doc_id``, ``score`` (0 to 1, 0.5 at the calibrated threshold).
 
     ``labels`` has ``doc_id`` and ``toxic`` (0 or 1; other values, nulls and ids without a text teach
-    nothing). A text's score follows from the window in which the dictionary of toxic text saves
-    most against the ordinary one. Null and empty texts have no window and score like a window
-    without any saving. Repeated rows are scored each by themselves; other columns are not read.
+    nothing; a document with both labels teaches both). A text's score follows from the mean saving of the toxic
+    dictionary in its windows. Null and empty texts have no window and score like a text without any saving. Repeated
+    rows, rows of equal texts and rows without a doc_id are scored each by themselves, and alike; other columns are not
+    read. A task holds one slice of texts, or one longer text, and its windows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(fit(*sample(texts, labels, size)))

@@ -201,18 +201,6 @@ SIGNATURES = "doc_id long, print_a long, print_b long, n_words long, bands array
 # --- verification -------------------------------------------------------------------------------------------------
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch, "text"):
-            runs, counts, begins, *_ = distinct(part)
-            data = [runs[a:b].tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-            many = [counts[a:b].astype(np.int32).tobytes() for a, b in zip(begins[:-1], begins[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(data, pa.binary()), pa.array(many, pa.binary())],
-                ["doc_id", "runs", "counts"],
-            )
-
-
 def shared_weight(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, np.ndarray]:
     """Weight that two sorted sets of shingles share, and how much more each of the first one's weighs than in the second."""
     spot = np.minimum(np.searchsorted(b, a), max(0, len(b) - 1))
@@ -221,38 +209,63 @@ def shared_weight(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray)
     return float(both.sum()), wa - both
 
 
-MEASURED = "v long, u long, similarity double, shared double, total double, more array<long>, gains array<float>"
+MEASURED = "v long, u long, similarity double, shared double, total double"
+ADDED = "v long, u long, shingle long, gain double"
+
+
+def _weighed(texts: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingles of each text and their weights."""
+    runs, counts, begins, *_ = distinct(pa.RecordBatch.from_arrays([texts], ["text"]))
+    heavy = weights.of(runs, counts)
+    return [(runs[a:b], heavy[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+
+
+def _pairs(batch: pa.RecordBatch, weights: Weights):
+    """Both sides of each pair of a batch; a centre's text, which many rows share, is cut into shingles once."""
+    for part in slices(batch, "text"):
+        centres = part.column("text_u").dictionary_encode()
+        known = _weighed(centres.dictionary, weights)
+        mine = _weighed(part.column("text"), weights)
+        yield part, [(a, known[u]) for a, u in zip(mine, centres.indices.to_pylist(), strict=True)]
 
 
 def _compare(sent):
-    """Exact similarities of pairs, and the shingles that ``v`` adds to ``u``."""
+    """Exact similarities of pairs of texts, what they share and the weight of ``v``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, sides in _pairs(batch, sent.value):
+                measured = []
+                for (a, wa), (b, wb) in sides:
+                    shared, _ = shared_weight(a, wa, b, wb)
+                    total = float(wa.sum())
+                    whole = total + float(wb.sum()) - shared
+                    measured.append((shared / whole if whole > 0 else 0.0, shared, total))
+                columns = [pa.array([m[i] for m in measured], pa.float64()) for i in range(3)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("v"), part.column("u"), *columns], ["v", "u", "similarity", "shared", "total"]
+                )
+
+    return run
+
+
+def _added(sent):
+    """The shingles that ``v`` adds to ``u``, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights: Weights = sent.value
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("runs", "counts", "runs_u", "counts_u")]
-            last, kept = None, None
-            measured, more, gains = [], [], []
-            for ra, ca, rb, cb in zip(*columns, strict=True):
-                a = np.frombuffer(ra, np.uint64)
-                if rb != last:  # rows of one centre mostly follow each other
-                    b = np.frombuffer(rb, np.uint64)
-                    last, kept = rb, (b, weights.of(b, np.frombuffer(cb, np.int32)))
-                wa = weights.of(a, np.frombuffer(ca, np.int32))
-                shared, gain = shared_weight(a, wa, *kept)
-                total = float(wa.sum())
-                whole = total + float(kept[1].sum()) - shared
-                measured.append((shared / whole if whole > 0 else 0.0, shared, total))
-                more.append(signed(a[gain > 0]))
-                # Rounded up, as bounds are made of them.
-                gains.append(np.nextafter(gain[gain > 0].astype(np.float32), np.float32(np.inf)))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("v"), batch.column("u"), *(pa.array([m[i] for m in measured], pa.float64()) for i in range(3)),
-                    pa.array(more, pa.list_(pa.int64())), pa.array(gains, pa.list_(pa.float32())),
-                ],
-                ["v", "u", "similarity", "shared", "total", "more", "gains"],
-            )
+            for part, sides in _pairs(batch, sent.value):
+                more, gains = [np.zeros(0, np.uint64)], [np.zeros(0)]
+                for (a, wa), (b, wb) in sides:
+                    _, gain = shared_weight(a, wa, b, wb)
+                    more.append(a[gain > 0])
+                    gains.append(gain[gain > 0])
+                sizes = np.array([len(m) for m in more[1:]], np.int64)
+                ids = [np.repeat(part.column(c).to_numpy(), sizes) for c in ("v", "u")]
+                yield pa.RecordBatch.from_arrays(
+                    [*map(pa.array, ids), pa.array(signed(np.concatenate(more))), pa.array(np.concatenate(gains))],
+                    ["v", "u", "shingle", "gain"],
+                )
 
     return run
 
@@ -297,19 +310,20 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     centres = met.groupBy("band", "key").agg(F.min_by("rep", F.struct(-F.col("met"), F.col("rep"))).alias("u"))
     placed = met.join(centres, ["band", "key"])
     stars = placed.where("rep <> u").select(F.col("rep").alias("v"), "u").distinct()
-    sets = cut(
-        texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-        .mapInArrow(tidy(_sets), "doc_id long, runs binary, counts binary").distinct()
-    )
-
-    def with_sets(pairs: DataFrame) -> DataFrame:
-        """Pairs with the sets of both: one set travels for each pair, the other one is the centre's."""
-        one = sets.select(F.col("doc_id").alias("v"), "runs", "counts")
-        two = sets.select(F.col("doc_id").alias("u"), F.col("runs").alias("runs_u"), F.col("counts").alias("counts_u"))
-        return pairs.select("v", "u").join(one, "v").join(two, "u")
+    # Texts travel instead of their shingles, which take twice their bytes; rows that repeat a document once.
+    placed_texts = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn(
+        "h", F.xxhash64("text")
+    ).dropDuplicates(["doc_id", "h"])
+
+    def with_texts(pairs: DataFrame) -> DataFrame:
+        """Pairs with the texts of both."""
+        one = placed_texts.select(F.col("doc_id").alias("v"), "text")
+        two = placed_texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
+        both = pairs.select("v", "u").join(one, "v").join(two, "u")
+        return both.select("v", "u", *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "text_u")))
 
     linked = F.col("similarity") >= similarity - 1e-12
-    measured = cut(with_sets(stars).mapInArrow(tidy(_compare(sent)), MEASURED))
+    measured = cut(with_texts(stars).mapInArrow(tidy(_compare(sent)), MEASURED))
     links = measured.where(linked).select("v", "u", "similarity")
     # Components so far; only centres with members in different ones go on.
     joined = components(links, "v", "u")
@@ -333,9 +347,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
 
     # Of a pair that the centre shows, neither is smaller than ``similarity`` times the other: each shares that much.
     within = members_of.where(F.col("shared") >= similarity * F.col("total") - 1e-9)
-    added = measured.select("v", "u", F.explode(F.arrays_zip("more", "gains")).alias("m")).select(
-        "v", "u", F.col("m.more").alias("shingle"), F.col("m.gains").cast("double").alias("gain")
-    ).join(members_of, ["v", "u"])
+    added = with_texts(members_of).mapInArrow(tidy(_added(sent)), ADDED).join(members_of, ["v", "u"])
     common = added.groupBy("u", "shingle").agg(
         F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("holders")
     ).where("a <> b")
@@ -353,7 +365,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     pairs = (
         meeting(within, ["u"], inside).union(meeting(prefix, ["u", "shingle"], inside + beyond)).distinct()
     )
-    more = with_sets(pairs).mapInArrow(tidy(_compare(sent)), MEASURED).where(linked)
+    more = with_texts(pairs).mapInArrow(tidy(_compare(sent)), MEASURED).where(linked)
     return members, cut(links.union(more.select("v", "u", "similarity")))
 
 

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from guardtables.llm import (
@@ -152,6 +153,52 @@ def test_toxicity_separates_held_out(spark, nothing):
     assert toxicity.toxicity(nothing, labels).count() == 0
 
 
+def test_toxicity_equals_a_plain_reckoning(spark):
+    """Scores from the lengths of windows that are cut and compressed one by one."""
+    import zstandard
+
+    rows = [(i, prose(i) + (" réeuxon réeuxpa achlichte worthless" * 2 if i % 4 == 0 else " réeuxon") + " " + prose(500 + i), int(i % 4 == 0)) for i in range(80)]
+    edge = [(100, None), (101, ""), (None, "worthless réeuxon " * 9), (102, "worthless réeuxon " * 9), (102, "worthless réeuxon " * 9), (103, prose(3, 30_000)), (104, "x" * 500)]
+    texts = spark.createDataFrame([r[:2] for r in rows] + edge, "doc_id long, text string")
+    crowded = texts.withColumn("score", F.lit("s")).withColumn("toxic", F.lit(3)).withColumn("label", F.lit(1))
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    found = [(r.doc_id, r.score) for r in toxicity.toxicity(crowded, labels).collect()]
+    model = toxicity.fit(*toxicity.sample(texts, labels))
+    assert b" achlicht" in model.toxic and b" achlicht" not in model.ordinary
+    raw = zstandard.DICT_TYPE_RAWCONTENT
+
+    def length(window: bytes, content: bytes) -> int:
+        held = zstandard.ZstdCompressionDict(content, dict_type=raw)
+        held.precompute_compress(level=toxicity.LEVEL)
+        one = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=held, write_content_size=False, write_dict_id=False)
+        return len(one.compress(window))
+
+    def plain(text):
+        cut, line = [], b""
+        for word in (text or "").lower().encode().split():
+            if line and len(line) + len(word) + 1 > toxicity.WINDOW:
+                cut, line = cut + [line], b""
+            line += (b" " if line else b"") + word
+        cut += [line] if line else []
+        saved = sum(max(0, length(b" " + w, model.ordinary) - length(b" " + w, model.toxic)) for w in cut)
+        return 1 / (1 + math.exp(-max(-50, min(50, model.steepness * (saved / (len(cut) + toxicity.PRIOR) - model.threshold)))))
+
+    texts_of = [r[:2] for r in rows] + edge
+    for i, text in texts_of[::9] + edge[:5] + edge[6:]:
+        mine = {score for d, score in found if d == i}
+        assert len(mine) == 1 and abs(mine.pop() - plain(text)) < 1e-9
+    assert len(found) == len(texts_of) and sum((s >= 0.5) == (d % 4 == 0) for d, s in found if d is not None and d < 80) >= 78
+    assert [s >= 0.5 for d, s in found if d is None or d == 102] == [True] * 3 and not any(s >= 0.5 for d, s in found if d in (100, 101, 103, 104))
+
+
+def test_telling_beginnings():
+    toxic = [prose(i, 40) + " scum achlichte achlichheit" for i in range(30)]
+    ordinary = [prose(90 + i, 40) + (" achlich" if i == 3 else "") for i in range(60)]
+    kept = toxicity.telling(toxic, ordinary)
+    assert b" scum " in kept and any(x.startswith(b" achlich") for x in kept) and len(kept) <= 4
+    assert toxicity.telling(toxic, toxic) == set()
+
+
 def test_decontamination(spark, docs, nothing):
     item, short = " ".join(BASE.split()[30:70]), "just three words"
     items = [(1, item), (2, item.upper()), (3, short), (4, None), (5, ""), (6, prose(77, 30))]
@@ -402,3 +449,37 @@ def test_pipeline_stages(spark, docs, tmp_path):
             assert {r.doc_id: r.text for r in after.collect()} == texts
             now = spark.createDataFrame(after.collect(), after.schema)
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == set(texts)
+
+
+def test_index_grows_by_batches(spark, monkeypatch):
+    """An index that begins with one line takes a hundred, then thousands, and gives documents back again."""
+    monkeypatch.setattr(line_index, "KEYS_PER_SHARD", 300)
+
+    def batch(first: int, lines: int, holders: int = 6):
+        return [(first + d, "\n".join(f"common line number {i:07d} of the batch {first}, {'x' * 20}" for i in range(lines))) for d in range(holders)]
+
+    def dropped(rows):
+        """Rows to drop by exact counts: all lines but in the largest holder, where five or more documents hold them."""
+        held = defaultdict(set)
+        for d, text in rows:
+            for line in text.split("\n"):
+                held[line].add(d)
+        return {d: sum(len(held[x]) >= 5 and d != max(held[x]) for x in text.split("\n")) for d, text in rows}
+
+    index = line_index.LineIndex(spark, line_index.shared_folder(spark, "grows"))
+    rows, shards = [], []
+    for step in ([(0, "short")], batch(10, 1), batch(20, 100), batch(30, 4000), batch(40, 10, 4)):
+        index.insert(spark.createDataFrame(step, "doc_id long, text string"))
+        rows += step
+        shards.append(index.shards)
+        table = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["row"].doc_id: r.n_dropped for r in index.drop_repeated(table).collect()} == dropped(rows)
+    assert shards[-1] > 2 * shards[0]
+    index.delete(spark.createDataFrame([(30,), (31,), (20,)], "doc_id long"))
+    rows = [r for r in rows if r[0] not in (30, 31, 20)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["row"].doc_id: r.n_dropped for r in index.drop_repeated(table).collect()} == dropped(rows)
+    index.insert(spark.createDataFrame([(50, rows[-1][1]), (51, dict(rows)[32])], "doc_id long, text string"))
+    rows += [(50, rows[-1][1]), (51, dict(rows)[32])]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["row"].doc_id: r.n_dropped for r in index.drop_repeated(table).collect()} == dropped(rows)
