@@ -31,12 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import slices, tidy
-from .piece_encoding import grown
 
 MAGIC = b"TOKIDS01"
 HEAD, TAIL = "<8s32sB", "<QQ8s"
-# A worker's table of words starts anew beyond so many entries or characters.
-TABLE_ENTRIES, TABLE_CHARS = 400_000, 12_000_000
+# Bytes of text whose distinct words are encoded together.
+SLICE_BYTES = 8 << 20
 # The dictionary, the pieces it is trained on, and the bytes of each.
 DICTIONARY_BYTES, SAMPLES, SAMPLE_BYTES = 64 << 10, 2_000, 4 << 10
 # A file is closed when its frames pass so many bytes.
@@ -51,12 +50,12 @@ LETTERS = "A-Za-zÀ-ÖØ-öø-įı-žА-яЁё"
 SIGNS = "!-&(-/:-@\\[-`{-~"
 PLAIN = f"^[{LETTERS}{SIGNS}]+$"
 SPECIAL = "<|"
-# Words encoded in one text.
+# Runs encoded in one text.
 JOINED = 1000
 
 
-class WordTable:
-    """Ids of each distinct word between ASCII white space, encoded once by the tokenizers library.
+class Words:
+    """Ids of whole texts from the distinct words of a slice of text, each encoded once by the tokenizers library.
 
     Exact for vocabularies that drop white space and whose rules do not look across it. The constructor checks the
     first on a probe; that the second holds is a property of the file's normalizer and splitter. Plain words consist of
@@ -78,96 +77,51 @@ class WordTable:
             raise ValueError("this vocabulary tells capitals apart, or joins letters and signs")
         self.closes = np.zeros(self.model.get_vocab_size(), bool)
         self.closes[[i for token, i in self.model.get_vocab().items() if token.endswith("</w>")]] = True
-        self.clear()
-
-    def clear(self) -> None:
-        # Ids of all words end to end; where each word's begin and how many it has. The same for runs.
-        self.place, self.run = _Places(), _Places()
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.begins, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.run_flat, self.run_used = np.zeros(1 << 16, np.uint32), 0
-        self.run_begins, self.run_sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
     def _each(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
-        """Ids of runs that are encoded many at a time and how many each has; None where they do not come out."""
-        texts = [" ".join(runs[i : i + JOINED]) for i in range(0, len(runs), JOINED)]
-        flat = np.fromiter(chain.from_iterable(self._each(texts)), np.uint32)
+    def _separately(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end and how many each has."""
+        found = self._each(texts)
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for runs, which are encoded many at a time where that comes out."""
+        flat, _ = self._separately([" ".join(runs[i : i + JOINED]) for i in range(0, len(runs), JOINED)])
         ends = np.flatnonzero(self.closes[flat]) + 1
-        if len(ends) != len(runs) or ends[-1] != len(flat):
-            return None
+        if len(ends) != len(runs) or (len(ends) and ends[-1] != len(flat)):
+            return self._separately(runs)
         return flat, np.diff(ends, prepend=0)
 
-    def _encode_new(self) -> None:
-        """Ids of the words that were met since the last call: those of their runs, each encoded once."""
-        new, at = self.place.new, len(self.place) - len(self.place.new)
-        self.place.new = []
-        words = pa.array(new, pa.large_binary()).cast(pa.large_string())
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of words end to end, plain ones first, and where each word's begin and how many it has."""
         plain = pc.and_(pc.match_substring_regex(words, PLAIN), pc.invert(pc.match_substring(words, SPECIAL)))
         spaced = pc.utf8_lower(words.filter(plain))
         for before, after in ((LETTERS, SIGNS), (SIGNS, LETTERS)):
             spaced = pc.replace_substring_regex(spaced, f"([{before}])([{after}])", r"\1 \2")
-        # Runs of plain words; each other word is encoded as a whole.
         split = pc.ascii_split_whitespace(spaced)
         runs = split.flatten().dictionary_encode()
-        known = [self.run[r] for r in runs.dictionary.to_pylist()]
-        whole = [self.run["\0" + w] for w in words.filter(pc.invert(plain)).to_pylist()]
-        self._encode_runs()
+        flat, sizes = self._runs(runs.dictionary.to_pylist())
+        order = runs.indices.to_numpy()
+        flat, sizes = taken(flat, (np.cumsum(sizes) - sizes)[order], sizes[order]), sizes[order]
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.asarray(split.offsets) - split.offsets[0].as_py()]
+        others, many = self._separately(words.filter(pc.invert(plain)).to_pylist())
         mask = plain.to_numpy(zero_copy_only=False)
-        counts = np.ones(len(new), np.int64)
-        counts[mask] = np.diff(np.asarray(split.offsets))
-        order = np.empty(int(counts.sum()), np.int64)
-        inside = np.repeat(mask, counts)
-        order[inside] = np.array(known, np.int64)[runs.indices.to_numpy()] if len(known) else 0
-        order[~inside] = whole
-        sizes = self.run_sizes[order]
-        flat = taken(self.run_flat, self.run_begins[order], sizes)
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(counts)])]
-        self.begins, self.sizes = grown(self.begins, at + len(new)), grown(self.sizes, at + len(new))
-        self.flat = grown(self.flat, self.used + len(flat))
-        self.flat[self.used : self.used + len(flat)] = flat
-        self.begins[at : at + len(new)] = self.used + ends[:-1]
-        self.sizes[at : at + len(new)] = np.diff(ends)
-        self.used += len(flat)
-
-    def _encode_runs(self) -> None:
-        new, at = self.run.new, len(self.run) - len(self.run.new)
-        self.run.new = []
-        if not new:
-            return
-        plain = [i for i, r in enumerate(new) if r[0] != "\0"]
-        others = [i for i, r in enumerate(new) if r[0] == "\0"]
-        together = self._together([new[i] for i in plain]) if plain and self.closes.any() else None
-        if together is None:
-            others, plain, together = plain + others, [], (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        found = self._each([new[i].removeprefix("\0") for i in others])
-        flat = np.concatenate([together[0], np.fromiter(chain.from_iterable(found), np.uint32)])
-        sizes = np.concatenate([together[1], np.fromiter(map(len, found), np.int64, len(found))])
-        self.run_flat = grown(self.run_flat, self.run_used + len(flat))
-        self.run_begins, self.run_sizes = grown(self.run_begins, at + len(new)), grown(self.run_sizes, at + len(new))
-        self.run_flat[self.run_used : self.run_used + len(flat)] = flat
-        where = at + np.array(plain + others, np.int64)
-        self.run_begins[where] = self.run_used + np.cumsum(sizes) - sizes
-        self.run_sizes[where] = sizes
-        self.run_used += len(flat)
+        begins, counts = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        begins[mask], counts[mask] = ends[:-1], np.diff(ends)
+        begins[~mask], counts[~mask] = len(flat) + np.cumsum(many) - many, many
+        return np.concatenate([flat, others]), begins, counts
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts end to end, and where each text's begin (one more entry at the end); null is empty."""
-        if max(len(self.place), len(self.run)) > TABLE_ENTRIES or self.place.chars > TABLE_CHARS:
-            self.clear()
         split = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         words = split.flatten().dictionary_encode()
         bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
-        distinct = words.dictionary.cast(pa.large_binary()).to_pylist()
-        numbers = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))
-        if self.place.new:
-            self._encode_new()
-        order = numbers[words.indices.to_numpy()] if len(distinct) else np.zeros(0, np.int64)
-        sizes = self.sizes[order]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return taken(self.flat, self.begins[order], sizes), ends[bounds]
+        flat, begins, counts = self._words(words.dictionary)
+        order = words.indices.to_numpy()
+        sizes = counts[order]
+        return taken(flat, begins[order], sizes), np.concatenate([[0], np.cumsum(sizes)])[bounds]
 
 
 def taken(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -176,39 +130,36 @@ def taken(flat: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - ends + sizes, sizes)]
 
 
-class _Places(dict):
-    """Numbers of words or runs in the order in which they are first met; ``new`` holds those not encoded yet."""
-
-    def __init__(self):
-        super().__init__()
-        self.new: list = []
-        self.chars = 0
-
-    def __missing__(self, word: bytes | str) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        self.chars += len(word)
-        return number
-
-
-_TABLES: dict[str, WordTable] = {}
+_MODELS: dict[str, Words] = {}
 
 
 def serialized(ids: np.ndarray, width: int) -> bytes:
     return ids.astype("<u2" if width == 2 else "<u4").tobytes()
 
 
+def gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to about ``limit`` bytes of text."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, "text", limit):
+            held.append(part)
+            size += part.column("text").nbytes
+            if size >= limit:
+                yield pa.concat_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def encoder(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _TABLES.get(path) or _TABLES.setdefault(path, WordTable(path))
-        end = serialized(np.array([end_id]), table.width)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                flat, bounds = table.ids(part.column("text"))
-                whole, at = serialized(flat, table.width), (bounds * table.width).tolist()
-                found = [whole[a:b] + end for a, b in pairwise(at)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "ids"])
-        table.clear()
+        words = _MODELS.get(path) or _MODELS.setdefault(path, Words(path))
+        end = serialized(np.array([end_id]), words.width)
+        for part in gathered(batches, SLICE_BYTES):
+            flat, bounds = words.ids(part.column("text"))
+            whole, at = serialized(flat, words.width), (bounds * words.width).tolist()
+            found = [whole[a:b] + end for a, b in pairwise(at)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.binary())], ["doc_id", "ids"])
 
     return run
 
@@ -374,7 +325,7 @@ def write(
     order = ["doc_id", "h", "row_no"]
     numbered = encoded.withColumns({"h": F.xxhash64("ids"), "row_no": F.monotonically_increasing_id()})
     in_order = numbered.repartitionByRange(*order).sortWithinPartitions(*order)
-    width = WordTable(tokenizer).width
+    width = Words(tokenizer).width
     listed = in_order.select("doc_id", "ids", F.spark_partition_id().alias("part")).mapInArrow(
         tidy(_written(folder, dictionary, width, file_bytes)), MANIFEST
     )

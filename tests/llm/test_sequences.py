@@ -271,11 +271,11 @@ def test_token_files_of_nothing(spark, docs):
     assert token_files.read(spark, folder).count() == 0
 
 
-def test_word_table_equals_the_library():
+def test_words_equal_the_library():
     from tokenizers import Tokenizer
 
     path = tokenizer_path("word_bpe_49k.json")
-    model, table = Tokenizer.from_file(path), token_files.WordTable(path)
+    model, table = Tokenizer.from_file(path), token_files.Words(path)
     random = np.random.default_rng(6)
     plain = list("abzAZéÀÖØöøÿĀįıžſАяЁё.,;:!?$&()-_/<>|@[]`{}~ ")
     letters = list("ab'stdlvemré́̇İßΣς12 \t\n\r\x0b\x0c\x1c\x1f\x85\xa0 　.-!…😀\x00<|>") + ["<|endoftext|>"]
