@@ -5,6 +5,7 @@ import json
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -23,49 +24,110 @@ def chain_digest(prev: Column, body: Column, key: bytes, shard: Column, seq: Col
     return hmac_sha256(key, F.concat(place, F.lit(":"), prev, body))
 
 
-def seal(log: DataFrame, key: bytes, shard_rows: int = 1024, body: str = "body") -> DataFrame:
+# Records folded at once: a fold copies its state at each step, so a shard is folded in parts.
+FOLD = 32
+
+
+def _chain(records: Column, start: Column, key: bytes) -> Column:
+    """Digests of the records of a shard (structs with seq, shard and b), each over the one before."""
+    none = F.array().cast("array<string>")
+
+    def link(acc: Column, r: Column) -> Column:
+        before = F.coalesce(F.get(acc["made"], F.size(acc["made"]) - 1), acc["start"])
+        made = F.concat(acc["made"], F.array(chain_digest(before, r["b"], key, r["shard"], r["seq"])))
+        return F.struct(acc["start"].alias("start"), made.alias("made"))
+
+    def part(parts: Column, at: Column) -> Column:
+        last = F.get(parts, F.size(parts) - 1)
+        begin = F.struct(F.coalesce(F.get(last, F.size(last) - 1), start).alias("start"), none.alias("made"))
+        made = F.aggregate(F.slice(records, at, F.lit(FOLD)), begin, link, lambda acc: acc["made"])
+        return F.concat(parts, F.array(made))
+
+    at = F.sequence(F.lit(1), F.greatest(F.size(records), F.lit(1)), F.lit(FOLD))
+    return F.aggregate(at, F.array().cast("array<array<string>>"), part, F.flatten)
+
+
+def seal(
+    log: DataFrame, key: bytes, shard_rows: int = 1024, body: str = "body", started: DataFrame | None = None,
+) -> DataFrame:
     """Add shard, prev and hash to rows (seq from 1, ``body`` is the canonical text).
 
-    A single chain can only be written one record after another. Each shard of consecutive
-    rows is a chain of its own, folded inside one group of at most ``shard_rows`` rows;
-    ``seal_heads`` then ties the shards together.
+    A single chain can only be written one record after another. Each shard of consecutive rows is a chain of its own,
+    folded inside one group of at most ``shard_rows`` rows; ``seal_heads`` then ties the shards together. ``started``
+    (shard, start) is the digest that a shard begun earlier has reached. Rows without a seq have no place in a chain:
+    their shard and digests are null.
     """
-    rows = log.withColumn("shard", F.floor((F.col("seq") - 1) / shard_rows))
-    shards = rows.groupBy("shard").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "shard", F.col(body).alias("b")))).alias("rs")
+    keep = [c for c in log.columns if c not in ("shard", "prev", "hash")]
+    rows = log.select(*keep, F.floor((F.col("seq") - 1) / shard_rows).alias("shard"))
+    by_seq = lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)
+    record = F.struct(*keep, "shard")
+    shards = rows.where("seq is not null").groupBy("shard").agg(F.array_sort(F.collect_list(record), by_seq).alias("rs"))
+    if started is not None:
+        shards = shards.join(started.select("shard", "start"), "shard", "left")
+    start = F.coalesce("start", F.lit(GENESIS)) if started is not None else F.lit(GENESIS)
+    signed = F.transform("rs", lambda r: F.struct(r["seq"].alias("seq"), r["shard"].alias("shard"), r[body].alias("b")))
+    made = shards.select("rs", start.alias("start"), _chain(signed, start, key).alias("made"))
+    links = F.transform(
+        "rs", lambda r, i: F.struct(
+            r.alias("r"), F.when(i == 0, F.col("start")).otherwise(F.get("made", i - 1)).alias("prev"), F.get("made", i).alias("hash")
+        )
     )
-    link = "struct<seq:bigint,prev:string,hash:string>"
-    zero = F.struct(F.lit(GENESIS).alias("head"), F.array().cast(f"array<{link}>").alias("links"))
-
-    def step(acc: Column, r: Column) -> Column:
-        digest = chain_digest(acc["head"], r["b"], key, r["shard"], r["seq"])
-        one = F.struct(r["seq"].cast("bigint").alias("seq"), acc["head"].alias("prev"), digest.alias("hash"))
-        return F.struct(digest.alias("head"), F.concat(acc["links"], F.array(one)).alias("links"))
-
-    links = shards.select(F.explode(F.aggregate("rs", zero, step, lambda acc: acc["links"])).alias("l")).select("l.*")
-    return rows.join(links, "seq")
+    sealed = made.select(F.explode(links).alias("l")).select("l.r.*", "l.prev", "l.hash")
+    none = F.lit(None).cast("string")
+    return sealed.unionByName(rows.where("seq is null").withColumns({"prev": none, "hash": none}))
 
 
-def seal_heads(sealed: DataFrame, key: bytes, shard_rows: int = 1024) -> DataFrame:
-    """Head of every shard, sealed again level by level until one root is left.
+def seal_heads(sealed: DataFrame, key: bytes, shard_rows: int = 1024, previous: DataFrame | None = None) -> DataFrame:
+    """Head of every shard, sealed again level by level until one root is left: level, node, hash, count.
 
-    Level 0 holds the shard heads; each further level chains ``shard_rows`` heads of the one
-    below, so the number of levels is the logarithm of the log.
+    Level 0 holds the shard heads; each further level chains ``shard_rows`` heads of the one below, so the number of
+    levels is the logarithm of the log. With ``previous``, the heads of a log that ``sealed`` continues, only nodes above
+    new or longer shards are made again; the result equals that of the whole log.
     """
-    head = sealed.groupBy("shard").agg(F.max_by("hash", "seq").alias("hash"), F.count("*").alias("count"))
-    level = cut(head.select(F.lit(0).alias("level"), F.col("shard").alias("node"), "hash", "count"))
-    levels = [level]
-    while levels[-1].limit(2).count() > 1:
-        below = levels[-1].select((F.col("node") + 1).alias("seq"), F.col("hash").alias("body"), "count")
-        chained = seal(below, key, shard_rows)
+    new = sealed.where("shard is not null").groupBy(F.col("shard").alias("node")).agg(
+        F.max_by("hash", "seq").alias("hash"), F.count("*").alias("count")
+    )
+    if previous is not None:
+        had = previous.where("level = 0").select("node", F.col("count").alias("_had"))
+        new = new.join(had, "node", "left").withColumn("count", F.col("count") + F.coalesce("_had", F.lit(0))).drop("_had")
+    levels, number = [], 0
+    changed = cut(new.select(F.lit(0).alias("level"), "node", "hash", "count"))
+    while True:
+        level = changed
+        if previous is not None:
+            old = previous.where(F.col("level") == number).select("level", "node", "hash", "count")
+            level = cut(old.join(changed.select("node"), "node", "left_anti").select("level", "node", "hash", "count").union(changed))
+        levels.append(level)
+        if level.limit(2).count() <= 1:
+            break
+        number += 1
+        above = F.floor(F.col("node") / shard_rows)
+        below = level.join(changed.select(above.alias("_p")).distinct(), above == F.col("_p"), "left_semi")
+        chained = seal(below.select((F.col("node") + 1).alias("seq"), F.col("hash").alias("body"), "count"), key, shard_rows)
         up = chained.groupBy("shard").agg(F.max_by("hash", "seq").alias("hash"), F.sum("count").alias("count"))
-        levels.append(cut(up.select(F.lit(len(levels)).alias("level"), F.col("shard").alias("node"), "hash", "count")))
+        changed = cut(up.select(F.lit(number).alias("level"), F.col("shard").alias("node"), "hash", "count"))
     result = levels[0]
     for more in levels[1:]:
         result = result.unionByName(more)
     return result
 
 
+def sealed_lines(sealed: DataFrame) -> DataFrame:
+    """One JSON line for each sealed record (seq, line): its body with seq, prev and hash, keys in order, no white space.
+
+    The body must be what ``line_body`` made of it before sealing.
+    """
+    ends = F.concat(F.expr("left(body, length(body) - 1)"), F.lit(',"prev":"'), "prev", F.lit('","hash":"'), "hash", F.lit('"}'))
+    return sealed.select("seq", "shard", F.to_json(F.parse_json(ends)).alias("line"))
+
+
+def line_body(body: Column, seq: Column) -> Column:
+    """The canonical text of a JSON object with its seq: what a line holds besides its digests."""
+    text = F.to_json(F.parse_json(body))
+    joint = F.when(text == "{}", "{").otherwise(F.concat(F.left(text, F.length(text) - 1), F.lit(",")))
+    return F.to_json(F.parse_json(F.concat(joint, F.lit('"seq":'), seq.cast("string"), F.lit("}"))))
+
+
 @F.pandas_udf(BooleanType())
 def _is_canonical(lines: pd.Series) -> pd.Series:
     def same(line: str | None) -> bool:
@@ -85,40 +147,56 @@ def check_canonical(lines: DataFrame, line: str = "line", out: str = "canonical"
 
 
 # Reasons in the order they are checked.
-REASONS = ["unreadable audit", "sequence mismatch", "previous hash mismatch", "HMAC mismatch",
+REASONS = ["incomplete audit line", "unreadable audit", "sequence mismatch", "previous hash mismatch", "HMAC mismatch",
            "noncanonical audit line (bytes changed)"]
+# Records of a slice of a log that is one chain.
+SLICE = 100_000
 
 
-def chain_faults(log: DataFrame, key: bytes, shard_rows: int | None = None, body: str = "body") -> DataFrame:
-    """One row per broken record: position, check order and reason.
+def checked_chain(log: DataFrame, key: bytes, shard_rows: int | None = None, body: str = "body") -> DataFrame:
+    """The log with ``check_ord``: the first check that a record fails, NULL for none.
 
-    ``position`` is the place in the file (from 1). Each record is joined to the one before
-    it by position, so the check is parallel for any length of chain; a sorted window over
-    the whole log would be one task. Optional columns: ``readable`` and ``canonical``.
+    ``position`` is the place in the file (from 1). Records meet the one before them inside a shard, or inside a slice
+    of a log that is one chain, whose first record meets the last one of the slice before; so the check is parallel for
+    any length of log. Optional columns: ``complete``, ``readable`` and ``canonical``.
     """
-    first = (F.col("position") - 1) % shard_rows == 0 if shard_rows else F.col("position") == 1
-    shard = F.floor((F.col("position") - 1) / shard_rows) if shard_rows else F.lit(0)
-    previous = log.select((F.col("position") + 1).alias("position"), F.col("hash").alias("_before"))
-    joined = log.join(previous, "position", "left").withColumn(
-        "_expected", F.when(first, F.lit(GENESIS)).otherwise(F.col("_before"))
-    )
-    flag = {name: F.col(name) if name in log.columns else F.lit(True) for name in ("readable", "canonical")}
+    size = shard_rows or SLICE
+    place = F.floor((F.col("position") - 1) / size)
+    sliced = log.withColumn("_slice", place)
+    inside = W.partitionBy("_slice").orderBy("position")
+    rows = sliced.withColumns({"_before": F.lag("hash").over(inside), "_first": F.row_number().over(inside) == 1})
+    if shard_rows:
+        expected = F.when(F.col("_first"), F.lit(GENESIS)).otherwise(F.col("_before"))
+    else:
+        ends = sliced.groupBy((F.col("_slice") + 1).alias("_slice")).agg(F.max_by("hash", "position").alias("_end"))
+        rows = rows.join(ends, "_slice", "left")
+        begin = F.when(F.col("position") == 1, F.lit(GENESIS)).otherwise(F.col("_end"))
+        expected = F.when(F.col("_first"), begin).otherwise(F.col("_before"))
+    shard = F.col("_slice") if shard_rows else F.lit(0)
+    flag = {name: F.col(name) if name in log.columns else F.lit(True) for name in ("complete", "readable", "canonical")}
     # A NULL comparison is a failed one.
     passed = [
+        flag["complete"],
         flag["readable"],
         F.col("seq") == F.col("position"),
-        F.col("prev") == F.col("_expected"),
+        F.col("prev") == expected,
         F.col("hash") == chain_digest(F.col("prev"), F.col(body), key, shard, F.col("seq")),
         flag["canonical"],
     ]
     order = F.coalesce(
         *[F.when(~F.coalesce(ok, F.lit(False)), F.lit(i)) for i, ok in enumerate(passed)]
     )
-    reasons = F.array(*[F.lit(r) for r in REASONS])
-    return (
-        joined.withColumn("check_ord", order)
-        .where(F.col("check_ord").isNotNull())
-        .select("position", "check_ord", F.get(reasons, F.col("check_ord")).alias("reason"))
+    return rows.withColumn("check_ord", order).drop("_slice", "_before", "_first", "_end")
+
+
+def _reason(check_ord: Column) -> Column:
+    return F.get(F.array(*[F.lit(r) for r in REASONS]), check_ord)
+
+
+def chain_faults(log: DataFrame, key: bytes, shard_rows: int | None = None, body: str = "body") -> DataFrame:
+    """One row per broken record: position, check order and reason."""
+    return checked_chain(log, key, shard_rows, body).where("check_ord is not null").select(
+        "position", "check_ord", _reason(F.col("check_ord")).alias("reason")
     )
 
 
@@ -148,26 +226,24 @@ def verify_chain(
     ``head`` is a one-row checkpoint (count, hash) that shows a cut-off tail; ``head_faults`` checks the heads
     of all shards.
     """
-    facts = log.agg(F.count("*").alias("n"), F.max_by("hash", "position").alias("last")).unionByName(
-        chain_faults(log, key, shard_rows, body).agg(
-            F.min(F.struct("position", "check_ord", "reason")).alias("fault")
-        ),
-        allowMissingColumns=True,
+    broken = F.col("check_ord").isNotNull()
+    facts = checked_chain(log, key, shard_rows, body).agg(
+        F.count("*").alias("n"), F.max_by("hash", "position").alias("last"),
+        F.min(F.when(broken, F.struct("position", "check_ord"))).alias("fault"),
     )
     if head is not None:
+        # Two rows at most become one.
         known = head.limit(1).select(F.col("count").alias("head_count"), F.col("hash").alias("head_hash"))
-        facts = facts.unionByName(known, allowMissingColumns=True)
+        both = facts.unionByName(known, allowMissingColumns=True)
+        one = both.agg(*[F.max(c).alias(c) for c in both.columns])
     else:
-        facts = facts.withColumn("head_count", F.lit(None).cast("bigint"))
-        facts = facts.withColumn("head_hash", F.lit(None).cast("string"))
-    # Three rows at most become one.
-    one = facts.agg(*[F.max(c).alias(c) for c in facts.columns])
+        one = facts.withColumns({"head_count": F.lit(None).cast("bigint"), "head_hash": F.lit(None).cast("string")})
     tail = (
         F.when(F.col("head_count").isNull(), F.when(F.lit(require_head), "missing audit head"))
         .when(F.col("head_count") != F.col("n"), "head count mismatch (possible tail truncation)")
         .when(F.col("head_hash") != F.coalesce("last", F.lit(GENESIS)), "head hash mismatch")
     )
-    reason = F.coalesce(F.col("fault.reason"), tail)
+    reason = F.coalesce(_reason(F.col("fault.check_ord")), tail)
     count = F.when(F.col("fault").isNotNull(), F.col("fault.position") - 1).otherwise(F.col("n"))
     return one.select(
         reason.isNull().alias("ok"), count.alias("count"),

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.windows import interpolated, running_total
 from ..operators import audit, limits, metrics
 from ..operators.decisions import explode_findings
+from ..session import shared_folder
+from ..sources import readers, sinks
 from ..sources.readers import decision_log_lines
 from ..types import severity
 from .derived import Inputs, cte
@@ -357,6 +359,104 @@ def deleted_record(t: Inputs) -> DataFrame:
     return audit.verify_chain(with_positions(sealed, 10_000), KEY, 1024)
 
 
+# --- from files to a verdict --------------------------------------------------------------------------
+
+
+SHARD = 100
+
+
+def _sealed(t: Inputs) -> DataFrame:
+    return audit.seal(_body(t).withColumn("body", audit.line_body(F.col("body"), F.col("seq"))), KEY, SHARD)
+
+
+def _sealed_lines(t: Inputs) -> DataFrame:
+    """The sealed log as lines (seq, shard, line)."""
+    return audit.sealed_lines(_sealed(t))
+
+
+def _verdict(t: Inputs, lines: DataFrame, order: str = "seq", head: DataFrame | None = None) -> DataFrame:
+    """Write lines to files, read them back by their places and verify the chain."""
+    path = shared_folder(t.spark, "sealed-lines")
+    sinks.write_lines(lines, path, order)
+    return audit.verify_chain(readers.read_sealed_lines(t.spark, path), KEY, SHARD, head)
+
+
+def _middle(t: Inputs) -> int:
+    return t.events.count() // 2
+
+
+@query("sealed_lines_roundtrip", "select true as ok, count(*) as count, cast(null as bigint) as broken_at, 'ok' as reason from events", nulls={"broken_at": 0})
+def sealed_lines_roundtrip(t: Inputs) -> DataFrame:
+    """The sealed log written as lines and verified from its files."""
+    return _verdict(t, _sealed_lines(t))
+
+
+@query("reordered_lines", "select false as ok, count(*) // 2 - 1 as count, count(*) // 2 as broken_at, 'sequence mismatch' as reason from events")
+def reordered_lines(t: Inputs) -> DataFrame:
+    """Two lines in the middle of the log change places; their records are whole."""
+    at = _middle(t)
+    place = F.when(F.col("seq") == at, at + 1).when(F.col("seq") == at + 1, at).otherwise(F.col("seq"))
+    return _verdict(t, _sealed_lines(t).withColumn("place", place), "place")
+
+
+@query("broken_line", "select false as ok, count(*) // 2 - 1 as count, count(*) // 2 as broken_at, 'unreadable audit' as reason from events")
+def broken_line(t: Inputs) -> DataFrame:
+    """A line in the middle of the log loses its end; the lines after it keep their places."""
+    line = F.when(F.col("seq") == _middle(t), F.left("line", F.lit(40))).otherwise(F.col("line"))
+    return _verdict(t, _sealed_lines(t).withColumn("line", line))
+
+
+@query("swapped_shards", "select false as ok, 0 as count, 1 as broken_at, 'sequence mismatch' as reason from events limit 1")
+def swapped_shards(t: Inputs) -> DataFrame:
+    """The first two shards change places."""
+    place = F.when(F.col("shard") == 0, F.col("seq") + SHARD).when(F.col("shard") == 1, F.col("seq") - SHARD).otherwise(F.col("seq"))
+    return _verdict(t, _sealed_lines(t).withColumn("place", place), "place")
+
+
+@query(
+    "truncated_tail",
+    "select false as ok, count(*) - 1 as count, count(*) as broken_at, 'head count mismatch (possible tail truncation)' as reason from events",
+)
+def truncated_tail(t: Inputs) -> DataFrame:
+    """The last line is gone; a checkpoint of the head shows it."""
+    sealed = _sealed(t)
+    head = sealed.agg(F.max_by("hash", "seq").alias("hash"), F.count("*").alias("count"))
+    return _verdict(t, audit.sealed_lines(sealed).where(F.col("seq") < t.events.count()), head=head)
+
+
+@query(
+    "dropped_shard",
+    "with shards as (select event_id // 100 as node, count(*) as n from events group by 1) "
+    "select 0 as level, 1 as node, 'records of this node are missing' as reason "
+    "union all select 1, 0, 'head count mismatch' "
+    "union all select 2, 0, 'head count mismatch' from shards having count(*) > 100",
+)
+def dropped_shard(t: Inputs) -> DataFrame:
+    """A shard is cut out of the log; the table of heads shows which."""
+    sealed = audit.seal(_body(t), KEY, SHARD)
+    heads = audit.seal_heads(sealed, KEY, SHARD)
+    return audit.head_faults(sealed.where("shard <> 1"), heads, KEY, SHARD)
+
+
+@query(
+    "continued_seal",
+    "select level, count(*) as nodes, true as same from ("
+    "select 0 as level, event_id // 100 as node from events group by 2 union all "
+    "select 1, event_id // 10000 from events group by 2 union all "
+    "select 2, 0 from events having count(*) > 10000) x group by level",
+)
+def continued_seal(t: Inputs) -> DataFrame:
+    """A log sealed in three batches has the heads of one sealed at once."""
+    path, log, n = shared_folder(t.spark, "sealed-log"), _body(t), t.events.count()
+    ends = [0, n // 3, n // 2 + 7, n]
+    for batch, (after, upto) in enumerate(zip(ends, ends[1:])):
+        sinks.append_sealed(log.where((F.col("seq") > after) & (F.col("seq") <= upto)), path, KEY, batch, SHARD)
+    whole = audit.seal_heads(audit.seal(log, KEY, SHARD), KEY, SHARD)
+    made = sinks.read_heads(t.spark, path, 2).alias("a").join(whole.alias("b"), ["level", "node"], "full")
+    same = F.col("a.hash").eqNullSafe(F.col("b.hash")) & F.col("a.count").eqNullSafe(F.col("b.count"))
+    return made.groupBy("level").agg(F.count("*").alias("nodes"), F.bool_and(same).alias("same"))
+
+
 @query(
     "sealed_heads",
     "select cast(level as int) as level, count(*) as nodes, cast(sum(n) as bigint) as records from ("

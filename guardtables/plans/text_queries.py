@@ -106,15 +106,13 @@ def assigned_sql(source: str) -> str:
         "-list_sum([(len(v) - len(replace(v, c, ''))) / len(v)::double * log2((len(v) - len(replace(v, c, ''))) / len(v)::double) "
         "for c in list_distinct(string_split(v, ''))])"
     )
-    words = " and ".join(
-        f"strpos(lower(v), '{w}') = 0"
-        for w in "changeme example placeholder password redacted secret your_key your-key xxxxxxxx".split()
-    )
+    words = "|".join("changeme example placeholder password redacted secret your_key your-key xxxxxxxx".split())
+    own = f"regexp_replace(regexp_replace(lower(v), '{words}', '', 'g'), '[^a-z0-9]', '', 'g')"
     return spans_sql(source, "doc_id", ASSIGN_RE2, "sa") + f""",
 named as (select doc_id, s + len(value) as e, regexp_extract(value, '[^\\s"'',;=:]+$') as v from sa
     where not regexp_matches(before, '[A-Za-z]')),
 assigned as (select doc_id, cast(e - len(v) as int) as s, cast(e as int) as e, v from named
-  where len(v) >= 8 and {words} and not regexp_matches(v, '^[<\\[{{$*]')
+  where len(v) >= 8 and (len({own}) >= 4 or not regexp_matches(lower(v), '{words}')) and not regexp_matches(v, '^[<\\[{{$*]')
     and len(list_distinct(string_split(v, ''))) >= 5 and {entropy} >= 2.5)"""
 
 
@@ -164,6 +162,32 @@ def secret_assignments(t: Inputs) -> DataFrame:
     return found.select("doc_id", F.col("m.start").alias("start_at"), F.col("m.end").alias("end_at"))
 
 
+# A value of 64 to 2,560 hexadecimal digits for each document.
+_VALUE = "repeat(sha256(coalesce(text, '')), (1 + n_chars % 40)::int)"
+
+
+@query(
+    "long_secrets",
+    f"with v as (select doc_id, {_VALUE} as v from documents) select doc_id, case doc_id % 5 when 0 then 'a token=[SECRET] end' "
+    "when 1 then 'k [SECRET] end' when 2 then 'api_key: \"[SECRET]\" end' when 3 then 'password=[SECRET] end' "
+    "else case when regexp_matches(v, '[0-9]$') then 'token=[SECRET]password=[SECRET] end' else 'token=[SECRET] end' end end as redacted from v",
+)
+def long_secrets(t: Inputs) -> DataFrame:
+    """Long credentials, also with words of a placeholder or right behind one another: nothing stays readable."""
+    value = F.repeat(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256), (1 + F.col("n_chars") % 40).cast("int"))
+    kind = F.col("doc_id") % 5
+
+    def said(before: str, after: str = " end") -> Column:
+        return F.concat(F.lit(before), value, F.lit(after))
+
+    text = (
+        F.when(kind == 0, said("a token=")).when(kind == 1, said("k ghp_")).when(kind == 2, said('api_key: "example', '" end'))
+        .when(kind == 3, said("password=MySecret!")).otherwise(F.concat(F.lit("token="), value, said("password=")))
+    )
+    found = scan_secrets(build_views(t.documents.select("doc_id", text.alias("text"))))
+    return found.select("doc_id", redact_secrets(F.col("text"), F.col("secrets")).alias("redacted"))
+
+
 _REDACTED = f"""
 with {emails_sql('documents')}, {numbers_sql('documents')},
 spans as (select distinct doc_id, s, e, entity from (select doc_id, s, e, entity from emails
@@ -455,13 +479,16 @@ def robustness(t: Inputs) -> DataFrame:
 @query(
     "flow_shared_runs",
     "with p as (select item_id, regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}]', '', 'g') as a from benchmark), "
-    "known as (select distinct substr(a, i, 24) as run from (select a, unnest(range(1, len(a) - 22)) as i from p) x), "
+    "theirs as (select item_id, i as at, substr(a, i, 24) as run from (select item_id, a, unnest(range(1, len(a) - 22)) as i from p) x), "
     "d as (select doc_id, regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}]', '', 'g') as a from documents), "
-    "cut as (select distinct doc_id, substr(a, i, 24) as run from (select doc_id, a, unnest(range(1, len(a) - 22)) as i from d) x) "
-    "select doc_id, count(*) as shared_runs from cut join known using (run) group by doc_id",
+    "mine as (select doc_id, i as pos, substr(a, i, 24) as run from (select doc_id, a, unnest(range(1, len(a) - 22)) as i from d) x), "
+    "hits as (select distinct doc_id, item_id, pos, pos - at as diagonal, run from mine join theirs using (run)), "
+    "islands as (select doc_id, item_id, diagonal, pos - row_number() over (partition by doc_id, item_id, diagonal order by pos) as island from hits), "
+    "longest as (select doc_id, max(n) as longest_run from (select doc_id, count(*) + 23 as n from islands group by doc_id, item_id, diagonal, island) x group by doc_id) "
+    "select doc_id, count(distinct run) as shared_runs, any_value(longest_run) as longest_run from hits join longest using (doc_id) group by doc_id",
 )
 def flow_shared_runs(t: Inputs) -> DataFrame:
-    """Documents that repeat at least 24 letters and digits of a passage."""
+    """Documents that repeat at least 24 letters and digits of a passage, and the longest run they repeat."""
     return flow.shared_runs(t.documents, "doc_id", t.benchmark, "item_id", 24)
 
 

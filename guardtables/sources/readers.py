@@ -2,11 +2,14 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.jsonx import is_object, parsed
+from ..functions.expr import bind
+from ..functions.jsonx import is_finite_json, is_object, parsed, without_digest
 from ..functions.text import encode_tags
 from ..functions.windows import running_total
+from ..operators.audit import check_canonical
 from ..operators.governance import STATUSES
 from ..operators.requests import check_requests, content_text
 from ..operators.signatures import check_feed
@@ -29,9 +32,8 @@ def decision_log_lines(lines: DataFrame, line: str = "value") -> tuple[DataFrame
         ~F.schema_of_variant(value).startswith("OBJECT"), "not an object"
     )
     good, bad = _split(lines.select(F.col(line).alias("line")), reason)
-    body = F.regexp_replace("line", '"hash":"[0-9a-f]{64}",?', "")
     typed = good.withColumn("r", F.from_json("line", DECISIONS)).select(
-        "r.*", "line", F.regexp_replace(body, ",\\}\\z", "}").alias("body")
+        "r.*", "line", without_digest(F.col("line"), "hash").alias("body")
     )
     return typed, bad
 
@@ -40,6 +42,51 @@ def read_decision_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return decision_log_lines(spark.read.text(path))
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files in order: line, position (from 1, over all files by name), complete (ends with a line break).
+
+    Lines are counted per split of a file first; a line's position is what the splits before it hold and its place in its
+    own. Only one row per split is sorted.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_size").alias("_size"), F.monotonically_increasing_id().alias("_row"),
+    )
+    splits = lines.groupBy("_file", "_block").agg(
+        F.count("*").alias("_lines"), F.min("_row").alias("_first"), F.sum(F.octet_length("line") + 1).alias("_bytes"), F.max("_size").alias("_size")
+    )
+    in_order = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    of_file = W.partitionBy("_file")
+    # A file whose last line has no line break is one byte shorter than its lines with one each.
+    torn = (F.sum("_bytes").over(of_file) != F.col("_size")) & (F.col("_block") == F.max("_block").over(of_file))
+    splits = splits.withColumns({"_before": F.coalesce(F.sum("_lines").over(in_order), F.lit(0)), "_torn": torn}).drop("_bytes", "_size")
+    return lines.drop("_size").join(splits, ["_file", "_block"]).select(
+        "line", (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias("position"),
+        (~(F.col("_torn") & (F.col("_row") - F.col("_first") + 1 == F.col("_lines")))).alias("complete"),
+    )
+
+
+def read_sealed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """A sealed log as it lies in its files, ready for ``verify_chain``: every line has its position, also an unreadable one.
+
+    Columns: position, complete, readable, canonical, seq, prev, hash, body (the line's canonical text without its
+    digests), line. A seq must be an integer.
+    """
+    lines = check_canonical(numbered_lines(spark, path))
+    value, seq = F.col("_value"), F.try_variant_get(F.col("_value"), "$.seq", "variant")
+    read = bind(lines, "_value", F.when(F.ltrim("line").startswith("{") & is_finite_json(F.col("line")), parsed(F.col("line"))))
+    read = bind(read, "_text", F.to_json(value))
+
+    def text(name: str) -> Column:
+        return F.try_variant_get(value, f"$.{name}", "string").alias(name)
+
+    return read.select(
+        "position", "complete", value.isNotNull().alias("readable"), "canonical",
+        F.when(F.schema_of_variant(seq) == "BIGINT", F.try_variant_get(seq, "$", "bigint")).alias("seq"), text("prev"), text("hash"),
+        without_digest(without_digest(F.col("_text"), "hash"), "prev").alias("body"), "line",
+    )
+
+
 def with_positions(log: DataFrame, rows_per_slice: int = 1_000_000) -> DataFrame:
     """Add position: the rank of each record by sequence number, counted in slices of it."""
     return running_total(

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from guardtables.functions.crypto import hmac_sha256
 from guardtables.functions.windows import interpolated, order_statistics, running_total, trailing
 from guardtables.operators import audit, limits, metrics
-from guardtables.sources.readers import decision_log_lines, with_positions
-from guardtables.sources.sinks import export_lines, write_sealed
+from guardtables.sources.readers import decision_log_lines, numbered_lines, read_sealed_lines, with_positions
+from guardtables.sources.sinks import append_sealed, export_lines, read_heads, write_sealed, write_sealed_lines
 
 KEY = b"k" * 70
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -237,3 +237,99 @@ def test_percentiles_ignore_hostile_values(spark):
     counts = {r.action: r.n for r in metrics.counts_by_action(log).collect()}
     assert counts == {"allow": 8, "monitor": 0, "redact": 0, "require_approval": 0, "block": 0, "other": 1}
     assert metrics.judge_rate(log).first().judge_rate == pytest.approx(1 / 9)
+
+
+# --- from files to a verdict -----------------------------------------------------------------------------------
+
+
+def line_files(spark, tmp_path, n=95):
+    log = spark.range(1, n + 1).select(
+        F.col("id").alias("seq"), F.to_json(F.struct(F.concat(F.lit('zażółć "hash":"x" '), "id").alias("text"), F.struct(
+            F.lit("f" * 64).alias("hash"), F.col("id").alias("n")).alias("inner"))).alias("body"))
+    path = str(tmp_path / "lines")
+    write_sealed_lines(log.repartition(4), path, KEY, 20)
+    return path, sorted((tmp_path / "lines").glob("part-*"))
+
+
+def verdict(spark, path, head=None):
+    r = audit.verify_chain(read_sealed_lines(spark, str(path)), KEY, 20, head).first()
+    return r.ok, r["count"], r.broken_at, r.reason
+
+
+def test_lines_keep_their_places(spark, tmp_path):
+    path, files = line_files(spark, tmp_path)
+    assert files and verdict(spark, path) == (True, 95, None, "ok")
+    lines = "".join(f.read_text() for f in files).splitlines()
+    assert [json.loads(x)["seq"] for x in lines] == list(range(1, 96))
+    first = json.loads(lines[0])
+    body = {k: v for k, v in first.items() if k not in ("hash", "prev")}
+    signed = "0:1:" + audit.GENESIS + json.dumps(body, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert first["hash"] == hmac.new(KEY, signed.encode(), hashlib.sha256).hexdigest() and first["inner"]["hash"] == "f" * 64
+
+    def damaged(name, lines, end="\n"):
+        target = tmp_path / name
+        target.mkdir()
+        (target / "a.txt").write_text("\n".join(lines[:40]) + "\n" if len(lines) > 40 else "")
+        (target / "b.txt").write_text("\n".join(lines[40:] if len(lines) > 40 else lines) + end)
+        return verdict(spark, target)
+
+    assert damaged("same", lines) == (True, 95, None, "ok")
+    assert damaged("reordered", [lines[1], lines[0], *lines[2:]]) == (False, 0, 1, "sequence mismatch")
+    assert damaged("deleted", lines[:49] + lines[50:]) == (False, 49, 50, "sequence mismatch")
+    assert damaged("cut", [*lines[:60], lines[60][:30], *lines[61:]]) == (False, 60, 61, "unreadable audit")
+    assert damaged("twice", [*lines[:60], lines[60].replace('"seq"', '"n":1,"n":2,"seq"'), *lines[61:]])[2:] == (61, "unreadable audit")
+    assert damaged("torn", [*lines[:-1], lines[-1][:-10]], "") == (False, 94, 95, "incomplete audit line")
+    assert damaged("no_break", lines, "") == (False, 94, 95, "incomplete audit line")
+    assert damaged("edited", [x.replace('"n":33', '"n":34') for x in lines])[2:] == (33, "HMAC mismatch")
+    assert damaged("spaced", [*lines[:7], lines[7].replace('","', '", "', 1), *lines[8:]])[2:] == (8, "noncanonical audit line (bytes changed)")
+    assert damaged("text_seq", [lines[0].replace('"seq":1,', '"seq":"1",'), *lines[1:]])[2:] == (1, "sequence mismatch")
+    assert damaged("blank", [*lines[:3], "", *lines[3:]])[2:] == (4, "unreadable audit")
+
+
+def test_split_files_are_numbered(spark, tmp_path):
+    """Files cut into many splits, with empty and long lines."""
+    rng = random.Random(1)
+    lines = ["x" * rng.choice([0, 0, 1, 5, 300]) + str(i) * rng.choice([0, 1]) for i in range(3000)]
+    for i in range(3):
+        (tmp_path / f"part-{i}.txt").write_text("".join(x + "\n" for x in lines[i * 1000 : (i + 1) * 1000]))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+    try:
+        got = numbered_lines(spark, str(tmp_path)).orderBy("position").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.line for r in got] == lines and [r.position for r in got] == list(range(1, 3001)) and all(r.complete for r in got)
+
+
+def test_one_long_chain_is_checked_in_slices(spark, sealed, monkeypatch):
+    monkeypatch.setattr(audit, "SLICE", 7)
+    log = audit.seal(sealed.select("seq", "body"), KEY, 1000).withColumn("position", F.col("seq"))
+
+    def got(rows):
+        r = audit.verify_chain(rows, KEY).first()
+        return r.ok, r["count"], r.broken_at, r.reason
+
+    assert got(log) == (True, 50, None, "ok")
+    for at in (1, 7, 8, 30, 50):
+        assert got(audit.tamper(log, at, "hash", F.lit("0" * 64)))[2:] == (at, "HMAC mismatch")
+        assert got(audit.tamper(log, at, "prev", F.lit("1" * 64)))[2:] == (at, "previous hash mismatch")
+
+
+def test_a_sealed_log_goes_on(spark, tmp_path, sealed):
+    log = sealed.select("seq", "body")
+    for batch, (after, upto) in enumerate([(0, 1), (1, 19), (19, 20), (20, 20), (20, 47), (47, 50)]):
+        append_sealed(log.where((F.col("seq") > after) & (F.col("seq") <= upto)), str(tmp_path), KEY, batch, 4)
+        append_sealed(log.where((F.col("seq") > after) & (F.col("seq") <= upto)), str(tmp_path), KEY, batch, 4)  # repeated
+        whole = audit.seal_heads(audit.seal(log.where(F.col("seq") <= upto), KEY, 4), KEY, 4)
+        made = read_heads(spark, str(tmp_path), batch)
+        assert {tuple(r) for r in made.collect()} == {tuple(r) for r in whole.collect()}
+    back = spark.read.parquet(str(tmp_path / "log")).withColumn("position", F.col("seq"))
+    assert audit.verify_chain(back, KEY, 4).first()["ok"] and back.count() == 50
+    with pytest.raises(ValueError, match="ends with record 50"):
+        append_sealed(log, str(tmp_path), KEY, 6, 4)
+
+
+def test_rows_without_a_number_are_not_sealed(spark):
+    log = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "d"), (None, None)], "seq long, body string")
+    got = audit.seal(log, KEY, 2).collect()
+    assert len(got) == 5 and sum(r.hash is None for r in got) == 2 and all(r.hash is None for r in got if r.seq is None)

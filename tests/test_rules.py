@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from guardtables.functions.jsonx import args_hash, is_object, json_leaves, read_leaves
+from guardtables.functions.runs import bloom_of
 from guardtables.operators.injection import score_injection
 from guardtables.operators.views import build_views
 from guardtables.operators import catalog, evaluation, flow, governance, policy, requests, review
@@ -135,6 +136,48 @@ def test_short_shared_runs_are_no_match(spark, dims):
     assert {r.call_id for r in found} == {"12"}
 
 
+def test_shared_runs_and_the_longest(spark):
+    import random
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdé", k=rng.randint(2, 6)))
+    passages = [(i, " ".join(word() for _ in range(30))) for i in range(12)] + [(20, None), (21, ""), (22, "short")]
+    passages += [(30, passages[0][1]), (31, passages[1][1].upper())]
+    texts = [(i, " ".join(word() for _ in range(40))) for i in range(30)]
+    texts += [(100 + i, f"{word()} {p[1][7 * i : 7 * i + 20 + 11 * i]} {word()}") for i, p in enumerate(passages[:8])]
+    texts += [(200, passages[3][1][:40] + " " + passages[4][1][:60]), (201, None), (202, ""), (203, "x" * 5000)]
+    plain = lambda t: "".join(c for c in (t or "").lower().replace("é", "e") if c.isalnum())
+
+    def expected(width):
+        found = {}
+        for i, text in texts:
+            t, longest, runs = plain(text), 0, set()
+            for _, p in passages:
+                p = plain(p)
+                held = {p[k : k + width] for k in range(len(p) - width + 1)}
+                runs |= {t[k : k + width] for k in range(len(t) - width + 1)} & held
+                n = max(longest, width)
+                while any(t[k : k + n] in p for k in range(len(t) - n + 1)) and n <= len(t):
+                    longest, n = n, n + 1
+            if runs:
+                found[i] = (len(runs), longest)
+        return found
+
+    for width in (12, 24):
+        got = flow.shared_runs(
+            spark.createDataFrame(texts, "id int, text string").repartition(3), "id", spark.createDataFrame(passages, "item int, text string"), "item", width)
+        assert {r.id: (r.shared_runs, r.longest_run) for r in got.collect()} == expected(width)
+
+
+def test_bloom_filter_holds_all(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("h"))
+    bloom = bloom_of(rows.repartition(7), "h", 20_000)
+    import numpy as np
+    mine = np.array([r.h for r in rows.collect()]).view(np.uint64)
+    others = np.array([r.h for r in spark.range(20_000).select(F.xxhash64(F.lit(1), "id").alias("h")).collect()]).view(np.uint64)
+    assert bloom.contains(mine).all() and bloom.contains(others).mean() < 0.05
+    assert not bloom_of(rows.limit(0), "h", 0).contains(mine).any()
+
+
 def test_substrings_cross_blocks(spark):
     text = "".join(chr(97 + i % 26) for i in range(700))
     got = spark.createDataFrame([(text,), ("ab",)], "t string").select(flow.substrings(F.col("t"), 5)).collect()
