@@ -479,10 +479,10 @@ def robustness(t: Inputs) -> DataFrame:
 @query(
     "flow_shared_runs",
     "with p as (select item_id, regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}]', '', 'g') as a from benchmark), "
-    "theirs as (select item_id, i as at, substr(a, i, 24) as run from (select item_id, a, unnest(range(1, len(a) - 22)) as i from p) x), "
+    "theirs as (select item_id, i as place, substr(a, i, 24) as run from (select item_id, a, unnest(range(1, len(a) - 22)) as i from p) x), "
     "d as (select doc_id, regexp_replace(lower(strip_accents(text)), '[^\\p{L}\\p{N}]', '', 'g') as a from documents), "
     "mine as (select doc_id, i as pos, substr(a, i, 24) as run from (select doc_id, a, unnest(range(1, len(a) - 22)) as i from d) x), "
-    "hits as (select distinct doc_id, item_id, pos, pos - at as diagonal, run from mine join theirs using (run)), "
+    "hits as (select distinct doc_id, item_id, pos, pos - place as diagonal, run from mine join theirs using (run)), "
     "islands as (select doc_id, item_id, diagonal, pos - row_number() over (partition by doc_id, item_id, diagonal order by pos) as island from hits), "
     "longest as (select doc_id, max(n) as longest_run from (select doc_id, count(*) + 23 as n from islands group by doc_id, item_id, diagonal, island) x group by doc_id) "
     "select doc_id, count(distinct run) as shared_runs, any_value(longest_run) as longest_run from hits join longest using (doc_id) group by doc_id",
