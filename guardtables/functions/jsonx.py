@@ -173,11 +173,13 @@ def json_nodes(text: Column, with_keys: bool, levels: int = MAX_LEVELS) -> Colum
     NULL when the text is not JSON or repeats a key. A text has no more levels than opening brackets, so flat texts are
     opened a few times only.
     """
-    kind = _root_kind(text)
-    said = F.when(kind == "S", F.try_variant_get(parsed(text), "$", "string")).otherwise(text)
-    root = F.array(_node(F.array().cast("array<string>"), said, kind)).cast(f"array<{NODE}>")
-    brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
-    return F.when(kind.isNotNull(), unrolled(root, F.least(F.greatest(brackets, F.lit(1)), F.lit(levels)), with_keys))
+    def opened(kind: Column) -> Column:
+        said = F.when(kind == "S", F.try_variant_get(F.try_parse_json(text), "$", "string")).otherwise(text)
+        root = F.array(_node(F.array().cast("array<string>"), said, kind)).cast(f"array<{NODE}>")
+        brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
+        return F.when(kind.isNotNull(), unrolled(root, F.least(F.greatest(brackets, F.lit(1)), F.lit(levels)), with_keys))
+
+    return let(_root_kind(text), opened)
 
 
 def path_of(steps: Column) -> Column:
