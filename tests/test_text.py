@@ -365,3 +365,19 @@ def test_findings_are_computed_once(spark):
     plan = long._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("cannot safely redact original text") == 1
     assert [r.control_id for r in long.collect()] == ["pii.phone"]
+
+
+def test_views_need_no_python_worker(spark):
+    """Unicode normalisation runs in the JVM and equals Python's on every assigned character both know."""
+    import unicodedata
+
+    from guardtables.functions.text import INVISIBLE, canonical, canonical_text
+
+    letters = [chr(c) for c in range(128, 0x30000) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co", "Cf")]
+    groups = ["x" + "".join(letters[i : i + 40]) for i in range(0, len(letters), 40)] + ["plain", "Ünïcode ﬁ 𝐀", "іgnоrе"]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(groups)], "id int, text string")
+    assert "Python" not in build_views(texts)._jdf.queryExecution().executedPlan().toString()
+    forms = spark.createDataFrame([(t, canonical_text(t)) for t in groups], "text string, want string").select(
+        canonical(F.col("text")).alias("got"), F.regexp_replace("want", INVISIBLE + "|\\p{Mn}", "").alias("want")
+    )
+    assert [r for r in forms.collect() if r.got != r.want] == []
