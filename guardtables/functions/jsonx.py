@@ -167,7 +167,7 @@ def unrolled(nodes: Column, levels: Column | int, with_keys: bool) -> Column:
     return F.aggregate(F.sequence(F.lit(1), count), nodes, level)
 
 
-def json_nodes(text: Column, with_keys: bool, levels: int = MAX_LEVELS) -> Column:
+def json_nodes(text: Column, with_keys: bool, levels: int = MAX_LEVELS, root_kind: Column | None = None) -> Column:
     """Keys and scalars of a JSON text in its order; a container that is left lies deeper than ``levels``.
 
     NULL when the text is not JSON or repeats a key. A text has no more levels than opening brackets, so flat texts are
@@ -179,7 +179,7 @@ def json_nodes(text: Column, with_keys: bool, levels: int = MAX_LEVELS) -> Colum
         brackets = F.length(text) - F.length(F.translate(text, "{[", ""))
         return F.when(kind.isNotNull(), unrolled(root, F.least(F.greatest(brackets, F.lit(1)), F.lit(levels)), with_keys))
 
-    return let(_root_kind(text), opened)
+    return let(_root_kind(text) if root_kind is None else root_kind, opened)
 
 
 def path_of(steps: Column) -> Column:
@@ -246,35 +246,39 @@ def _with_arguments(nodes: Column, levels: int) -> Column:
 
 
 def _in_scope(steps: Column) -> Column:
-    """Whether metadata holds a place: not the request's switches, nor what messages say."""
-    names = _names(F.slice(steps, F.lit(1), F.lit(3)))
-    first, second = F.get(names, F.lit(0)), F.get(names, F.lit(1))
-    said = (first == "messages") & (F.coalesce(second, F.lit("content")) == "content")
-    return ~(first.isin(*FLAGS) | said)
+    """Whether metadata of a request holds a place: not the request's switches, nor what messages say."""
+    first = F.get(steps, F.lit(0))
+    second = F.coalesce(F.get(F.filter(F.slice(steps, F.lit(2), F.lit(2)), lambda s: s.startswith(".")), F.lit(0)), F.lit(".content"))
+    said = F.when(first == ".messages", second == ".content").otherwise(False)
+    return ~(first.isin(*sorted("." + f for f in FLAGS)) | said)
 
 
 def _request_leaves(nodes: Column) -> Column:
     """Texts and names a model reads; fixed protocol words and words of the schema language are left out."""
-    def in_list(n: Column) -> Column:
-        return F.get(n["steps"], F.size(n["steps"]) - 1).startswith("[")
-
-    def wanted(n: Column) -> Column:
-        def judge(names: Column) -> Column:
-            key, area = F.get(names, F.size(names) - 1), _inside(names)
-            named = (F.size(names) > 1) & (area.isin("arguments", "properties") | ((area == "schema") & ~key.isin(*SCHEMA_KEYWORDS)))
-            word = F.when(F.size(names) == 1, key.isin("tool_choice", "function_call")).when(area == "free", key.isin("role", "type")).otherwise(
-                (area != "arguments") & (key == "type") & n["text"].isin(*SCHEMA_TYPES)
+    def described(n: Column) -> Column:
+        """A node in scope with the names above it, what holds it and whether it is an item of a list."""
+        def with_area(names: Column) -> Column:
+            return F.struct(
+                n.alias("n"), F.size(names).alias("depth"), F.get(names, F.size(names) - 1).alias("key"),
+                _inside(names).alias("area"), F.get(n["steps"], F.size(n["steps"]) - 1).startswith("[").alias("in_list"),
             )
-            return F.when(n["kind"] == "K", named).otherwise((n["kind"] == "S") & (in_list(n) | ~word))
 
-        return _in_scope(n["steps"]) & let(_names(n["steps"]), judge)
+        return let(_names(n["steps"]), with_area)
 
-    def fixed(n: Column) -> Column:
+    def wanted(x: Column) -> Column:
+        key, area = x["key"], x["area"]
+        named = (x["depth"] > 1) & (area.isin("arguments", "properties") | ((area == "schema") & ~key.isin(*SCHEMA_KEYWORDS)))
+        word = F.when(x["depth"] == 1, key.isin("tool_choice", "function_call")).when(area == "free", key.isin("role", "type")).otherwise(
+            (area != "arguments") & (key == "type") & x["n"]["text"].isin(*SCHEMA_TYPES)
+        )
+        return F.when(x["n"]["kind"] == "K", named).otherwise(x["in_list"] | ~word)
+
+    def fixed(x: Column) -> Column:
         """Whether a text names something and must not be rewritten."""
-        names = _names(n["steps"])
-        return (n["kind"] == "K") | (~in_list(n) & (F.size(names) > 1) & F.get(names, F.size(names) - 1).isin(*IDENTIFIERS))
+        return (x["n"]["kind"] == "K") | (~x["in_list"] & (x["depth"] > 1) & x["key"].isin(*IDENTIFIERS))
 
-    return F.transform(F.filter(nodes, wanted), lambda n: _leaf(n, fixed(n)))
+    said = F.filter(nodes, lambda n: n["kind"].isin("S", "K") & _in_scope(n["steps"]))
+    return F.transform(F.filter(F.transform(said, described), wanted), lambda x: _leaf(x["n"], fixed(x)))
 
 
 MODES = ("strings", "scalars", "texts", "metadata")
@@ -292,32 +296,38 @@ def read_leaves(text: Column, mode: str = "strings", max_depth: int | None = Non
     metadata = mode == "metadata"
     most = max_depth if max_depth is not None else MAX_DEPTH if metadata else MAX_LEVELS
     # A field lies one step below the request, a message two; the container itself opens one level more.
-    nodes = json_nodes(text, mode in ("texts", "metadata"), most + 3 if metadata else most)
+    levels = most + 3 if metadata else most
 
-    def judged(n: Column) -> Column:
-        def field(x: Column) -> Column:
-            return F.when(F.get(x["steps"], F.lit(0)) == ".messages", 2).otherwise(1)
+    def field(x: Column) -> Column:
+        return F.when(F.get(x["steps"], F.lit(0)) == ".messages", 2).otherwise(1)
 
-        def deep(x: Column) -> Column:
-            # A node's steps lead through its containers, so a leaf tells how deep they are.
-            return is_open(x) & _in_scope(x["steps"]) if metadata else is_open(x)
+    def deep(x: Column) -> Column:
+        """Whether a node lies too deep; its steps lead through its containers, so a leaf tells how deep they are."""
+        if not metadata:
+            return is_open(x)
+        below = F.size(x["steps"]) - field(x) - F.when(is_open(x), 0).otherwise(1) > most
+        return (is_open(x) | below) & _in_scope(x["steps"])
 
+    def judged(n: Column, kind: Column) -> Column:
         faults = [
-            F.when(too_nested(text), f"nested more than {min(most, MAX_NESTING)} levels"), F.when(n.isNull(), "not JSON with unique keys"), F.when(~is_finite_json(text), "number that is not finite"),
+            F.when(n.isNull(), F.when(too_nested(text), f"nested more than {min(most, MAX_NESTING)} levels").otherwise("not JSON with unique keys")),
+            F.when(~is_finite_json(text), "number that is not finite"),
         ]
         if metadata:
             faults += [
-                F.when(~parsed_is_object(text), "not an object"),
+                F.when(~F.coalesce(kind == "O", F.lit(False)), "not an object"),
                 F.when(F.exists(n, lambda x: x["kind"] == "X"), "arguments that are not JSON"),
             ]
-            below = F.exists(n, lambda x: _in_scope(x["steps"]) & (F.size(x["steps"]) - field(x) - F.when(is_open(x), 0).otherwise(1) > most))
-            faults.append(F.when(below | F.exists(n, deep), f"nested more than {most} levels"))
-        else:
-            faults.append(F.when(F.exists(n, deep), f"nested more than {most} levels"))
+        faults.append(F.when(F.exists(n, deep), f"nested more than {most} levels"))
         leaves = _request_leaves(n) if metadata else _listed(n, mode)
         return let(F.coalesce(*faults), lambda f: F.struct(F.when(f.isNull(), leaves).cast(LEAF).alias("leaves"), f.alias("fault")))
 
-    return let(let(nodes, lambda n: _with_arguments(n, most + 3)) if metadata else nodes, judged)
+    def read(kind: Column) -> Column:
+        nodes = json_nodes(text, mode in ("texts", "metadata"), levels, kind)
+        whole = let(nodes, lambda n: _with_arguments(n, levels)) if metadata else nodes
+        return let(whole, lambda n: judged(n, kind))
+
+    return let(_root_kind(text), read)
 
 
 def parsed_is_object(text: Column) -> Column:

@@ -8,6 +8,7 @@ from ..functions.jsonx import args_hash, explode_leaves
 from ..operators import flow, governance, requests
 from ..operators.decisions import explode_findings
 from ..operators.inspect import InspectPolicy, detect
+from ..session import spread
 from ..sources.readers import approval_journal_lines
 from .derived import Inputs, cte
 from .registry import query
@@ -155,7 +156,7 @@ def argument_leaves(t: Inputs) -> DataFrame:
 )
 def event_properties(t: Inputs) -> DataFrame:
     """Scalar leaves of the JSON properties of every event."""
-    leaves = explode_leaves(t.events, "props", "scalars", "event_id")
+    leaves = explode_leaves(spread(t.events), "props", "scalars", "event_id")
     return leaves.where("path = 'k'").select("event_id", F.col("text").cast("bigint").alias("k"))
 
 
@@ -452,7 +453,7 @@ def request_shapes(t: Inputs) -> DataFrame:
     """Protocol checks of request bodies, one shape per event."""
     kind = F.col("event_id") % len(_BODIES)
     body = F.coalesce(*[F.when(kind == i, F.lit(text)) for i, (text, _) in enumerate(_BODIES)])
-    checked = requests.check_requests(t.events.select("event_id", body.alias("body")))
+    checked = requests.check_requests(spread(t.events).select("event_id", body.alias("body")))
     return checked.select("event_id", F.concat_ws("; ", "reject_reasons").alias("reasons"))
 
 
@@ -468,7 +469,7 @@ def request_metadata(t: Inputs) -> DataFrame:
         F.lit('","description":"about '), "event_type",
         F.lit('","parameters":{"type":"object","properties":{"city":{"type":"string","description":"where"}}}}}],"user":"u"}'),
     )
-    found = requests.metadata_texts(t.events.select("event_id", body.alias("body")), "event_id")
+    found = requests.metadata_texts(spread(t.events).select("event_id", body.alias("body")), "event_id")
     return found.select("event_id", "path", "is_key")
 
 
@@ -483,5 +484,5 @@ def deep_metadata(t: Inputs) -> DataFrame:
     body = F.concat(
         F.lit('{"model":"m","tools":'), F.repeat(F.lit("["), levels), F.lit('"'), "event_type", F.lit('"'), F.repeat(F.lit("]"), levels), F.lit("}")
     )
-    found = requests.metadata_texts(t.events.select("event_id", body.alias("body")), "event_id")
+    found = requests.metadata_texts(spread(t.events).select("event_id", body.alias("body")), "event_id")
     return found.select("event_id", "path", "fault")

@@ -316,3 +316,13 @@ def test_sweep_ties_go_to_the_higher_threshold(spark):
     df = spark.createDataFrame(rows, "model string, status string, kind string, risk double")
     best = evaluation.best_thresholds(evaluation.sweep(df, "model"), "model").first()
     assert best.best_accuracy_at == 0.6 and best.best_accuracy == 1.0 and best.best_recall_at == 0.6
+
+
+def test_requests_of_one_small_file_keep_every_core_busy(spark):
+    """A file that is one split is dealt to all cores before its JSON is read."""
+    from guardtables.plans.derived import Inputs
+    from guardtables.plans.rule_queries import deep_metadata, request_metadata
+
+    inputs = Inputs(spark, "/root/testdata/sf0.01")
+    for made in (request_metadata, deep_metadata):
+        assert made(inputs).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
