@@ -120,8 +120,11 @@ def _node(steps: Column, text: Column, kind: Column) -> Column:
     return F.struct(steps.alias("steps"), text.alias("text"), kind.alias("kind"))
 
 
-def _kind_of(value: Column) -> Column:
-    return F.left(F.schema_of_variant(value), F.lit(1))
+def _kind_of(text: Column, value: Column) -> Column:
+    """The kind of a part: a container shows by what it holds, as the whole schema of each level would cost depth times size."""
+    array = text.startswith("[") & F.try_variant_get(value, "$[0]", "variant").isNotNull()
+    members = text.startswith("{") & F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+    return F.when(array, "A").when(members, "O").otherwise(F.left(F.schema_of_variant(value), F.lit(1)))
 
 
 def _root_kind(text: Column) -> Column:
@@ -141,12 +144,12 @@ def _below(node: Column, with_keys: bool) -> Column:
 
     def member(entry: Column, value: Column) -> Column:
         here = F.concat(steps, F.array(F.concat(F.lit("."), entry["key"])))
-        found = _node(here, entry["value"], _kind_of(value))
+        found = _node(here, entry["value"], _kind_of(entry["value"], value))
         return F.array(_node(here, entry["key"], F.lit("K")), found) if with_keys else F.array(found)
 
     def item(pair: Column, i: Column) -> Column:
         here = F.concat(steps, F.array(F.concat(F.lit("["), i.cast("string"), F.lit("]"))))
-        return _node(here, pair["text"], _kind_of(pair["value"]))
+        return _node(here, pair["text"], _kind_of(pair["text"], pair["value"]))
 
     members = F.flatten(
         F.zip_with(F.map_entries(F.from_json(text, "map<string,string>")), F.map_values(F.from_json(text, "map<string,variant>")), member)

@@ -326,3 +326,17 @@ def test_requests_of_one_small_file_keep_every_core_busy(spark):
     inputs = Inputs(spark, "/root/testdata/sf0.01")
     for made in (request_metadata, deep_metadata):
         assert made(inputs).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_texts_that_look_like_containers_are_texts(spark):
+    """What a part is comes from its value, not from its first character; the schema of all levels is not made for it."""
+    from guardtables.functions import jsonx
+
+    body = r'{"a":["[1]","{\"x\":2}",[],{},[null],["t"],{"k":"[]"}],"b":"{}","c":null}'
+    df = spark.createDataFrame([(body,)], "t string")
+    got = [(x.path, x.text) for x in df.select(json_leaves(F.col("t")).alias("l")).first().l]
+    assert got == [("a[0]", "[1]"), ("a[1]", '{"x":2}'), ("a[5][0]", "t"), ("a[6].k", "[]"), ("b", "{}")]
+    part = spark.createDataFrame([("[" * 30 + "1" + "]" * 30,)], "t string").select(
+        jsonx._kind_of(F.col("t"), F.parse_json("t")).alias("kind")
+    )
+    assert part.first().kind == "A"
