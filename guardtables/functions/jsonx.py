@@ -34,13 +34,13 @@ def too_nested(text: Column, most: int = MAX_NESTING) -> Column:
 
     Only texts with more opening brackets than that are looked at: the innermost pairs are taken away ``most`` times.
     """
-    opening = F.length(text) - F.length(F.translate(text, "{[", ""))
+    many = text.rlike(f"\\A(?:[^{{\\[]*+[{{\\[]){{{most + 1}}}")
     brackets = F.regexp_replace(F.regexp_replace(text, QUOTED, ""), "[^{}\\[\\]]+", "")
     left = F.aggregate(
         F.sequence(F.lit(1), F.lit(most)), brackets,
         lambda s, _: F.when(s != "", F.regexp_replace(s, "\\{\\}|\\[\\]", "")).otherwise(s),
     )
-    return F.when(opening > most, left != "").otherwise(False)
+    return F.when(many, left != "").otherwise(False)
 
 
 def parsed(text: Column) -> Column:
@@ -53,8 +53,9 @@ def is_finite_json(text: Column) -> Column:
     bare = F.regexp_replace(text, QUOTED, "0")
     numbers = F.regexp_extract_all(bare, F.lit("-?[0-9][0-9.eE+-]*+"), F.lit(0))
     huge = F.exists(numbers, lambda n: F.abs(n.try_cast("double")) == float("inf"))
-    # Only an exponent or a very long number can overflow.
-    return ~F.when(text.rlike("[0-9][eE]|[0-9]{300}"), F.coalesce(huge, F.lit(False))).otherwise(False)
+    # Only an exponent or a very long number can overflow; digests hold what looks like one, but begin with a quote.
+    may = "(?:\\A|[\\s:,\\[])-?[0-9][0-9.]*+[eE]|[0-9]{300}"
+    return ~F.when(text.rlike(may), F.coalesce(huge, F.lit(False))).otherwise(False)
 
 
 def is_object(text: Column) -> Column:
@@ -73,15 +74,22 @@ def member(text: Column, name: Column | str) -> Column:
     return F.try_variant_get(parsed(text), F.concat(F.lit("$['"), name, F.lit("']")), "variant")
 
 
+def _digest_member(name: str, value: Column) -> Column:
+    """The compact text of a member that holds 64 hexadecimal digits, else NULL."""
+    return F.when(value.rlike("^[0-9a-f]{64}\\z"), F.concat(F.lit(f'"{name}":"'), value, F.lit('"')))
+
+
 def without_digest(text: Column, name: str) -> Column:
     """A compact JSON object without its own member ``name`` that holds 64 hexadecimal digits; members inside others stay.
 
     The text must be one that ``parsed`` reads.
     """
-    def found(t: Column) -> Column:
-        value = F.try_variant_get(F.try_parse_json(t), f"$.{name}", "string")
-        member = F.when(value.rlike("^[0-9a-f]{64}\\z"), F.concat(F.lit(f'"{name}":"'), value, F.lit('"')))
-        return let(F.struct(t.alias("t"), member.alias("m")), lambda s: F.when(F.contains(s["t"], s["m"]), cut_out(s)).otherwise(s["t"]))
+    def read(t: Column) -> Column:
+        return let(F.struct(t.alias("t"), F.try_variant_get(F.try_parse_json(t), f"$.{name}", "string").alias("v")), found)
+
+    def found(s: Column) -> Column:
+        member = F.struct(s["t"].alias("t"), _digest_member(name, s["v"]).alias("m"))
+        return let(member, lambda s: F.when(F.contains(s["t"], s["m"]), cut_out(s)).otherwise(s["t"]))
 
     def cut_out(s: Column) -> Column:
         return let(F.struct(s["m"].alias("m"), F.split(s["t"], s["m"], -1).alias("parts")), without)
@@ -104,7 +112,23 @@ def without_digest(text: Column, name: str) -> Column:
             F.concat(F.regexp_replace(x["before"], ",\\z", ""), x["after"])
         ))
 
-    return let(text, found)
+    return let(text, read)
+
+
+def without_known_digest(text: Column, name: str, value: Column) -> Column:
+    """As ``without_digest`` for a text that ``to_json`` wrote, whose member ``name`` has been read before.
+
+    Where the member's text stands once it is the object's own, and nothing is parsed again.
+    """
+    def cut_out(s: Column) -> Column:
+        bare = F.replace(s["t"], s["m"], F.lit(""))
+        before = F.replace(s["t"], F.concat(s["m"], F.lit(",")), F.lit(""))
+        after = F.replace(s["t"], F.concat(F.lit(","), s["m"]), F.lit(""))
+        once = F.when(before != s["t"], before).when(after != s["t"], after).otherwise(bare)
+        several = F.length(s["t"]) - F.length(bare) > F.length(s["m"])
+        return F.when(s["m"].isNull(), s["t"]).when(several, without_digest(s["t"], name)).otherwise(once)
+
+    return let(F.struct(text.alias("t"), _digest_member(name, value).alias("m")), cut_out)
 
 
 # --- leaves ------------------------------------------------------------------------------------

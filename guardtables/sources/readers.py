@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.expr import bind
-from ..functions.jsonx import is_finite_json, is_object, parsed, without_digest
+from ..functions.jsonx import is_finite_json, is_object, parsed, without_digest, without_known_digest
 from ..functions.text import encode_tags
 from ..functions.windows import running_total
 from ..operators.audit import check_canonical
@@ -78,12 +78,14 @@ def read_sealed_lines(spark: SparkSession, path: str) -> DataFrame:
     read = bind(read, "_text", F.to_json(value))
 
     def text(name: str) -> Column:
-        return F.try_variant_get(value, f"$.{name}", "string").alias(name)
+        return F.try_variant_get(value, f"$.{name}", "string")
 
+    read = bind(read, "_held", F.struct(text("prev").alias("prev"), text("hash").alias("hash")))
+    body = without_known_digest(without_known_digest(F.col("_text"), "hash", F.col("_held.hash")), "prev", F.col("_held.prev"))
     return read.select(
         "position", "complete", value.isNotNull().alias("readable"), "canonical",
-        F.when(F.schema_of_variant(seq) == "BIGINT", F.try_variant_get(seq, "$", "bigint")).alias("seq"), text("prev"), text("hash"),
-        without_digest(without_digest(F.col("_text"), "hash"), "prev").alias("body"), "line",
+        F.when(F.schema_of_variant(seq) == "BIGINT", F.try_variant_get(seq, "$", "bigint")).alias("seq"), "_held.prev", "_held.hash",
+        body.alias("body"), "line",
     )
 
 

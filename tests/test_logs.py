@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from guardtables.functions.crypto import hmac_sha256
+from guardtables.functions.jsonx import is_finite_json, without_digest, without_known_digest
 from guardtables.functions.windows import interpolated, order_statistics, running_total, trailing
 from guardtables.operators import audit, limits, metrics
 from guardtables.sources.readers import decision_log_lines, numbered_lines, read_sealed_lines, with_positions
@@ -333,3 +334,32 @@ def test_rows_without_a_number_are_not_sealed(spark):
     log = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c"), (2, "d"), (None, None)], "seq long, body string")
     got = audit.seal(log, KEY, 2).collect()
     assert len(got) == 5 and sum(r.hash is None for r in got) == 2 and all(r.hash is None for r in got if r.seq is None)
+
+
+def test_known_digests_are_cut_out_as_read_ones(spark):
+    one, two = "ab" * 32, "cd" * 32
+    values = [
+        {"hash": one}, {"a": 1, "hash": one}, {"hash": one, "z": [1]}, {"a": 1, "hash": one, "z": 2}, {"a": {"hash": one}, "hash": one},
+        {"a": {"hash": two}, "hash": one}, {"a": f'"hash":"{one}"', "hash": one}, {"hash": "short"}, {"a": {"hash": one}}, {"hash": one, "z": {"hash": one}},
+    ]
+    texts = [(json.dumps(v, separators=(",", ":")),) for v in values] + [(None,)]
+    value = F.try_variant_get(F.try_parse_json("t"), "$.hash", "string")
+    got = spark.createDataFrame(texts, "t string").select(
+        without_known_digest(F.col("t"), "hash", value).alias("a"), without_digest(F.col("t"), "hash").alias("b")
+    ).collect()
+    left = [json.dumps({k: v for k, v in x.items() if k != "hash" or v == "short"}, separators=(",", ":")) for x in values] + [None]
+    assert [r.a for r in got] == left and [r.b for r in got] == left
+
+
+def test_numbers_that_are_not_finite_are_found_beside_digests(spark):
+    texts = ["1e999", "-1e999", "[1,2e400]", '{"a": 1E999}', "9" * 400, '{"h":"3e999"}', '{"h":"x,1e999"}', '{"a":1e3,"h":"3e999"}', "[1.5]"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(is_finite_json(F.col("t"))).collect()
+    assert [r[0] for r in got] == [False] * 5 + [True] * 4
+
+
+def test_a_sealed_line_is_parsed_once(spark, tmp_path):
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a").write_text('{"seq":1}\n')
+    plan = read_sealed_lines(spark, str(tmp_path / "lines"))._jdf.queryExecution().optimizedPlan().toString()
+    # Once for its value; twice for each digest whose text stands in the line more than once.
+    assert plan.count("parse_json") <= 5
