@@ -363,3 +363,14 @@ def test_a_sealed_line_is_parsed_once(spark, tmp_path):
     plan = read_sealed_lines(spark, str(tmp_path / "lines"))._jdf.queryExecution().optimizedPlan().toString()
     # Once for its value; twice for each digest whose text stands in the line more than once.
     assert plan.count("parse_json") <= 5
+
+
+def test_a_truncated_log_is_sealed_once(spark, monkeypatch):
+    from guardtables.plans import load
+
+    sealed, read = [], audit.verify_chain
+    monkeypatch.setattr(audit, "verify_chain", lambda log, key, rows, head: sealed.append(head) or read(log, key, rows, head))
+    got = load()[0]["truncated_tail"](spark, "/root/testdata/sf0.001").collect()
+    assert got[0].reason.startswith("head count mismatch")
+    # The head comes from the written records, not from a second chain of them.
+    assert "sha2" not in sealed[0]._jdf.queryExecution().optimizedPlan().toString()
