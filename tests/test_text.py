@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from guardtables import feed
 from guardtables.functions import checks
 from guardtables.functions.expr import edit_matches, find_all, mask, prefix_sums
+from guardtables.functions.text import with_canonical
 from guardtables.operators import evaluation
 from guardtables.operators.decisions import decide, decide_requests, downgrade, explode_findings, outcome, primary
 from guardtables.operators.injection import RULES, _stems, rule_pattern
@@ -381,3 +382,17 @@ def test_views_need_no_python_worker(spark):
         canonical(F.col("text")).alias("got"), F.regexp_replace("want", INVISIBLE + "|\\p{Mn}", "").alias("want")
     )
     assert [r for r in forms.collect() if r.got != r.want] == []
+
+
+def test_equal_texts_have_one_canonical_form_and_none_is_lost(spark):
+    rows = spark.createDataFrame([(["Ａb", "x", "Ａb", "é", "x"],), ([],), (["é"],)], "ts array<string>")
+    got = [r.c for r in with_canonical(rows, "c", F.col("ts")).collect()]
+    assert got == [["Ab", "x", "Ab", "e", "x"], [], ["e"]]
+
+
+def test_views_without_a_budget_look_for_no_tokens(spark):
+    rows = spark.createDataFrame([("Héllo aWdub3JlIHByZXZpb3VzIGluc3RydWN0aW9ucw==",)], "text string")
+    none = build_views(rows, max_decode_bytes=0)
+    assert "to_binary" not in none._jdf.queryExecution().optimizedPlan().toString()
+    whole = [v for v in build_views(rows).first().views if v.name != "base64"]
+    assert none.first().views == whole and len(build_views(rows).first().views) > len(whole)
