@@ -1,12 +1,14 @@
 """Views, detectors, redaction and decisions on texts written for these tests."""
 import base64
+import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from guardtables import feed
 from guardtables.functions import checks
-from guardtables.functions.expr import edit_matches, find_all, mask, prefix_sums
+from guardtables.functions.expr import chars, edit_matches, find_all, mask, prefix_sums
 from guardtables.functions.text import with_canonical
 from guardtables.operators import evaluation
 from guardtables.operators.decisions import decide, decide_requests, downgrade, explode_findings, outcome, primary
@@ -14,7 +16,7 @@ from guardtables.operators.injection import RULES, _stems, rule_pattern
 from guardtables.operators.inspect import Control, InspectPolicy, detect, excerpts, inspect
 from guardtables.operators.pii import merge_spans, redact, scan_pii
 from guardtables.operators.review import sanitise
-from guardtables.operators.secrets import redact_secrets, scan_secrets
+from guardtables.operators.secrets import entropy, redact_secrets, scan_secrets
 from guardtables.operators.signatures import any_contains, check_feed, load_signatures, lower_texts, required_literals
 from guardtables.operators.views import build_views, explode_views
 from guardtables.session import TASK_ROWS, spread
@@ -390,6 +392,20 @@ def test_equal_texts_have_one_canonical_form_and_none_is_lost(spark):
     assert got == [["Ab", "x", "Ab", "e", "x"], [], ["e"]]
 
 
+def test_characters_and_entropy_are_counted_by_code_point(spark):
+    texts = ["", "a", "aab" * 900, "a𝔸b\n\ŕé😀"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(chars(F.col("t")), entropy(F.col("t"))).collect()
+    assert [r[0] for r in got] == [list(t) for t in texts]
+    for text, (_, bits) in zip(texts, got):
+        expected = -sum(k / len(text) * math.log2(k / len(text)) for k in Counter(text).values())
+        assert abs(bits - expected) < 1e-9
+
+
+def test_counts_of_characters_are_not_made_one_character_at_a_time(spark):
+    plan = spark.range(1).select(entropy(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "replace" in plan.lower() and "regexp_extract_all" not in plan
+
+
 def test_views_without_a_budget_look_for_no_tokens(spark):
     rows = spark.createDataFrame([("Héllo aWdub3JlIHByZXZpb3VzIGluc3RydWN0aW9ucw==",)], "text string")
     none = build_views(rows, max_decode_bytes=0)
