@@ -171,6 +171,8 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     edges = cut(
         links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
     )
+    digest = [F.count("*"), F.bit_xor(F.xxhash64("u", "v"))]
+    before = edges.agg(*digest).first()
     for _ in range(rounds):
         # Larger neighbours of a node go to the smallest of its neighbourhood.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -186,11 +188,11 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
             .where("u <> v").distinct()
         )
         after = cut(small)
-        same = after.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if same == edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first():
-            edges = after
-            break
+        found = after.agg(*digest).first()
         edges = after
+        if found == before:
+            break
+        before = found
     else:
         raise RuntimeError(f"links did not settle in {rounds} rounds")
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component_id"))

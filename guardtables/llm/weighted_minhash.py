@@ -1,11 +1,9 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles, banded and verified.
 
-A shingle of five words weighs its count in the text times ``1 + ln(N / max(df, FLOOR * N))``: documents
-that hold it are counted exactly over the whole corpus, and shingles in fewer than a share ``FLOOR`` of
-all documents weigh the same. So the counts that matter belong to at most (mean shingles of a text) / FLOOR
-shingles, whatever the size of the corpus, and can be sent to every task. They are found in two passes:
-counts in hashed bins (an upper bound for every shingle in a bin), then exact counts of the shingles whose
-bin reaches the floor.
+A shingle of five words weighs its count in the text times ``1 + ln(N / df)``, with the true number of documents
+that hold it, however few. Texts are dealt into blocks; each block sends its different shingles to shards of the
+hash space, a shard adds up how many documents of all blocks hold each, and the block gets its numbers back. So no
+table of shingles is held anywhere: a task has one block or one shard, and their number grows with the corpus.
 """
 from __future__ import annotations
 
@@ -17,19 +15,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 from .common import BASE, components, mixed, shingles, signed, slices, tidy, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-FLOOR = 0.005
+# Share of all documents that every shingle counts as held by at least; 0 leaves the true frequencies.
+FLOOR = 0.0
 # Texts at the similarity agree in both samples of a band with probability 0.64: all 10 bands miss 4 pairs in 100,000.
 BANDS, ROWS = 10, 2
-BINS, BLOCK = 1 << 19, 1 << 14
 DRAWS = 1 << 17
+# Bytes of text of a block, and of those whose shingles make a shard (some eight bytes of hashes for seven of text).
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 32 << 20
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
 
 def distinct(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -48,55 +49,66 @@ def distinct(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 # --- document frequencies -----------------------------------------------------------------------------------------
 
+HELD = "block long, held binary, shard int"
 
-def _bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(BINS, np.int64)
-    for batch in batches:
-        for part in slices(batch, "text"):
-            runs, *_ = distinct(part)
-            total += np.bincount((runs >> np.uint64(64 - 19)).astype(np.int64), minlength=BINS)
-    for block in range(BINS // BLOCK):
-        mine = total[block * BLOCK : (block + 1) * BLOCK]
-        if mine.any():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([mine.tobytes()])], ["block", "n"])
 
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones and so on, which compress better than value by value."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("n").to_pylist(), strict=True):
-            total[block] = total.get(block, 0) + np.frombuffer(data, np.int64)
-    for block, sums in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sums.tobytes()])], ["block", "n"])
 
+def _values(data: bytes, dtype: type) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(dtype).ravel()
 
-def _counted(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy = sent.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                runs, *_ = distinct(part)
-                runs = runs[heavy[(runs >> np.uint64(64 - 19)).astype(np.int64)]]
-                found, counts = np.unique(runs, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(signed(found)), pa.array(counts)], ["shingle", "n"])
+
+def _blocks(texts: DataFrame, total_bytes: int) -> DataFrame:
+    """The texts dealt into blocks of like size; rows alike may lie in different ones."""
+    n = -(-total_bytes // BLOCK_BYTES) + 1
+    return texts.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(n)))
+
+
+def _block_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Different shingles of a block in order, and how many of its documents hold each."""
+    runs = [distinct(part)[0] for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *runs]), return_counts=True)
+
+
+def _sent_out(shards: int):
+    """A block's shingles by shard: the hash space is cut into ``shards`` stretches."""
+
+    def run(block: pa.Table) -> pa.Table:
+        keys, n = _block_counts(block.column("text").combine_chunks())
+        width = (1 << 64) // shards
+        ends = np.searchsorted(keys, np.array([s * width for s in range(1, shards)], np.uint64))
+        parts = [(s, k, m) for s, (k, m) in enumerate(zip(np.split(keys, ends), np.split(n, ends), strict=True)) if len(k)]
+        one = block.column("block")[0].as_py() if len(block) else 0
+        return pa.table({
+            "block": pa.array([one] * len(parts), pa.int64()), "shard": pa.array([s for s, *_ in parts], pa.int32()),
+            "keys": pa.array([_planes(k) for _, k, _ in parts], pa.binary()),
+            "n": pa.array([_planes(m.astype(np.uint32)) for *_, m in parts], pa.binary()),
+        })
 
     return run
 
 
-def frequencies(docs: DataFrame, floor: float = FLOOR) -> tuple[int, np.ndarray, np.ndarray]:
-    """The number of documents, the shingles that a share ``floor`` of them (and two) hold, and how many hold each."""
-    texts, spark = _texts(docs), docs.sparkSession
-    total = texts.count()
-    least = max(2.0, floor * total)
-    blocks = texts.mapInArrow(tidy(_bins), "block int, n binary").repartition(BINS // BLOCK, "block")
-    heavy = np.zeros(BINS, bool)
-    for row in blocks.mapInArrow(tidy(_summed), "block int, n binary").collect():  # one value for each of a fixed number of bins
-        heavy[row.block * BLOCK : (row.block + 1) * BLOCK] = np.frombuffer(row.n, np.int64) >= least
-    counted = texts.mapInArrow(tidy(_counted(spark.sparkContext.broadcast(heavy))), "shingle long, n long")
-    rows = counted.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy("shingle").toPandas()
-    keys = rows["shingle"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return total, keys[order], rows["n"].to_numpy(np.int64)[order]
+def _added_up(shard: pa.Table) -> pa.Table:
+    """For each block of a shard how many documents of all blocks hold its shingles, in their order."""
+    keys = [_values(k, np.uint64) for k in shard.column("keys").to_pylist()]
+    n = np.concatenate([_values(m, np.uint32) for m in shard.column("n").to_pylist()])
+    found, place = np.unique(np.concatenate(keys), return_inverse=True)
+    held = np.bincount(place, n, len(found)).astype(np.uint32)[place]
+    parts = np.split(held, np.cumsum([len(k) for k in keys])[:-1])
+    return pa.table({
+        "block": shard.column("block"), "held": pa.array([_planes(p) for p in parts], pa.binary()), "shard": shard.column("shard"),
+    })
+
+
+def frequencies(blocks: DataFrame, total_bytes: int) -> DataFrame:
+    """How many documents hold each shingle of a block: ``block``, ``shard`` and ``held``, in the order of the hashes."""
+    shards = -(-total_bytes // SHARD_BYTES) + 1
+    sent = blocks.groupBy("block").applyInArrow(_sent_out(shards), "block long, shard int, keys binary, n binary")
+    return sent.groupBy("shard").applyInArrow(_added_up, HELD)
 
 
 # --- sampling -----------------------------------------------------------------------------------------------------
@@ -104,22 +116,15 @@ def frequencies(docs: DataFrame, floor: float = FLOOR) -> tuple[int, np.ndarray,
 
 @dataclass
 class Weights:
-    """Weights of shingles; the common ones by the table, all others alike."""
+    """Weights of shingles in a corpus of ``total`` documents."""
 
     total: int
-    known: np.ndarray
-    counts: np.ndarray
-    floor: float
+    floor: float = FLOOR
 
-    def of(self, runs: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Weights of shingles that a text holds ``counts`` times."""
+    def of(self, counts: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Weights of shingles that a text holds ``counts`` times and ``held`` documents hold."""
         total = max(1, self.total)
-        least = max(1.0, self.floor * total)
-        held = np.full(len(runs), least)
-        if len(self.known):
-            spot = np.minimum(np.searchsorted(self.known, runs), len(self.known) - 1)
-            held = np.where(self.known[spot] == runs, np.maximum(self.counts[spot], least), held)
-        return counts * (1.0 + np.log(total / held))
+        return counts * (1.0 + np.log(total / np.maximum(held, max(1.0, self.floor * total))))
 
 
 class Sampler:
@@ -128,8 +133,8 @@ class Sampler:
     For sample k a shingle s draws (r, c, beta) with r, c from Gamma(2, 1) and beta uniform, by a
     hash of (s, k). With weight w: t = floor(ln w / r + beta), ln a = ln c - r (t - beta) - r; the
     shingle with the least a is the sample, together with t. Two texts give the same sample with a
-    probability of their weighted Jaccard similarity. Draws of most shingles, whose weight is the
-    common one, come from a table made once.
+    probability of their weighted Jaccard similarity. Draws of shingles that one text holds once, whose
+    weight is the same, come from a table made once.
     """
 
     def __init__(self, usual: float):
@@ -137,10 +142,10 @@ class Sampler:
         self.r, c = random.gamma(2.0, 1.0, DRAWS), random.gamma(2.0, 1.0, DRAWS)
         self.c, self.beta = np.log(c), random.random(DRAWS)
         self.usual = usual
-        self.value, self.level = self.draw(np.arange(DRAWS), np.full(DRAWS, usual))
+        self.value, self.level = self.draw(np.arange(DRAWS), np.full(DRAWS, np.log(usual)))
 
-    def draw(self, at: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        level = np.floor(np.log(weight) / self.r[at] + self.beta[at])
+    def draw(self, at: np.ndarray, log_weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        level = np.floor(log_weight / self.r[at] + self.beta[at])
         return self.c[at] - self.r[at] * (level - self.beta[at] + 1), level
 
     def bands(self, runs: np.ndarray, weight: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -151,11 +156,12 @@ class Sampler:
             return out
         starts, sizes = begins[:-1][filled], np.diff(begins)[filled]
         odd = np.flatnonzero(weight != self.usual)
+        log_odd = np.log(weight[odd])
         for k in range(BANDS * ROWS):
             at = (mixed(runs ^ np.uint64((k + 1) * BASE % (1 << 64))) >> np.uint64(64 - 17)).astype(np.int64)
             value, level = self.value[at], None
             if len(odd):
-                value[odd], level = self.draw(at[odd], weight[odd])
+                value[odd], level = self.draw(at[odd], log_odd)
             least = np.minimum.reduceat(value, starts)
             hits = np.flatnonzero(value == np.repeat(least, sizes))
             _, one = np.unique(np.searchsorted(starts, hits, side="right"), return_index=True)
@@ -169,33 +175,46 @@ class Sampler:
         return out
 
 
-def _signatures(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights: Weights = sent.value
-        sampler = Sampler(float(weights.of(np.zeros(1, np.uint64) - np.uint64(1), np.ones(1))[0]))
-        for batch in batches:
-            for part in slices(batch, "text"):
-                runs, counts, begins, hashes, at = distinct(part)
-                keys = sampler.bands(runs, weights.of(runs, counts), begins)
-                # The text's words in order, as a 128-bit fingerprint.
-                place = mixed(np.arange(len(hashes), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64))
-                prints = [
-                    np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes + salt ^ place))])
-                    for salt in (np.uint64(0), np.uint64(BASE))
-                ]
-                prints = [signed(mixed(p[at[1:]] - p[at[:-1]])) for p in prints]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.diff(at)),
-                        pa.FixedSizeListArray.from_arrays(pa.array(signed(keys.ravel())), BANDS).cast(pa.list_(pa.int64())),
-                    ],
-                    ["doc_id", "print_a", "print_b", "n_words", "bands"],
-                )
+PACKED = "zstd"
+
+
+def _signatures(weights: Weights):
+    """Fingerprint, keys of all bands and packed document frequencies of each text of a block."""
+
+    def run(block: pa.Table, counted: pa.Table) -> pa.Table:
+        sampler = Sampler(float(weights.of(np.ones(1), np.ones(1))[0]))
+        texts = pa.RecordBatch.from_arrays([c.combine_chunks() for c in block.columns], block.column_names)
+        known, _ = _block_counts(texts.column("text"))
+        order = np.argsort(counted.column("shard").to_numpy())
+        listed = counted.column("held").to_pylist()
+        df = np.concatenate([np.zeros(0, np.uint32), *(_values(listed[i], np.uint32) for i in order)])
+        out = []
+        for part in slices(texts, "text"):
+            runs, counts, begins, hashes, at = distinct(part)
+            held = df[np.searchsorted(known, runs)]
+            keys = sampler.bands(runs, weights.of(counts, held), begins)
+            # The text's words in order, as a 128-bit fingerprint.
+            place = mixed(np.arange(len(hashes), dtype=np.uint64) - np.repeat(at[:-1], np.diff(at)).astype(np.uint64))
+            prints = [
+                np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes + salt ^ place))])
+                for salt in (np.uint64(0), np.uint64(BASE))
+            ]
+            prints = [signed(mixed(p[at[1:]] - p[at[:-1]])) for p in prints]
+            packed = [pa.compress(_planes(held[a:b]), PACKED, asbytes=True) if b > a else b"" for a, b in zip(begins[:-1], begins[1:], strict=True)]
+            out.append(pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"), part.column("h"), pa.array(prints[0]), pa.array(prints[1]), pa.array(np.diff(at)),
+                    pa.FixedSizeListArray.from_arrays(pa.array(signed(keys.ravel())), BANDS).cast(pa.list_(pa.int64())),
+                    pa.array(packed, pa.binary()),
+                ],
+                ["doc_id", "h", "print_a", "print_b", "n_words", "bands", "held"],
+            ))
+        return pa.Table.from_batches(out)
 
     return run
 
 
-SIGNATURES = "doc_id long, print_a long, print_b long, n_words long, bands array<long>"
+SIGNATURES = "doc_id long, h long, print_a long, print_b long, n_words long, bands array<long>, held binary"
 
 
 # --- verification -------------------------------------------------------------------------------------------------
@@ -213,10 +232,12 @@ MEASURED = "v long, u long, similarity double, shared double, total double"
 ADDED = "v long, u long, shingle long, gain double"
 
 
-def _weighed(texts: pa.Array, weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted shingles of each text and their weights."""
+def _weighed(texts: pa.Array, held: list[bytes], weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted shingles of each text and their weights, by the packed frequencies of each."""
     runs, counts, begins, *_ = distinct(pa.RecordBatch.from_arrays([texts], ["text"]))
-    heavy = weights.of(runs, counts)
+    sizes = np.diff(begins).tolist()
+    df = [_values(pa.decompress(h, 4 * n, PACKED, asbytes=True), np.uint32) for h, n in zip(held, sizes, strict=True) if n]
+    heavy = weights.of(counts, np.concatenate([np.zeros(0, np.uint32), *df]))
     return [(runs[a:b], heavy[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
 
 
@@ -224,17 +245,19 @@ def _pairs(batch: pa.RecordBatch, weights: Weights):
     """Both sides of each pair of a batch; a centre's text, which many rows share, is cut into shingles once."""
     for part in slices(batch, "text"):
         centres = part.column("text_u").dictionary_encode()
-        known = _weighed(centres.dictionary, weights)
-        mine = _weighed(part.column("text"), weights)
-        yield part, [(a, known[u]) for a, u in zip(mine, centres.indices.to_pylist(), strict=True)]
+        at = centres.indices.to_numpy()
+        _, first = np.unique(at, return_index=True)
+        known = _weighed(centres.dictionary, part.column("held_u").take(pa.array(first)).to_pylist(), weights)
+        mine = _weighed(part.column("text"), part.column("held").to_pylist(), weights)
+        yield part, [(a, known[u]) for a, u in zip(mine, at.tolist(), strict=True)]
 
 
-def _compare(sent):
+def _compare(weights: Weights):
     """Exact similarities of pairs of texts, what they share and the weight of ``v``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, sides in _pairs(batch, sent.value):
+            for part, sides in _pairs(batch, weights):
                 measured = []
                 for (a, wa), (b, wb) in sides:
                     shared, _ = shared_weight(a, wa, b, wb)
@@ -249,12 +272,12 @@ def _compare(sent):
     return run
 
 
-def _added(sent):
+def _added(weights: Weights):
     """The shingles that ``v`` adds to ``u``, one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, sides in _pairs(batch, sent.value):
+            for part, sides in _pairs(batch, weights):
                 more, gains = [np.zeros(0, np.uint64)], [np.zeros(0)]
                 for (a, wa), (b, wb) in sides:
                     _, gain = shared_weight(a, wa, b, wb)
@@ -291,9 +314,13 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     least common ones first: the weight left after the prefix is below what x needs with any partner, and two
     members that share enough share a shingle in both prefixes.
     """
-    spark, texts = docs.sparkSession, _texts(docs)
-    sent = spark.sparkContext.broadcast(Weights(*frequencies(docs), FLOOR))
-    signatures = cut(texts.mapInArrow(tidy(_signatures(sent)), SIGNATURES).where("doc_id is not null"))
+    texts = _texts(docs)
+    total, total_bytes = texts.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    weights, blocks = Weights(total), _blocks(texts, total_bytes)
+    signed_texts = blocks.groupBy("block").cogroup(frequencies(blocks, total_bytes).groupBy("block"))
+    signatures = cut(signed_texts.applyInArrow(_signatures(weights), SIGNATURES).where("doc_id is not null"))
+    del blocks, signed_texts
+    release(docs.sparkSession)
     classes = signatures.where("n_words > 0").groupBy("print_a", "print_b").agg(
         F.min("doc_id").alias("rep"), F.min("bands").alias("bands")
     )
@@ -311,22 +338,27 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     placed = met.join(centres, ["band", "key"])
     stars = placed.where("rep <> u").select(F.col("rep").alias("v"), "u").distinct()
     # Texts travel instead of their shingles, which take twice their bytes; rows that repeat a document once.
-    placed_texts = texts.join(placed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").withColumn(
-        "h", F.xxhash64("text")
-    ).dropDuplicates(["doc_id", "h"])
+    ids = placed.select(F.col("rep").alias("doc_id")).distinct()
+    held = signatures.select("doc_id", "h", "held").join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "h"])
+    # Joined by the id alone, as pairs are, so that texts are shuffled once: the hash is no key of the join.
+    placed_texts = texts.alias("t").join(
+        held.alias("s"), (F.col("t.doc_id") == F.col("s.doc_id")) & (F.col("t.h").bitwiseXOR(F.col("s.h")) == 0)
+    ).select("t.doc_id", "t.text", "t.h", "s.held").dropDuplicates(["doc_id", "h"])
 
     def with_texts(pairs: DataFrame) -> DataFrame:
-        """Pairs with the texts of both."""
-        one = placed_texts.select(F.col("doc_id").alias("v"), "text")
-        two = placed_texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"))
+        """Pairs with the texts of both and their frequencies."""
+        one = placed_texts.select(F.col("doc_id").alias("v"), "text", "held")
+        two = placed_texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"), F.col("held").alias("held_u"))
         both = pairs.select("v", "u").join(one, "v").join(two, "u")
-        return both.select("v", "u", *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "text_u")))
+        return both.select("v", "u", *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "text_u")), "held", "held_u")
 
     linked = F.col("similarity") >= similarity - 1e-12
-    measured = cut(with_texts(stars).mapInArrow(tidy(_compare(sent)), MEASURED))
+    measured = cut(with_texts(stars).mapInArrow(tidy(_compare(weights)), MEASURED))
+    release(docs.sparkSession)
     links = measured.where(linked).select("v", "u", "similarity")
     # Components so far; only centres with members in different ones go on.
     joined = components(links, "v", "u")
+    release(docs.sparkSession)
     around = measured.select("v", "u", "shared", "total").join(joined.withColumnRenamed("id", "v"), "v", "left").select(
         "u", "v", "shared", "total", F.coalesce("component_id", "v").alias("component")
     )
@@ -347,7 +379,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
 
     # Of a pair that the centre shows, neither is smaller than ``similarity`` times the other: each shares that much.
     within = members_of.where(F.col("shared") >= similarity * F.col("total") - 1e-9)
-    added = with_texts(members_of).mapInArrow(tidy(_added(sent)), ADDED).join(members_of, ["v", "u"])
+    added = with_texts(members_of).mapInArrow(tidy(_added(weights)), ADDED).join(members_of, ["v", "u"])
     common = added.groupBy("u", "shingle").agg(
         F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("holders")
     ).where("a <> b")
@@ -365,7 +397,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     pairs = (
         meeting(within, ["u"], inside).union(meeting(prefix, ["u", "shingle"], inside + beyond)).distinct()
     )
-    more = with_texts(pairs).mapInArrow(tidy(_compare(sent)), MEASURED).where(linked)
+    more = with_texts(pairs).mapInArrow(tidy(_compare(weights)), MEASURED).where(linked)
     return members, cut(links.union(more.select("v", "u", "similarity")))
 
 

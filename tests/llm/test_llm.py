@@ -262,6 +262,25 @@ def test_near_duplicates(spark, nothing):
     assert weighted_minhash.near_duplicates(nothing).count() == 0
 
 
+def test_rare_shingles_weigh_by_their_own_frequency(spark, monkeypatch):
+    """Similarities by true document frequencies, also of shingles that few of many documents hold, over several blocks and shards."""
+    monkeypatch.setattr(weighted_minhash, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(weighted_minhash, "SHARD_BYTES", 8000)
+    one = prose(70, 60).split()
+    texts = {0: " ".join(one), 1: " ".join([*one[:-1], "other"]), 2: " ".join([*one[:-1], "third", "word"])}
+    texts |= {10 + i: prose(1000 + i, 6) for i in range(800)}
+    sets = {i: Counter(tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)) for i, t in texts.items()}
+    held = Counter(s for c in sets.values() for s in c)
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    members, links = weighted_minhash.near_links(frame)
+    found = {(min(r.v, r.u), max(r.v, r.u)): r.similarity for r in links.collect()}
+    assert members.count() == len(texts) and len(found) >= 2 and {i for pair in found for i in pair} == {0, 1, 2}
+    for (i, j), similarity in found.items():
+        weight = {s: 1 + math.log(len(texts) / held[s]) for s in set(sets[i]) | set(sets[j])}
+        low = sum(min(sets[i][s], sets[j][s]) * w for s, w in weight.items())
+        assert similarity == pytest.approx(low / sum(max(sets[i][s], sets[j][s]) * w for s, w in weight.items()))
+
+
 def removed_by_hand(texts: list[bytes]) -> list[np.ndarray]:
     places = defaultdict(list)
     for d, t in enumerate(texts):
