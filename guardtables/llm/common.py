@@ -166,7 +166,8 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
     neighbours, then the smaller ones), so the number of rounds grows with the logarithm of a
     component's size. Rounds are cut at checkpoints; only their counts reach the driver. A
     node with very many neighbours is an aggregate with a map-side part and a join that adaptive
-    execution can split, never a collected list.
+    execution can split, never a collected list. Joins are by sorted rows, as both sides lie by the same key
+    already: small sides would be built in the driver for a broadcast, two a round.
     """
     edges = cut(
         links.select(F.least(a, b).alias("v"), F.greatest(a, b).alias("u")).where("u <> v").distinct()
@@ -177,11 +178,11 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 40) -> DataFrame:
         # Larger neighbours of a node go to the smallest of its neighbourhood.
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         # Smaller neighbours of a node, and the node, go to the smallest of them.
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(small_least, "u")
+        joined = large.join(small_least.hint("merge"), "u")
         small = (
             joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(small_least.select("u", F.col("m").alias("v")))
