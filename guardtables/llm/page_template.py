@@ -6,8 +6,10 @@ are different tokens. Over the pages of one host:
 1. A token's occurrence vector says how often each page holds it. Tokens with equal vectors form an equivalence
    class; vectors are compared by a commutative hash over (page, count), so no vector is ever collected.
 2. A class is valid when at least a share ``SUPPORT`` of the host's pages hold it; its tokens are then part of the
-   template. Classes nest as the paths of their tokens do: a class lies in the slot of the closest token above it.
-3. What a page holds between template tokens is the content of slots. Slots in template tokens that stand for menus,
+   template. Classes nest as the paths of their tokens do: a class lies in the slot of the closest token above it. A
+   class bounds text only on pages that hold all of it.
+3. What pages hold between template tokens is the content of slots: a slot has all text down to the next template
+   tokens, also that in tokens of no valid class. Slots in template tokens that stand for menus,
    headers, footers, sidebars, notices, adverts, forms or comments are not main text, by the tag's name or the words
    of its class, id or role. Of the rest the article's slots are taken: on a page that holds an article or main token of
    the host's template, those below it and below other article or main elements of the page; on any other page, those
@@ -181,16 +183,14 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def classes(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """Tokens of valid equivalence classes: ``host``, ``token``, ``class`` (the vector's hash), ``pages``, ``total``,
-    ``chars``, ``linked`` and ``place`` (mean position).
-
-    ``pages`` has ``key`` (a number for each row), ``url`` and ``html``. Counts are added up in the tasks
-    before the shuffle, so a host with a third of all pages is no larger group than others.
-    """
-    counted = pages.mapInArrow(tidy(_counts), COUNTS).groupBy("host", "token").agg(
+def _vectors(pages: DataFrame) -> DataFrame:
+    """Occurrence vectors of all tokens of each host; written once, as classes and slots read them."""
+    return cut(pages.mapInArrow(tidy(_counts), COUNTS).groupBy("host", "token").agg(
         *[F.sum(c).alias(c) for c in ("pages", "total", "chars", "linked", "place")], F.bit_xor("vector").alias("vector")
-    )
+    ))
+
+
+def _valid(counted: DataFrame, support: float) -> DataFrame:
     hosts = counted.where("token = ''").select("host", F.col("pages").alias("all_pages"))
     valid = counted.where("token <> ''").join(hosts, "host").where(F.col("pages") >= support * F.col("all_pages"))
     # Equal vectors have equal hashes and equal numbers of pages and tokens.
@@ -200,12 +200,40 @@ def classes(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
     )
 
 
+def classes(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """Tokens of valid equivalence classes: ``host``, ``token``, ``class`` (the vector's hash), ``pages``, ``total``,
+    ``chars``, ``linked`` and ``place`` (mean position).
+
+    ``pages`` has ``key`` (a number for each row), ``url`` and ``html``. Counts are added up in the tasks
+    before the shuffle, so a host with a third of all pages is no larger group than others.
+    """
+    return _valid(_vectors(pages), support)
+
+
+def _slots(counted: DataFrame, valid: DataFrame) -> DataFrame:
+    """Text below each template token that stands in tokens of no valid class: ``host``, ``token``, ``chars_below``, ``linked_below``."""
+    rest = counted.where("token <> '' and chars > 0").join(valid.select("host", "token"), ["host", "token"], "left_anti")
+    tags = F.split("token", ">")
+    above = rest.select("host", F.col("token").alias("own"), "chars", "linked", tags.alias("tags")).select(
+        "host", "own", "chars", "linked", "tags", F.explode(F.sequence(F.lit(1), F.size("tags") - 1)).alias("depth")
+    ).withColumn("token", F.array_join(F.slice("tags", 1, F.col("depth")), ">"))
+    closest = above.join(valid.select("host", "token"), ["host", "token"]).groupBy("host", "own").agg(
+        F.max_by("token", "depth").alias("token"), F.first("chars").alias("chars"), F.first("linked").alias("linked")
+    )
+    return closest.groupBy("host", "token").agg(F.sum("chars").alias("chars_below"), F.sum("linked").alias("linked_below"))
+
+
 def templates(pages: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The template of each host: ``host`` and ``tokens`` in order, each with its class, text and links.
+    """The template of each host: ``host`` and ``tokens`` in order, each with its class, and the text and links of its slot.
 
     A template holds at most (tokens of a page) / support tokens, however many pages the host has.
     """
-    return classes(pages, support).groupBy("host").agg(
+    counted = _vectors(pages)
+    valid = _valid(counted, support)
+    whole = valid.join(_slots(counted, valid), ["host", "token"], "left").withColumns(
+        {c: F.col(c) + F.coalesce(f"{c}_below", F.lit(0)) for c in ("chars", "linked")}
+    )
+    return whole.groupBy("host").agg(
         F.sort_array(F.collect_list(F.struct("place", "token", "class", "total", "chars", "linked"))).alias("tokens")
     )
 
@@ -228,6 +256,9 @@ class Slots:
 
     def __init__(self, tokens: list[dict]):
         self.template = {t["token"]: t for t in tokens}
+        self.members: dict[int, set[str]] = {}
+        for t in tokens:
+            self.members.setdefault(t["class"], set()).add(t["token"])
         self.roots = [t for t in self.template if self._open(t) and _main(t.rpartition(">")[2])]
         # The classes nest by their paths: of the article's tokens the outermost ones bound the main text.
         self.roots = [t for t in self.roots if not any(t.startswith(r + ">") for r in self.roots)]
@@ -245,8 +276,8 @@ class Slots:
         return True
 
     def roots_on(self, paths: set[str]) -> tuple[str, ...]:
-        """The tokens that bound the main text of a page with these tokens; none where it has no root of the host."""
-        found = {r for r in self.roots if r in paths}
+        """The tokens that bound the main text of a page with these tokens; none where it holds no root's class of the host."""
+        found = {r for r in self.roots if r in paths and self.members[self.template[r]["class"]] <= paths}
         if found:  # articles beside it are main text too, under whatever names their class has
             found |= {p for p in paths if p.rpartition(">")[2].split(".")[0] in MAIN and self._open(p)}
         return tuple(sorted(found))

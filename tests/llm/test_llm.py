@@ -424,6 +424,21 @@ def test_pages(spark):
     assert page_template.extract(frame.limit(0)).count() == 0
 
 
+def test_a_slot_holds_all_text_down_to_the_next_class(spark):
+    """Links in tokens that single pages have are part of the template's slot around them, which is a menu then."""
+    page = "<html><body><div class='box'><div class='{0}'><a href='/'>Home sweet home</a></div></div><div class='words'><p>text {0}</p></div></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(w)) for i, w in enumerate(["one", "two", "three", "four"])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    template = page_template.templates(frame.selectExpr("page_id as key", "url", "html")).first().tokens
+    box = next(t for t in template if t.token == ">html>body>div.box")
+    assert box.chars == box.linked == 4 * len("Homesweethome") and not any("div.one" in t.token for t in template)
+    found = {r.row.page_id: r.main_text for r in page_template.extract(frame).collect()}
+    assert found == {i: f"text {w}" for i, w in enumerate(["one", "two", "three", "four"])}
+    slots = page_template.Slots([t.asDict() for t in template] + [{"token": ">html>body>article", "class": template[0]["class"], "chars": 0, "linked": 0}])
+    whole = {t.token for t in template} | {">html>body>article"}
+    assert slots.roots_on(whole) == (">html>body>article",) and slots.roots_on({">html", ">html>body>article"}) == ()
+
+
 def test_pages_of_another_layout_keep_their_text(spark):
     def page(i, before="<body>", begin="<article class='post'>", end="</article>", more=""):
         return f"<html>{before}<nav><a href='/'>Home</a></nav>{begin}<p>text {i}</p>{end}{more}<footer>site</footer></body></html>"
