@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut, release
-from .common import BASE, components, mixed, shingles, signed, slices, tidy, words
+from .common import BASE, components, give_back, mixed, shingles, signed, slices, tidy, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 # Share of all documents that every shingle counts as held by at least; 0 leaves the true frequencies.
@@ -25,7 +25,9 @@ FLOOR = 0.0
 BANDS, ROWS = 10, 2
 DRAWS = 1 << 17
 # Bytes of text of a block, and of those whose shingles make a shard (some eight bytes of hashes for seven of text).
-BLOCK_BYTES, SHARD_BYTES = 4 << 20, 32 << 20
+BLOCK_BYTES, SHARD_BYTES = 4 << 20, 12 << 20
+# Text of a block handled at once.
+PART_BYTES = 1 << 20
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -70,7 +72,7 @@ def _blocks(texts: DataFrame, total_bytes: int) -> DataFrame:
 
 def _block_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Different shingles of a block in order, and how many of its documents hold each."""
-    runs = [distinct(part)[0] for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text")]
+    runs = [distinct(part)[0] for part in slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", PART_BYTES)]
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *runs]), return_counts=True)
 
 
@@ -83,6 +85,7 @@ def _sent_out(shards: int):
         ends = np.searchsorted(keys, np.array([s * width for s in range(1, shards)], np.uint64))
         parts = [(s, k, m) for s, (k, m) in enumerate(zip(np.split(keys, ends), np.split(n, ends), strict=True)) if len(k)]
         one = block.column("block")[0].as_py() if len(block) else 0
+        give_back()
         return pa.table({
             "block": pa.array([one] * len(parts), pa.int64()), "shard": pa.array([s for s, *_ in parts], pa.int32()),
             "keys": pa.array([_planes(k) for _, k, _ in parts], pa.binary()),
@@ -99,6 +102,8 @@ def _added_up(shard: pa.Table) -> pa.Table:
     found, place = np.unique(np.concatenate(keys), return_inverse=True)
     held = np.bincount(place, n, len(found)).astype(np.uint32)[place]
     parts = np.split(held, np.cumsum([len(k) for k in keys])[:-1])
+    del found, place
+    give_back()
     return pa.table({
         "block": shard.column("block"), "held": pa.array([_planes(p) for p in parts], pa.binary()), "shard": shard.column("shard"),
     })
@@ -189,7 +194,7 @@ def _signatures(weights: Weights):
         listed = counted.column("held").to_pylist()
         df = np.concatenate([np.zeros(0, np.uint32), *(_values(listed[i], np.uint32) for i in order)])
         out = []
-        for part in slices(texts, "text"):
+        for part in slices(texts, "text", PART_BYTES):
             runs, counts, begins, hashes, at = distinct(part)
             held = df[np.searchsorted(known, runs)]
             keys = sampler.bands(runs, weights.of(counts, held), begins)
@@ -209,6 +214,7 @@ def _signatures(weights: Weights):
                 ],
                 ["doc_id", "h", "print_a", "print_b", "n_words", "bands", "held"],
             ))
+        give_back()
         return pa.Table.from_batches(out)
 
     return run
