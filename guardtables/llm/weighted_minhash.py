@@ -4,6 +4,10 @@ A shingle of five words weighs its count in the text times ``1 + ln(N / df)``, w
 that hold it, however few. Texts are dealt into blocks; each block sends its different shingles to shards of the
 hash space, a shard adds up how many documents of all blocks hold each, and the block gets its numbers back. So no
 table of shingles is held anywhere: a task has one block or one shard, and their number grows with the corpus.
+
+Copies of a text make what they share common, so that in a large group a few changed words would outweigh it. A copy
+that is like the centre of its group by plain counts is therefore judged once more, with the logarithm of the
+holders for shingles that the group itself made common; passages common elsewhere keep their weight.
 """
 from __future__ import annotations
 
@@ -131,6 +135,10 @@ class Weights:
         total = max(1, self.total)
         return counts * (1.0 + np.log(total / np.maximum(held, max(1.0, self.floor * total))))
 
+    def among_copies(self, counts: np.ndarray, held: np.ndarray, copies: float) -> np.ndarray:
+        """Weights inside a group of ``copies``: where they are most of the ``held`` documents, these count as 1 + ln ``held``."""
+        return self.of(counts, np.where(held <= 2 * copies, 1.0 + np.log(np.maximum(held, 1)), held))
+
 
 class Sampler:
     """Improved consistent weighted sampling with draws from a fixed table.
@@ -234,17 +242,18 @@ def shared_weight(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray)
     return float(both.sum()), wa - both
 
 
-MEASURED = "v long, u long, similarity double, shared double, total double"
+MEASURED = "v long, u long, similarity double, shared double, total double, total_u double, alike double"
 ADDED = "v long, u long, shingle long, gain double"
 
 
-def _weighed(texts: pa.Array, held: list[bytes], weights: Weights) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Sorted shingles of each text and their weights, by the packed frequencies of each."""
+def _weighed(texts: pa.Array, held: list[bytes], weights: Weights) -> list[tuple[np.ndarray, ...]]:
+    """Sorted shingles of each text, their weights, counts and frequencies, by the packed frequencies of each."""
     runs, counts, begins, *_ = distinct(pa.RecordBatch.from_arrays([texts], ["text"]))
     sizes = np.diff(begins).tolist()
     df = [_values(pa.decompress(h, 4 * n, PACKED, asbytes=True), np.uint32) for h, n in zip(held, sizes, strict=True) if n]
-    heavy = weights.of(counts, np.concatenate([np.zeros(0, np.uint32), *df]))
-    return [(runs[a:b], heavy[a:b]) for a, b in zip(begins[:-1], begins[1:], strict=True)]
+    df = np.concatenate([np.zeros(0, np.uint32), *df])
+    columns = (runs, weights.of(counts, df), counts.astype(np.float64), df)
+    return [tuple(c[a:b] for c in columns) for a, b in zip(begins[:-1], begins[1:], strict=True)]
 
 
 def _pairs(batch: pa.RecordBatch, weights: Weights):
@@ -258,21 +267,32 @@ def _pairs(batch: pa.RecordBatch, weights: Weights):
         yield part, [(a, known[u]) for a, u in zip(mine, at.tolist(), strict=True)]
 
 
+def _jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float, float, float]:
+    """Weighted Jaccard similarity of two sorted sets, the weight they share and the weight of each."""
+    shared, _ = shared_weight(a, wa, b, wb)
+    one, two = float(wa.sum()), float(wb.sum())
+    whole = one + two - shared
+    return shared / whole if whole > 0 else 0.0, shared, one, two
+
+
 def _compare(weights: Weights):
-    """Exact similarities of pairs of texts, what they share and the weight of ``v``."""
+    """Exact similarities of pairs of texts, what they share, the weights of both and the similarity by plain counts.
+
+    Pairs with ``copies`` are members of a group of so many and weigh their shingles accordingly.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, sides in _pairs(batch, weights):
                 measured = []
-                for (a, wa), (b, wb) in sides:
-                    shared, _ = shared_weight(a, wa, b, wb)
-                    total = float(wa.sum())
-                    whole = total + float(wb.sum()) - shared
-                    measured.append((shared / whole if whole > 0 else 0.0, shared, total))
-                columns = [pa.array([m[i] for m in measured], pa.float64()) for i in range(3)]
+                for ((a, wa, na, da), (b, wb, nb, db)), copies in zip(sides, part.column("copies").to_pylist(), strict=True):
+                    if copies > 0:
+                        wa, wb = weights.among_copies(na, da, copies), weights.among_copies(nb, db, copies)
+                    measured.append((*_jaccard(a, wa, b, wb), _jaccard(a, na, b, nb)[0]))
+                columns = [pa.array([m[i] for m in measured], pa.float64()) for i in range(5)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("v"), part.column("u"), *columns], ["v", "u", "similarity", "shared", "total"]
+                    [part.column("v"), part.column("u"), *columns],
+                    ["v", "u", "similarity", "shared", "total", "total_u", "alike"],
                 )
 
     return run
@@ -285,7 +305,7 @@ def _added(weights: Weights):
         for batch in batches:
             for part, sides in _pairs(batch, weights):
                 more, gains = [np.zeros(0, np.uint64)], [np.zeros(0)]
-                for (a, wa), (b, wb) in sides:
+                for (a, wa, *_), (b, wb, *_) in sides:
                     _, gain = shared_weight(a, wa, b, wb)
                     more.append(a[gain > 0])
                     gains.append(gain[gain > 0])
@@ -319,6 +339,9 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     g = s / (1 + s) T - I / 2 also E >= gx + gy. So x meets others only by a prefix of its added shingles, the
     least common ones first: the weight left after the prefix is below what x needs with any partner, and two
     members that share enough share a shingle in both prefixes.
+
+    A member that is like its centre by plain counts, but not with these weights, is compared with it once more as
+    one of a group. The group counts as many documents as hold a shingle of the centre among the members on average.
     """
     texts = _texts(docs)
     total, total_bytes = texts.select(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -328,12 +351,12 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     del blocks, signed_texts
     release(docs.sparkSession)
     classes = signatures.where("n_words > 0").groupBy("print_a", "print_b").agg(
-        F.min("doc_id").alias("rep"), F.min("bands").alias("bands")
+        F.min("doc_id").alias("rep"), F.min("bands").alias("bands"), F.count("*").alias("copies")
     )
-    members = signatures.join(classes.drop("bands"), ["print_a", "print_b"], "left").select(
+    members = signatures.join(classes.drop("bands", "copies"), ["print_a", "print_b"], "left").select(
         "doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("rep")).otherwise(F.col("doc_id")).alias("rep")
     )
-    buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    buckets = classes.select("rep", "copies", F.posexplode("bands").alias("band", "key"))
     # The centre of a bucket is the member that meets most others over all its buckets: of near copies the one that
     # was changed least.
     sized = buckets.join(
@@ -355,11 +378,11 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
         """Pairs with the texts of both and their frequencies."""
         one = placed_texts.select(F.col("doc_id").alias("v"), "text", "held")
         two = placed_texts.select(F.col("doc_id").alias("u"), F.col("text").alias("text_u"), F.col("held").alias("held_u"))
-        both = pairs.select("v", "u").join(one, "v").join(two, "u")
-        return both.select("v", "u", *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "text_u")), "held", "held_u")
+        both = pairs.select("v", "u", "copies").join(one, "v").join(two, "u")
+        return both.select("v", "u", "copies", *(F.coalesce(c, F.lit("")).alias(c) for c in ("text", "text_u")), "held", "held_u")
 
-    linked = F.col("similarity") >= similarity - 1e-12
-    measured = cut(with_texts(stars).mapInArrow(tidy(_compare(weights)), MEASURED))
+    linked, alone = F.col("similarity") >= similarity - 1e-12, F.lit(0.0).alias("copies")
+    measured = cut(with_texts(stars.select("v", "u", alone)).mapInArrow(tidy(_compare(weights)), MEASURED))
     release(docs.sparkSession)
     links = measured.where(linked).select("v", "u", "similarity")
     # Components so far; only centres with members in different ones go on.
@@ -385,7 +408,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
 
     # Of a pair that the centre shows, neither is smaller than ``similarity`` times the other: each shares that much.
     within = members_of.where(F.col("shared") >= similarity * F.col("total") - 1e-9)
-    added = with_texts(members_of).mapInArrow(tidy(_added(weights)), ADDED).join(members_of, ["v", "u"])
+    added = with_texts(members_of.select("v", "u", alone)).mapInArrow(tidy(_added(weights)), ADDED).join(members_of, ["v", "u"])
     common = added.groupBy("u", "shingle").agg(
         F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("holders")
     ).where("a <> b")
@@ -403,7 +426,15 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     pairs = (
         meeting(within, ["u"], inside).union(meeting(prefix, ["u", "shingle"], inside + beyond)).distinct()
     )
-    more = with_texts(pairs).mapInArrow(tidy(_compare(weights)), MEASURED).where(linked)
+    # Members like their centre by plain counts, once more among the copies of their group.
+    sizes = met.select(F.col("rep").alias("v"), "copies").distinct()
+    unlinked = measured.where((F.col("alike") >= similarity - 1e-12) & ~linked).select("v", "u").distinct()
+    around_them = measured.join(unlinked.select("u").distinct(), "u", "left_semi").join(sizes, "v")
+    groups = around_them.groupBy("u").agg(F.sum(F.col("copies") * F.col("shared") / F.col("total_u")).alias("held")).join(
+        sizes.withColumnRenamed("v", "u"), "u"
+    ).select("u", (F.col("held") + F.col("copies")).alias("copies"))
+    again = pairs.select("v", "u", alone).union(unlinked.join(groups, "u").select("v", "u", "copies"))
+    more = with_texts(again).mapInArrow(tidy(_compare(weights)), MEASURED).where(linked)
     return members, cut(links.union(more.select("v", "u", "similarity")))
 
 
@@ -412,7 +443,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     ``class_id`` is the smallest ``doc_id`` that links reach, itself included; ``kept`` says that
     it is the document's own. Texts link when the weighted Jaccard similarity of their five-word
-    TF-IDF shingles is at least ``similarity``. Texts of fewer than five words are one shingle;
+    TF-IDF shingles is at least ``similarity``, or that of a text and the centre of its group of copies
+    when shingles most of whose holders are in the group count as held by 1 + ln of the holders. Texts of fewer than five words are one shingle;
     null texts and texts without words link with nothing. Rows that repeat a ``doc_id`` are one
     document, which links by any of its texts; rows without a ``doc_id`` are left out.
     """

@@ -281,6 +281,23 @@ def test_rare_shingles_weigh_by_their_own_frequency(spark, monkeypatch):
         assert similarity == pytest.approx(low / sum(max(sets[i][s], sets[j][s]) * w for s, w in weight.items()))
 
 
+def test_near_copies_in_a_large_group(spark):
+    """Many copies with changes of their own do not make what they share weigh less than the changes; a common passage stays common."""
+    base, passage, texts = prose(90, 200).split(), prose(91, 104).split(), {}
+    for k in range(60):
+        w = list(base)
+        for at in (20 + k, 100 + k, 190 - k // 3):
+            w[at] = f"new{k}"
+        texts[k] = " ".join(w if k else base)
+        texts[100 + k] = " ".join([*passage, *prose(5000 + k, 12).split()])
+    texts |= {1000 + i: prose(2000 + i, 8) for i in range(340)}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {i for i, c in classes_by_hand(texts).items() if c == 0} == {0}
+    found = {r.doc_id: r.class_id for r in weighted_minhash.near_duplicates(frame).collect()}
+    assert {i for i, c in found.items() if c == 0} == set(range(60))
+    assert all(c == i for i, c in found.items() if i >= 100)
+
+
 def removed_by_hand(texts: list[bytes]) -> list[np.ndarray]:
     places = defaultdict(list)
     for d, t in enumerate(texts):
