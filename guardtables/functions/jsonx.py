@@ -178,10 +178,15 @@ def _below(node: Column, with_keys: bool) -> Column:
     members = F.flatten(
         F.zip_with(F.map_entries(F.from_json(text, "map<string,string>")), F.map_values(F.from_json(text, "map<string,variant>")), member)
     )
-    items = F.transform(
-        F.arrays_zip(F.from_json(text, "array<string>").alias("text"), F.from_json(text, "array<variant>").alias("value")), item
-    )
-    return F.when(node["kind"] == "O", members).otherwise(items)
+    # The only item of an array shows what it is by its first character; others are read a second time for their kinds.
+    first = F.when(text.startswith("["), F.translate(F.substring(text, 2, 1), '{["', "OAS"))
+
+    def items(texts: Column) -> Column:
+        every = F.transform(F.arrays_zip(texts.alias("text"), F.from_json(text, "array<variant>").alias("value")), item)
+        only = F.array(_node(F.concat(steps, F.array(F.lit("[0]"))), F.get(texts, F.lit(0)), first))
+        return F.when((F.size(texts) == 1) & first.isin("O", "A", "S"), only).otherwise(every)
+
+    return F.when(node["kind"] == "O", members).otherwise(let(F.from_json(text, "array<string>"), items))
 
 
 def unrolled(nodes: Column, levels: Column | int, with_keys: bool) -> Column:

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from guardtables.functions.jsonx import args_hash, is_object, json_leaves, read_leaves
+from guardtables.functions.jsonx import args_hash, explode_leaves, is_object, json_leaves, read_leaves
 from guardtables.functions.runs import bloom_of
 from guardtables.operators.injection import score_injection
 from guardtables.operators.views import build_views
@@ -340,3 +340,14 @@ def test_texts_that_look_like_containers_are_texts(spark):
         jsonx._kind_of(F.col("t"), F.parse_json("t")).alias("kind")
     )
     assert part.first().kind == "A"
+
+
+def test_only_items_of_arrays(spark):
+    """The kind of an array's only item is read off its text, whatever a string says."""
+    texts = ['["x"]', '["[1]"]', '[["{}"]]', ' [ "y"]', "[null]", "[true]", "[1.5]", "[[]]", "[{}]", '[{"a":["b"]}]', '["a","[b]"]', '[""]', "[\n\"z\"]"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    found = sorted((r.id, r.path, r.text) for r in explode_leaves(rows, "t", "scalars", "id").collect())
+    assert found == [
+        (0, "[0]", "x"), (1, "[0]", "[1]"), (2, "[0][0]", "{}"), (3, "[0]", "y"), (6, "[0]", "1.5"), (9, "[0].a[0]", "b"),
+        (10, "[0]", "a"), (10, "[1]", "[b]"), (11, "[0]", ""), (12, "[0]", "z"),
+    ]
