@@ -1,6 +1,7 @@
 """Views, detectors, redaction and decisions on texts written for these tests."""
 import base64
 import math
+import re
 from collections import Counter
 
 import pytest
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from guardtables import feed
 from guardtables.functions import checks
-from guardtables.functions.expr import chars, edit_matches, find_all, mask, prefix_sums
+from guardtables.functions.expr import bind, chars, edit_matches, find_all, first_match, mask, prefix_sums
 from guardtables.functions.text import with_canonical
 from guardtables.operators import evaluation
 from guardtables.operators.decisions import decide, decide_requests, downgrade, explode_findings, outcome, primary
@@ -17,7 +18,7 @@ from guardtables.operators.inspect import Control, InspectPolicy, detect, excerp
 from guardtables.operators.pii import merge_spans, redact, scan_pii
 from guardtables.operators.review import sanitise
 from guardtables.operators.secrets import entropy, redact_secrets, scan_secrets
-from guardtables.operators.signatures import any_contains, check_feed, load_signatures, lower_texts, required_literals
+from guardtables.operators.signatures import _needed, any_contains, check_feed, load_signatures, lower_texts, required_literals
 from guardtables.operators.views import build_views, explode_views
 from guardtables.session import TASK_ROWS, spread
 from guardtables.sources.readers import corpus, feed_version
@@ -412,3 +413,33 @@ def test_views_without_a_budget_look_for_no_tokens(spark):
     assert "to_binary" not in none._jdf.queryExecution().optimizedPlan().toString()
     whole = [v for v in build_views(rows).first().views if v.name != "base64"]
     assert none.first().views == whole and len(build_views(rows).first().views) > len(whole)
+
+
+def test_literals_that_other_literals_imply_are_left_out(spark):
+    """Fewer literals are looked for, with the same answer; texts in ASCII are not searched for others."""
+    literals = ["instruction", "instructions", "system+prompt", "system+prompts", "a+b", "інструкції", "rule"]
+    assert _needed([tuple(x.split("+")) for x in literals]) == [
+        ("instruction",), ("system", "prompt"), ("a", "b"), ("інструкції",), ("rule",),
+    ]
+    texts = ["instructions", "a system with prompts", "prompt only", "b then a", "інструкції", "інструкція", "rul", "", "é rule"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.array("t").alias("ts"))
+    for row in rows.select("t", any_contains("ts", literals).alias("hit")).collect():
+        assert row.hit == any(all(part in row.t for part in x.split("+")) for x in literals)
+
+
+def test_a_bound_column_is_exploded_from_a_column(spark):
+    """The explode holds no expression, which it would read the type of again for each row."""
+    plan = bind(spark.range(3), "x", F.transform(F.array("id"), lambda i: i + 1))._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "lambda" not in generate and "transform" not in generate
+
+
+def test_places_of_matches(spark):
+    """Offsets of matches count code points, also in texts with the mark that pieces are cut at."""
+    texts = ["😀 ab1 é ab22 x", "ab3", "￿ ab4 ￿ab5", "none", "", "xab6ab7", "a\nab8\nz"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = rows.select("t", find_all(F.col("t"), "ab[0-9]+").alias("all"), first_match(F.col("t"), "zz|ab[0-9]+", "(?iuU)").alias("one"))
+    for row in found.collect():
+        spans = [(m.start(), m.end(), m[0]) for m in re.finditer("ab[0-9]+", row.t)]
+        assert [(m.start, m.end, m.value) for m in row.all] == spans
+        assert not spans or (row.one.start, row.one.value) == (spans[0][0], spans[0][2])
