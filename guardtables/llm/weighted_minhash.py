@@ -432,7 +432,7 @@ def near_links(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFra
     around_them = measured.join(unlinked.select("u").distinct(), "u", "left_semi").join(sizes, "v")
     groups = around_them.groupBy("u").agg(F.sum(F.col("copies") * F.col("shared") / F.col("total_u")).alias("held")).join(
         sizes.withColumnRenamed("v", "u"), "u"
-    ).select("u", (F.col("held") + F.col("copies")).alias("copies"))
+    ).select("u", (F.col("held") + F.col("copies")).alias("copies")).where("copies > 2")  # a pair alone is no group
     again = pairs.select("v", "u", alone).union(unlinked.join(groups, "u").select("v", "u", "copies"))
     more = with_texts(again).mapInArrow(tidy(_compare(weights)), MEASURED).where(linked)
     return members, cut(links.union(more.select("v", "u", "similarity")))
